@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from corvane.plans import fields
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+for _part in (fields,):
+    QUERIES |= _part.QUERIES
+    ORACLE |= _part.ORACLE
