@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import formatting_dups, garbled, lookalikes
+from corvane.llm import canonical_list, formatting_dups, garbled, lookalikes
 from corvane.session import load
 
 
@@ -30,9 +30,13 @@ def p2_forms(spark: SparkSession, sf: str) -> DataFrame:
     return lookalikes.normalised(load(spark, sf, "tm_units").select("id", "source_text"), ["source_text"]).distinct()
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return canonical_list.mapped(load(spark, sf, "term_screen_decisions"), "decision_id", "source", load(spark, sf, "domain_ad_concepts")).withColumnRenamed("id", "decision_id")
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return garbled.garbled(load(spark, sf, "clinical_lifecycle"), "entry_id", ["source", "target", "notes"]).withColumnRenamed("id", "entry_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_units, p2_found, p2_forms, p6_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_units, p2_found, p2_forms, p5_found, p6_found)}
 ORACLE: dict[str, str] = {}
