@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import canonical_list, formatting_dups, garbled, lookalikes
+from corvane.llm import canonical_list, formatting_dups, garbled, leakage, lookalikes
 from corvane.session import load
 
 
@@ -38,5 +38,9 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return garbled.garbled(load(spark, sf, "clinical_lifecycle"), "entry_id", ["source", "target", "notes"]).withColumnRenamed("id", "entry_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_units, p2_found, p2_forms, p5_found, p6_found)}
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leakage.leaks(load(spark, sf, "documents"), "doc_id", "text", load(spark, sf, "eval_items")).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_units, p2_found, p2_forms, p5_found, p6_found, p8_found)}
 ORACLE: dict[str, str] = {}
