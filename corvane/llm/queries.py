@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import canonical_list, formatting_dups, garbled, leakage, lookalikes
+from corvane.llm import canonical_list, formatting_dups, garbled, leakage, lookalikes, subjects
 from corvane.session import load
 
 
@@ -42,5 +42,16 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.leaks(load(spark, sf, "documents"), "doc_id", "text", load(spark, sf, "eval_items")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_units, p2_found, p2_forms, p5_found, p6_found, p8_found)}
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return subjects.unlabelled(load(spark, sf, "documents"), load(spark, sf, "subject_labels"), load(spark, sf, "eval_items"))
+
+
+def p10_areas(spark: SparkSession, sf: str) -> DataFrame:
+    """Make-up of the corpus: documents and share of documents by subject, labelled ones by their labels."""
+    docs, labels = load(spark, sf, "documents"), load(spark, sf, "subject_labels")
+    both = p10_found(spark, sf).unionByName(labels.join(docs.select("doc_id"), "doc_id", "left_semi").distinct())
+    return both.groupBy("subject").agg(F.count(F.lit(1)).alias("n_docs"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_units, p2_forms, p2_found, p5_found, p6_found, p8_found, p10_areas, p10_found)}
 ORACLE: dict[str, str] = {}
