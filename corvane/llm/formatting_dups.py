@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.session import cut
+
 # Characters of no width, and the ASCII and full-width symbols that serve as separators.
 ZERO_WIDTH = r"[\x{00AD}\x{034F}\x{061C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180E}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{3164}\x{FE00}-\x{FE0F}\x{FEFF}]"
 SPACE = r"[\s\x{85}\p{Z}]"
@@ -42,6 +44,7 @@ def canonical_text(text: Column) -> Column:
 def copies(df: DataFrame, id_col: str, text_col: str, hot_rows: int = 100_000, salts: int = 64) -> DataFrame:
     """(id, keep_id, n_copies): one row for each id that has a key. n_copies counts the distinct ids of its group, itself included."""
     keyed = df.select(F.col(id_col).alias("id"), F.unhex(F.sha2(canonical_text(F.col(text_col)), 256)).alias("key")).where(F.col("id").isNotNull() & F.col("key").isNotNull())
+    keyed = cut(keyed)  # identifiers and 32-byte keys: the texts are read and canonicalised once, not for each of the three uses below
     hot = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows).select("key")
 
     rest = keyed.join(F.broadcast(hot), "key", "left_anti").repartition("key").groupBy("key", "id").agg(F.lit(1).alias("one"))
