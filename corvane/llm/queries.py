@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import canonical_list, formatting_dups, garbled, leakage, lookalikes, subjects
+from corvane.llm import canonical_list, formatting_dups, garbled, leakage, lookalikes, mixture, subjects
 from corvane.session import load
 
 
@@ -53,5 +53,13 @@ def p10_areas(spark: SparkSession, sf: str) -> DataFrame:
     return both.groupBy("subject").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_units, p2_forms, p2_found, p5_found, p6_found, p8_found, p10_areas, p10_found)}
+def p9_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    return mixture.mixture(load(spark, sf, "documents"), load(spark, sf, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mixture.reached(load(spark, sf, "documents"), load(spark, sf, "mix_targets"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_units, p2_forms, p2_found, p5_found, p6_found, p8_found, p9_mixture, p9_shares, p10_areas, p10_found)}
 ORACLE: dict[str, str] = {}
