@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import canonical_list, formatting_dups, garbled, leakage, lookalikes, mixture, subjects
+from corvane.llm import canonical_list, formatting_dups, garbled, leakage, lookalikes, mixture, scanned, subjects
 from corvane.session import load
 
 
@@ -61,5 +61,19 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixture.reached(load(spark, sf, "documents"), load(spark, sf, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_units, p2_forms, p2_found, p5_found, p6_found, p8_found, p9_mixture, p9_shares, p10_areas, p10_found)}
+def scanned_rows(spark: SparkSession, sf: str) -> DataFrame:
+    archives = load(spark, sf, "archives").select(F.struct(F.lit("archives").alias("table_name"), F.col("archive_id").alias("row_id")).alias("key"), F.concat(F.lit("a"), "archive_id").alias("doc"), F.col("source_text_preview").alias("text"), F.lit(False).alias("in_table"))
+    segments = load(spark, sf, "docx_segments").select(F.struct(F.lit("docx_segments").alias("table_name"), F.col("segment_id").alias("row_id")).alias("key"), F.concat(F.lit("d"), "docx_id").alias("doc"), "text", F.col("table_path").isNotNull().alias("in_table"))
+    return archives.unionByName(segments).where(F.col("key.row_id").isNotNull()).distinct()
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return scanned.repairs(scanned_rows(spark, sf)).select("key.table_name", "key.row_id", "kind", "found").distinct()
+
+
+def p4_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
+    return scanned.paragraphs(scanned_rows(spark, sf)).select("key.table_name", "key.row_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_units, p2_forms, p2_found, p4_found, p4_paragraphs, p5_found, p6_found, p8_found, p9_mixture, p9_shares, p10_areas, p10_found)}
 ORACLE: dict[str, str] = {}
