@@ -1,8 +1,8 @@
 """Noise in text from scanned pages (problem 4).
 
 1. Edge lines. A line is page furniture if it has the form of a page number, or if it is a running header or footer: its template (numbers
-   and document codes masked) comes back within one document, in at least `recurs` of the documents that have it and in `least_docs` of
-   them. Numbered section headings and lines that end a sentence never are. The templates that pass are few (they are checked to be at most
+   and document codes masked) comes back within one document in at least `recurs` of the documents that have it, which must be so many that
+   the lower bound of that share (Wilson, 95 %) is a half or more. Numbered section headings and lines that end a sentence never are. The templates that pass are few (they are checked to be at most
    `most_templates`) and go to all workers; cells of tables are left alone.
 2. Hyphen evidence. A word divided over two lines (page matter between them is gone by now) is put together with or without its hyphen,
    whichever form the corpus has more often undivided.
@@ -31,13 +31,14 @@ from corvane.session import checked_broadcast_rows, cut
 # How characters are misread (as read, as printed), and letters read for digits.
 CONFUSIONS = (
     ("0", "o"), ("1", "l"), ("1", "i"), ("5", "s"), ("6", "b"), ("8", "b"), ("9", "g"), ("|", "l"), ("|", "i"), ("3", "e"), ("2", "z"), ("7", "t"), ("4", "a"),
-    ("rn", "m"), ("m", "rn"), ("vv", "w"), ("w", "vv"), ("cl", "d"), ("d", "cl"), ("ii", "u"), ("li", "h"), ("lc", "k"), ("nn", "m"), ("ri", "n"), ("in", "m"), ("ni", "m"), ("iii", "m"), ("tl", "d"),
+    ("rn", "m"), ("m", "rn"), ("vv", "w"), ("w", "vv"), ("cl", "d"), ("d", "cl"), ("ii", "u"), ("li", "h"), ("lc", "k"), ("nn", "m"), ("ri", "n"), ("in", "m"), ("ni", "m"), ("iii", "m"), ("tl", "d"), ("h", "li"), ("rm", "nn"), ("m", "nn"), ("m", "in"), ("m", "ni"), ("n", "ri"), ("u", "ii"), ("k", "lc"), ("u", "li"),
     ("c", "e"), ("e", "c"), ("f", "t"), ("t", "f"), ("l", "i"), ("i", "l"), ("h", "b"), ("b", "h"), ("n", "u"), ("u", "n"), ("l", "t"), ("t", "l"), ("o", "c"), ("c", "o"), ("a", "o"), ("o", "a"), ("g", "q"), ("q", "g"), ("v", "y"), ("y", "v"), ("j", "i"), ("i", "j"), ("r", "n"), ("e", "o"), ("s", "a"),
 )
 DIGIT_FOR = str.maketrans("OoQDlIi|SsBbZzgq", "0000111155862299")
 PAGE_NUMBER = r"(?i)^[\s\-–—|•·*]*(?:page|p\.|pg\.?|第)?\s*[0-9lOIS|]{1,5}(?:\s*(?:/|of|／|von|sur)\s*[0-9lOIS|]{1,5})?\s*页?(?:[\s,，]*共\s*[0-9lOIS|]{1,5}\s*页)?[\s\-–—|•·*]*$"
 HEADING = r"^\s*(?:\d+(?:\.\d+)*\.?|[IVX]+\.|第[一二三四五六七八九十\d]+[章节])\s+[^\s|/\-–—\d]"
 CODE = r"\b[A-Z]{1,6}-?\d{2,}\b"
+HAN = re.compile("[㐀-鿿，。、；：（）]")
 HYPHENS = "-­‐‑¬"
 TOKEN = re.compile(r"[A-Za-zÀ-ɏ0-9|]+(?:['’./,\-‐‑][A-Za-zÀ-ɏ0-9|]+)*")
 BREAK = re.compile(rf"([A-Za-zÀ-ɏ0-9|]+(?:['’\-‐‑][A-Za-zÀ-ɏ0-9|]+)*)([{HYPHENS}])[ \t]*\n[ \t]*((?:[A-Za-zÀ-ɏ0-9|]+)(?:['’\-‐‑][A-Za-zÀ-ɏ0-9|]+)*)")
@@ -53,13 +54,15 @@ def template_of(line: str) -> str:
     return re.sub(r"\s+", " ", re.sub(r"\d+", "#", re.sub(CODE, "§", line.strip(" "))))
 
 
-def header_templates(rows: DataFrame, recurs: float, least_docs: int) -> DataFrame:
+def header_templates(rows: DataFrame, recurs: float) -> DataFrame:
     """(template): running headers and footers of the corpus. rows: (doc, text, in_table)."""
     lines = rows.where(~F.col("in_table")).select("doc", F.explode(F.split("text", r"\n")).alias("line"))
     short = lines.where((F.length(F.trim("line")) >= 3) & (F.length("line") <= 90) & ~F.col("line").rlike(r"[.!?。！？;；,，:：]\s*$") & ~F.col("line").rlike(HEADING) & ~F.col("line").rlike(PAGE_NUMBER))
     by_doc = short.select("doc", template(F.col("line")).alias("template")).groupBy("doc", "template").agg(F.count(F.lit(1)).alias("n"))
     by_all = by_doc.groupBy("template").agg(F.count(F.lit(1)).alias("docs"), F.count_if(F.col("n") > 1).alias("again"))
-    return by_all.where((F.col("again") >= least_docs) & (F.col("again") >= recurs * F.col("docs"))).select("template")
+    n, p, z2 = F.col("docs"), F.col("again") / F.col("docs"), 1.96**2
+    low = (p + z2 / (2 * n) - 1.96 * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n)
+    return by_all.where((p >= recurs) & (low >= 0.5)).select("template")
 
 
 def is_furniture(line: str, headers: frozenset[str]) -> bool:
@@ -164,10 +167,10 @@ def corrections(vocabulary: DataFrame, frequent: int, ratio: int) -> DataFrame:
     return good.groupBy("word").agg(F.max_by("right", F.struct(-F.col("steps"), F.col("right_n"), F.col("right"))).alias("right"))
 
 
-def analysed(rows: DataFrame, recurs: float = 0.3, least_docs: int = 2, most_templates: int = 200_000) -> DataFrame:
+def analysed(rows: DataFrame, recurs: float = 0.8, most_templates: int = 200_000) -> DataFrame:
     """rows: (key, doc, text, in_table) -> (key, furniture, breaks, words), with its lineage cut."""
     rows = rows.where(F.col("text").rlike(r"\S"))
-    found = frozenset(r.template for r in checked_broadcast_rows(header_templates(rows, recurs, least_docs), most_templates, "the table of running headers"))
+    found = frozenset(r.template for r in checked_broadcast_rows(header_templates(rows, recurs), most_templates, "the table of running headers"))
     headers = rows.sparkSession.sparkContext.broadcast(found)
 
     @F.pandas_udf(ANALYSIS)
@@ -217,7 +220,7 @@ def rebuilt(text: str, in_table: bool, found: list) -> str:
         text = "\n".join(x for i, x in enumerate(kept) if not flags[i] and (x.strip() or not (i and flags[i - 1] or i + 1 < len(kept) and flags[i + 1])))
     text = BREAK.sub(lambda m: breaks.get(m[1] + m[2] + m[3], m[0]), text)
     text = TOKEN.sub(lambda m: words.get(m[0], m[0]), text)
-    paragraphs = [re.sub(r"\s*\n\s*", lambda m: "" if m.start() and ord(m.string[m.start() - 1]) > 0x2E7F else " ", p.strip()) for p in re.split(r"\n\s*\n", text)]
+    paragraphs = [re.sub(r"\s*\n\s*", "" if 3 * len(HAN.findall(p)) > len(p) else " ", p.strip()) for p in re.split(r"\n\s*\n", text)]
     return "\n\n".join(p for p in paragraphs if p)
 
 
