@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import canonical_list, formatting_dups, garbled, leakage, lookalikes, mixture, scanned, subjects
+from corvane.llm import alignment, canonical_list, formatting_dups, garbled, leakage, lookalikes, mixture, scanned, subjects
 from corvane.session import load
 
 
@@ -75,5 +75,14 @@ def p4_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
     return scanned.paragraphs(scanned_rows(spark, sf)).select("key.table_name", "key.row_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_units, p2_forms, p2_found, p4_found, p4_paragraphs, p5_found, p6_found, p8_found, p9_mixture, p9_shares, p10_areas, p10_found)}
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    blank = r"[^\s\p{Z}]"
+    units = load(spark, sf, "tm_units").select(F.col("id").alias("record_id"), F.col("source_text").alias("source"), F.col("target_text").alias("target")).where(F.col("source").rlike(blank) & F.col("target").rlike(blank))
+    many = alignment.several("source") | alignment.several("target")
+    embedder = alignment.fitted(units.where(~many).withColumnRenamed("record_id", "id"), most_pairs=10_000)
+    archives = load(spark, sf, "archives").select(F.col("archive_id").alias("record_id"), F.col("source_text_preview").alias("source"), F.col("translated_text_preview").alias("target")).where(F.col("source").rlike(blank) & F.col("target").rlike(blank))
+    return alignment.alignments(units.where(many).unionByName(archives).distinct(), embedder)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_units, p2_forms, p2_found, p4_found, p4_paragraphs, p5_found, p6_found, p7_found, p8_found, p9_mixture, p9_shares, p10_areas, p10_found)}
 ORACLE: dict[str, str] = {}

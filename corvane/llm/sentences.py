@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import re
 
-SENTENCE_END = re.compile(r"[。！？]+[”’」』）)\"']*|[.!?]+[\"”’)）\]]*(?=\s|$)")
+SENTENCE_END = re.compile(r"[。！？]|[.!?](?=\s|$)")
 WORD = re.compile("[a-zà-ɏ]+(?:['’][a-z]+)?|[0-9]+(?:[.,:/-][0-9]+)*|[㐀-鿿]|%")
 
 
 def sentence_spans(text: str | None, paragraphs: bool = False) -> list[tuple[int, int]]:
     """(start, end) of each sentence, without outer white space: it ends at 。！？, or at .!? before white space or the end of the text.
 
-    paragraphs: an empty line ends a sentence too.
+    What has neither letters nor digits, such as a closing quote, belongs to the sentence before. paragraphs: an empty line ends a sentence too.
     """
     if not text:
         return []
@@ -23,7 +23,10 @@ def sentence_spans(text: str | None, paragraphs: bool = False) -> list[tuple[int
         piece = text[at:e]
         if body := piece.strip():
             start = at + piece.index(body[0])
-            out.append((start, start + len(body)))
+            if out and not any(map(str.isalnum, body)):
+                out[-1] = (out[-1][0], start + len(body))
+            else:
+                out.append((start, start + len(body)))
         at = e
     return out
 
