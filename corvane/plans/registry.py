@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from corvane.plans import fields
+from corvane.plans import fields, text
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for _part in (fields,):
+for _part in (fields, text):
     QUERIES |= _part.QUERIES
     ORACLE |= _part.ORACLE
