@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from corvane.plans import fields, text
+from corvane.plans import fields, ledger, matching, text
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for _part in (fields, text):
+for _part in (fields, text, ledger, matching):
     QUERIES |= _part.QUERIES
     ORACLE |= _part.ORACLE
