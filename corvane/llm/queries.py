@@ -85,4 +85,21 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_units, p2_forms, p2_found, p4_found, p4_paragraphs, p5_found, p6_found, p7_found, p8_found, p9_mixture, p9_shares, p10_areas, p10_found)}
-ORACLE: dict[str, str] = {}
+
+
+def text_key(column: str) -> str:
+    """The canonical key of formatting_dups in the dialect of the second engine."""
+    d = formatting_dups
+    strip = lambda x: f"regexp_replace(lower({x}), '{d.MARKS}', '', 'g')"
+    bare = f"regexp_replace({column}, '{d.ZERO_WIDTH}', '', 'g')"
+    flat = f"regexp_replace(regexp_replace({bare}, '[\\r\\n\\t\\x{{0B}}\\x{{0C}}\\x{{2028}}\\x{{2029}}]+', ';', 'g'), '{d.SPACE}', ' ', 'g')"
+    pieces = f"string_split(regexp_replace({flat}, '{d.FIELD}', chr(1) || '\\1' || chr(2), 'g'), chr(1))"
+    fields = f"list_sort(list_transform({pieces}[2:], lambda p: {strip('string_split(p, chr(2))[1]')} || chr(2) || {strip('string_split(p, chr(2))[-1]')}))"
+    return f"CASE WHEN {strip(bare)} = '' THEN NULL WHEN len({pieces}) > 2 AND {strip(pieces + '[1]')} = '' THEN array_to_string({fields}, chr(1)) ELSE {strip(bare)} END"
+
+
+KEYED = f"SELECT DISTINCT id, {text_key('source_text')} AS key FROM tm_units WHERE source_text IS NOT NULL"
+ORACLE: dict[str, str] = {
+    "p1_found": f"SELECT keep_id, id AS dup_id FROM (SELECT id, min(id) OVER (PARTITION BY key) AS keep_id FROM ({KEYED}) WHERE key IS NOT NULL) WHERE id <> keep_id",
+    "p1_units": f"SELECT min(id) AS keep_id, count(*) AS n_copies FROM ({KEYED}) WHERE key IS NOT NULL GROUP BY key",
+}
