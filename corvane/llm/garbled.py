@@ -98,8 +98,8 @@ def cost(text: str) -> float:
         before, after = (kinds[i - 1] if i else " "), (kinds[i + 1] if i + 1 < n else " ")
         o = ord(ch)
         if k == "h":
-            alone = before != "h" and after != "h" and (before in "al0" or after in "al0" or ideographs < 3)
-            total += level(ch) + (1.5 if alone and (before in "al" or after in "al" or ideographs < 3) else 0)
+            alone = before != "h" and after != "h" and (before in "al" or after in "al" or ideographs < 3)
+            total += level(ch) + (1.5 if alone else 0.8 if ideographs < 3 else 0)
         elif k == "l":
             fits = o < 0x180 and ch.islower() and (before in "al" or after in "al") and "s" not in (before, after)
             total += 0.5 if fits else 1.2 if before == " " and after in "al" and ch.isupper() else 2.0

@@ -59,6 +59,8 @@ def compile_mapping(*tables: dict[str, str]) -> dict[str, str]:
     for t in tables:
         for k, v in t.items():
             k = unicodedata.normalize("NFC", k)
+            if k == v:  # composition alone does it
+                continue
             if table.setdefault(k, v) != v:
                 raise ValueError(f"{k!r} is mapped to {table[k]!r} and to {v!r}")
     for k in table:
