@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as X
 from corvane.functions import udfs
-from corvane.operators import dictionary, fuzzy, quality, vectors
+from corvane.operators import dictionary, fuzzy, grids, quality, vectors
 from corvane.operators import packed_fields as P
 from corvane.operators import relational as R
 from corvane.sources import readers, writers
@@ -256,3 +256,24 @@ def test_streams(spark, data):
     fresh = S.run(S.fenced(stream, current).select("event_id"))
     want = e.withColumn("generation", F.when(F.col("value") > 50, 2).otherwise(1)).join(current, "user_id").where("generation >= current").count()
     assert fresh.count() == want
+
+
+# ---- grids
+
+
+def test_grids(spark):
+    assert grids.grid_of("|a|b|\n|--|:-:|\n|1|x\\|y|") == [["a", "b"], ["1", "x|y"]] and grids.grid_of("| one |") == []
+    assert grids.grid_of("<table><tr><th colspan=2>H</th></tr><tr><td>1</td><td> 2\n3</td></tr></table>") == [["H", ""], ["1", "2 3"]]
+    assert grids.wrapped_rows_merged([["a", "x,"], ["", "y"], ["b", "z"]]) == [["a", "x, y"], ["b", "z"]]
+    words = spark.createDataFrame([("p", 0.0, 0.0, 10.0, "one"), ("p", 20.0, 1.0, 11.0, "two"), ("p", 0.0, 30.0, 40.0, "three")], "page string, x0 double, y0 double, y1 double, text string")
+    assert sorted(map(tuple, grids.text_lines(words, "page").collect())) == [("p", 0, "one two"), ("p", 1, "three")]
+    spans = spark.createDataFrame([("p", i, x, x + w) for i, (x, w) in enumerate([(0.0, 4.0), (1.0, 2.0), (3.0, 5.0), (9.0, 1.0), (8.5, 8.0)])], "page string, id int, x0 double, x1 double")
+    rows = [tuple(r) for r in spans.select("id", "x0", "x1").collect()]
+    want = sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and min(a[2], b[2]) - max(a[1], b[1]) > 0.35 * min(a[2] - a[1], b[2] - b[1]))
+    assert sorted(map(tuple, grids.overlap_pairs(spans, ["page"], "id", 0.35).collect())) == want
+    cells = spark.createDataFrame([("t", 0, 0, 0.0, 2.0), ("t", 0, 1, 4.0, 6.0), ("t", 1, 0, 5.0, 6.0), ("t", 1, 1, 1.0, 2.0)], "t string, row int, col int, x0 double, x1 double")
+    assert sorted((r.row, r.col, r.wide0, r.wide1) for r in grids.expanded_boxes(cells, ["t"]).where("row = 0").collect()) == [(0, 0, 0.0, 3.0), (0, 1, 3.0, 6.0)]
+    assert {(r.row, r.col) for r in grids.order_drift(cells, ["t"]).collect()} == {(1, 0), (1, 1)}
+    blocks = spark.createDataFrame([("p", 0.0, 5.0, "b"), ("p", 90.0, 0.0, "c"), ("p", 1.0, 0.0, "a")], "page string, x0 double, y0 double, text string")
+    assert [r.text for r in grids.reading_order(blocks, "page", 2).orderBy("place").collect()] == ["a", "b", "c"]
+    assert grids.column_centres(spans, ["page"], "x0", "x1", 0.1).count() == 1
