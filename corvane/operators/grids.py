@@ -74,7 +74,7 @@ def pipe_rows(markdown: str) -> list[list[str]]:
         s = line.strip()
         if s.startswith("|") and s.count("|") >= 2:
             cells = [x.strip().replace("\0", "|") for x in s.strip("|").replace("\\|", "\0").split("|")]
-            if not all(re.fullmatch(r":?-{2,}:?", x) for x in cells):
+            if not all(re.fullmatch(r":?-+:?", x) for x in cells):
                 rows.append(cells)
     return rows
 
