@@ -117,8 +117,9 @@ def normalised(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def variants(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, raw, form): distinct rows with a non-blank value."""
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("raw")).where(F.col("id").isNotNull() & F.col("raw").rlike(r"[^\s]")).distinct().withColumn("form", one_form("raw"))
+    """(id, form, raw): distinct rows with a non-blank value; the form as a 128-bit and the characters as a 64-bit hash, so no text is shuffled."""
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("raw")).where(F.col("id").isNotNull() & F.col("raw").rlike(r"[^\s]"))
+    return rows.select("id", F.unhex(F.md5(one_form("raw"))).alias("form"), F.xxhash64("raw").alias("raw")).distinct()
 
 
 def pairs(df: DataFrame, id_col: str, text_col: str, field_name: str) -> DataFrame:
@@ -127,7 +128,7 @@ def pairs(df: DataFrame, id_col: str, text_col: str, field_name: str) -> DataFra
     Only keys with two different spellings are joined at all, which leaves out the plain repeats: first the spellings of a form are
     counted on 8-byte hashes with partial aggregation, then the rows of those forms meet.
     """
-    v = variants(df, id_col, text_col).select("id", F.unhex(F.sha2("form", 256)).alias("form"), F.xxhash64("raw").alias("raw"))
+    v = variants(df, id_col, text_col)
     shared = v.groupBy("form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where(F.col("lo") != F.col("hi")).select("form")
     rows = v.join(shared, "form", "left_semi")
     a, b = rows.select("form", F.col("id").alias("id_a"), F.col("raw").alias("raw_a")), rows.select("form", F.col("id").alias("id_b"), F.col("raw").alias("raw_b"))
