@@ -7,6 +7,7 @@ import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_session(app: str = "corvane", cpus: int | None = None, partitions: int | None = None) -> SparkSession:
@@ -63,3 +64,11 @@ def checked_broadcast_rows(df: DataFrame, most: int, what: str) -> list:
     if len(rows) > most:
         raise ValueError(f"{what} has more than {most} rows; it may not be broadcast")
     return rows
+
+
+def hash_sample(df: DataFrame, key: str, most: int) -> DataFrame:
+    """About `most` to 2 x `most` rows, or all there are, with the smallest hashes of their key: the same rows in every run. The choice is a
+    filter, so partitions send only what belongs to the sample."""
+    n = df.count()
+    space = 1 << 40
+    return df if n <= 2 * most else df.where(F.pmod(F.xxhash64(F.col(key)), F.lit(space)) < F.lit(space * 2 * most // n))
