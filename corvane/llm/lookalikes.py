@@ -9,7 +9,7 @@ superscripts, visible punctuation, ordinary spaces, tabs and line breaks stay as
 
 Cases: null gives null, an empty text an empty one; texts of any length are handled whole; `pairs` takes no null or blank value and no
 value without an id, and repeated rows count once. The number of pairs is that of the definition: rows with the same characters are never
-paired, so a group of exact copies costs nothing, and hot keys are split by AQE and by a salt on one side.
+paired, so a group of exact copies costs nothing.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvane.session import cut
+
 # Look-alike letters of Cyrillic and Greek, each with the Latin letter it looks like, and hyphens that look like "-".
 LOOK_ALIKE = {
     "А": "A", "В": "B", "Е": "E", "З": "3", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ѕ": "S", "І": "I", "Ј": "J", "Ԍ": "G", "Ԛ": "Q", "Ԝ": "W", "Ү": "Y", "Ӏ": "I",
@@ -125,11 +127,13 @@ def variants(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def pairs(df: DataFrame, id_col: str, text_col: str, field_name: str) -> DataFrame:
     """(field_name, id_a, id_b): two ids whose values have one form but not the same characters; id_a < id_b.
 
-    Only keys with two different spellings are joined at all, which leaves out the plain repeats: first the spellings of a form are
-    counted on 8-byte hashes with partial aggregation, then the rows of those forms meet.
+    Spellings are paired before rows: a form with one spelling leaves first, the few spellings of each other form meet, and only then each
+    pair of spellings gets its rows. Rows with the same characters never meet, so a form that a third of all rows share costs what its
+    result has, and AQE splits it over tasks.
     """
-    v = variants(df, id_col, text_col)
-    shared = v.groupBy("form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where(F.col("lo") != F.col("hi")).select("form")
-    rows = v.join(shared, "form", "left_semi")
-    a, b = rows.select("form", F.col("id").alias("id_a"), F.col("raw").alias("raw_a")), rows.select("form", F.col("id").alias("id_b"), F.col("raw").alias("raw_b"))
-    return a.join(b, "form").where((F.col("id_a") < F.col("id_b")) & (F.col("raw_a") != F.col("raw_b"))).select(F.lit(field_name).alias("field_name"), "id_a", "id_b").distinct()
+    v = cut(variants(df, id_col, text_col))  # identifiers and hashes: the texts are brought to their form once for the four uses below
+    spellings = v.groupBy("form", "raw").agg(F.count(F.lit(1)).alias("n"))
+    both = spellings.select("form", F.col("raw").alias("raw_a")).join(spellings.select("form", F.col("raw").alias("raw_b")), "form").where(F.col("raw_a") < F.col("raw_b"))
+    a, b = v.select("form", F.col("raw").alias("raw_a"), F.col("id").alias("a")), v.select("form", F.col("raw").alias("raw_b"), F.col("id").alias("b"))
+    found = both.join(a, ["form", "raw_a"]).join(b, ["form", "raw_b"]).where(F.col("a") != F.col("b"))
+    return found.select(F.lit(field_name).alias("field_name"), F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).distinct()
