@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 
 from corvane.llm import leakage
 from corvane.llm.sentences import sentence_spans, words
+from corvane.session import hash_sample
 
 ORDER = 3
 WEIGHTS = (0.05, 0.2, 0.3, 0.45)  # uniform, then orders 1 to 3
@@ -175,8 +176,10 @@ class Classifier:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int) -> list[tuple[str, list[str]]]:
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("subject").isNotNull()).groupBy("doc_id").agg(F.sort_array(F.collect_set("subject")).alias("labels")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(known), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("subject").isNotNull()).groupBy("doc_id").agg(F.sort_array(F.collect_set("subject")).alias("labels"))
+    few = hash_sample(known, "doc_id", most)
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(few), "doc_id").select("doc_id", "text", "labels", F.xxhash64("doc_id").alias("h")).collect()
+    rows = sorted(rows, key=lambda r: (r.h, r.doc_id))[:most]
     return [(r.text, r.labels) for r in rows]
 
 
