@@ -91,3 +91,24 @@ def wilson_lower(successes: Column, total: Column, z: float = 1.96) -> Column:
     p, z2 = successes / total, z * z
     low = (p + z2 / (2 * total) - z * F.sqrt(p * (1 - p) / total + z2 / (4 * total * total))) / (1 + z2 / total)
     return F.when(total == 0, 0.0).otherwise(F.greatest(F.lit(0.0), low))
+
+
+def merge(old: DataFrame, new: DataFrame, keys: list[str], values: list[str], version: str) -> DataFrame:
+    """An upsert: rows of `new` replace what differs and count the version up; equal ones leave the row as it is; null values keep the old."""
+    a = old.select(*keys, *[F.col(v).alias(f"_old_{v}") for v in values], F.col(version).alias("_version"))
+    b = new.select(*keys, *values, F.lit(True).alias("_new"))
+    both = a.join(b, keys, "full_outer")
+    changed = F.lit(False)
+    for v in values:
+        changed = changed | (F.col(v).isNotNull() & ~F.col(v).eqNullSafe(F.col(f"_old_{v}")))
+    number = F.when(F.col("_version").isNull(), 1).when(F.coalesce("_new", F.lit(False)) & changed, F.col("_version") + 1).otherwise(F.col("_version"))
+    return both.select(*keys, *[F.coalesce(v, f"_old_{v}").alias(v) for v in values], number.alias(version))
+
+
+def cascade(df: DataFrame, steps: list[tuple[DataFrame, str, float]], value: str) -> DataFrame:
+    """The frame with `value` and `confidence` from the first lookup that has its key. steps: (lookup with one row for each key, key, confidence)."""
+    found, sure = F.lit(None), F.lit(None)
+    for i, (lookup, key, confidence) in reversed(list(enumerate(steps))):
+        df = df.join(lookup.select(F.col(key), F.col(value).alias(f"_v{i}")), key, "left")
+        found, sure = F.coalesce(F.col(f"_v{i}"), found), F.when(F.col(f"_v{i}").isNotNull(), confidence).otherwise(sure)
+    return df.withColumn(value, found).withColumn("confidence", sure).drop(*[f"_v{i}" for i in range(len(steps))])

@@ -246,4 +246,51 @@ def content_seals(spark, sf):
     return d.groupBy("seal").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")).where(c("copies") > 1)
 
 
+@part.query("SELECT id, version FROM (SELECT DISTINCT id, version, row_number() OVER (PARTITION BY id ORDER BY version DESC, updated_at DESC) AS rn FROM tm_units) WHERE rn = 1")
+def unit_latest(spark, sf):
+    """The latest version of each unit."""
+    return R.best_per_key(load(spark, sf, "tm_units").select("id", "version", "updated_at"), ["id"], [c("version").desc(), c("updated_at").desc()]).select("id", "version")
+
+
+@part.query("WITH old AS (SELECT id, arg_min(source_text, (version, updated_at)) AS source_text, arg_min(target_text, (version, updated_at)) AS target_text, min(version) AS version FROM (SELECT * FROM tm_units WHERE source_text IS NOT NULL AND target_text IS NOT NULL) WHERE approved GROUP BY id), new AS (SELECT id, max(source_text) AS source_text, max(upper(target_text)) AS target_text FROM tm_units WHERE source_text IS NOT NULL AND target_text IS NOT NULL GROUP BY id) SELECT id, coalesce(n.source_text, o.source_text) AS source_text, coalesce(n.target_text, o.target_text) AS target_text, CASE WHEN o.id IS NULL THEN 1 WHEN n.id IS NOT NULL AND (n.source_text <> o.source_text OR n.target_text <> o.target_text) THEN o.version + 1 ELSE o.version END AS version FROM old o FULL JOIN new n USING (id)")
+def tm_upsert(spark, sf):
+    """Approved units merged with a new state of all units: versions count up where a text changed."""
+    u = load(spark, sf, "tm_units").where(c("source_text").isNotNull() & c("target_text").isNotNull())
+    order = F.struct("version", "updated_at")
+    old = u.where("approved").groupBy("id").agg(F.min_by("source_text", order).alias("source_text"), F.min_by("target_text", order).alias("target_text"), F.min("version").alias("version"))
+    new = u.groupBy("id").agg(F.max("source_text").alias("source_text"), F.max(F.upper("target_text")).alias("target_text"))
+    return R.merge(old, new, ["id"], ["source_text", "target_text"], "version")
+
+
+EN = f"SELECT {at(NORM, 'en')} AS k, min(concept_id) AS concept_id FROM domain_ad_concepts WHERE en IS NOT NULL GROUP BY 1"
+ZH = f"SELECT {at(NORM, 'zh')} AS k, min(concept_id) AS concept_id FROM domain_ad_concepts WHERE zh IS NOT NULL GROUP BY 1"
+
+
+@part.query(f"SELECT DISTINCT s.norm, coalesce(a.concept_id, b.concept_id, d.concept_id) AS concept_id, CASE WHEN a.concept_id IS NOT NULL THEN 1.0 WHEN b.concept_id IS NOT NULL THEN 0.98 WHEN d.concept_id IS NOT NULL THEN 0.9 END AS confidence FROM (SELECT {at(NORM, 'source')} AS norm FROM term_screen_decisions WHERE source IS NOT NULL) s LEFT JOIN ({EN}) a ON a.k = s.norm LEFT JOIN ({ZH}) b ON b.k = s.norm LEFT JOIN ({EN}) d ON d.k = {at(STEM, 's.norm')}")
+def suggest_cascade(spark, sf):
+    """A concept for each typed form: by its English name, its Chinese name, or its stem, each with its confidence."""
+    t = load(spark, sf, "domain_ad_concepts")
+    by = lambda col, key: t.where(c(col).isNotNull()).groupBy(X.normalise_source(c(col)).alias(key)).agg(F.min("concept_id").alias("concept_id"))
+    forms = load(spark, sf, "term_screen_decisions").where(c("source").isNotNull()).select(X.normalise_source(c("source")).alias("norm")).distinct()
+    forms = forms.withColumns({"en": c("norm"), "zh": c("norm"), "stem": X.morphology_stem(c("norm"))})
+    return R.cascade(forms, [(by("en", "en"), "en", 1.0), (by("zh", "zh"), "zh", 0.98), (by("en", "stem"), "stem", 0.9)], "concept_id").select("norm", "concept_id", c("confidence").cast("double").alias("confidence"))
+
+
+@part.query("SELECT json_extract_string(extra_json, '$.ok') AS ok, count(*) AS n, CAST(sum(CAST(json_extract_string(extra_json, '$.pages') AS BIGINT)) AS BIGINT) AS pages FROM archives GROUP BY 1")
+def json_facts(spark, sf):
+    """Facts out of a JSON column of any shape."""
+    return load(spark, sf, "archives").groupBy(F.get_json_object("extra_json", "$.ok").alias("ok")).agg(F.count("*").alias("n"), F.sum(F.get_json_object("extra_json", "$.pages").cast("long")).alias("pages"))
+
+
+@part.query("SELECT strftime(CASE WHEN regexp_matches(created_at, '(Z|[+-]\\d\\d:?\\d\\d)$') THEN timezone('UTC', try_cast(created_at AS TIMESTAMPTZ)) ELSE try_cast(created_at AS TIMESTAMP) END, '%Y-%m-%d') AS day, count(*) AS n FROM archives GROUP BY 1")
+def archive_days(spark, sf):
+    """Archives by day; times without a zone are UTC."""
+    return load(spark, sf, "archives").groupBy(F.date_format(F.try_to_timestamp("created_at"), "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
+
+
+@part.query(f"SELECT {at(LANG, 'to_lang')} AS lang, count(*) AS n, count(DISTINCT archive_id) AS archives FROM archives GROUP BY 1")
+def archive_languages(spark, sf):
+    return load(spark, sf, "archives").groupBy(X.normalise_lang(c("to_lang")).alias("lang")).agg(F.count("*").alias("n"), F.countDistinct("archive_id").alias("archives"))
+
+
 QUERIES, ORACLE = part.QUERIES, part.ORACLE

@@ -12,11 +12,11 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corvane.functions import text as X
-from corvane.functions import udfs
+from corvane.functions import sections, udfs
 from corvane.operators import dictionary, fuzzy, grids, quality, vectors
 from corvane.operators import packed_fields as P
 from corvane.operators import relational as R
-from corvane.sources import readers, writers
+from corvane.sources import readers, writeback, writers
 from corvane.streaming import events as S
 
 # ---- 3. packed fields
@@ -276,4 +276,51 @@ def test_grids(spark):
     assert {(r.row, r.col) for r in grids.order_drift(cells, ["t"]).collect()} == {(1, 0), (1, 1)}
     blocks = spark.createDataFrame([("p", 0.0, 5.0, "b"), ("p", 90.0, 0.0, "c"), ("p", 1.0, 0.0, "a")], "page string, x0 double, y0 double, text string")
     assert [r.text for r in grids.reading_order(blocks, "page", 2).orderBy("place").collect()] == ["a", "b", "c"]
-    assert grids.column_centres(spans, ["page"], "x0", "x1", 0.1).count() == 1
+    assert grids.column_centres(spans, ["page"], "x0", "x1", 0.6).count() == 1
+
+
+# ---- write-back, sections, merge, cascade
+
+
+def test_write_back():
+    assert writeback.json_back({"a": ["x", {"b": "y"}], "n": 1}, ["1", "2"]) == {"a": ["1", {"b": "2"}], "n": 1}
+    with pytest.raises(ValueError):
+        writeback.json_back(["x"], [])
+    page = "<!DOCTYPE html><div>out<p>One <b>two</b></p></div><script>x < y</script><p>A &amp; B</p>"
+    texts = [t for t, _ in readers.html_blocks(page)]
+    assert writeback.html_back(page, [t.upper() for t in texts]) == "<!DOCTYPE html><div>OUT<p>ONE TWO<b></b></p></div><script>x < y</script><p>A &amp; B</p>"
+    docx = zipped_dict({"word/document.xml": f"<w:d {W}><w:p><w:r><w:t>Para</w:t></w:r><w:r><w:t>graph</w:t></w:r></w:p><w:p/></w:d>", "other.bin": "keep"})
+    new = writeback.docx_back(docx, ["Absatz"])
+    assert list(readers.parse_docx(new)) == [("Absatz", "document")] and zipfile.ZipFile(io.BytesIO(new)).read("other.bin") == b"keep"
+    xlsx = zipped_dict({"xl/workbook.xml": '<w xmlns:r="r"><sheets><sheet name="S" r:id="r1"/></sheets></w>', "xl/_rels/workbook.xml.rels": '<R><Relationship Id="r1" Target="worksheets/sheet1.xml"/></R>', "xl/worksheets/sheet1.xml": '<ws><c r="A1"><v>0</v></c><c r="B2"><v>7</v></c></ws>'})
+    assert list(readers.parse_xlsx(writeback.xlsx_back(xlsx, {"S!B2": "sieben"}))) == [("0", "S!A1"), ("sieben", "S!B2")]
+    with pytest.raises(ValueError):
+        writeback.xlsx_back(xlsx, {"S!Z9": "x"})
+    rows = [{"Source": "a", "Target": "b", "Forbidden": "x| y"}, {"Source": " ", "Target": None, "Forbidden": ""}]
+    assert writeback.imported(rows, "terms") == [{"source": "a", "target": "b", "forbidden": ["x", "y"]}]
+    with pytest.raises(ValueError):
+        writeback.imported([{"source": "a"}], "terms")
+
+
+def test_sections():
+    text = "# A\nbody https://x.org/a.\n## References\n[1] One 2019.\n### Deep\n[2] Two 2020.\n# Appendix\nend"
+    for mask in (sections.mask_references, sections.mask_uris, sections.shield):
+        masked, kept = mask(text)
+        name = {"mask_references": "REF", "mask_uris": "URI", "shield": "ATOM"}[mask.__name__]
+        assert sections.unmasked(masked, kept, name) == text
+    assert "Two 2020" not in sections.mask_references(text)[0] and "end" in sections.without_references(text)
+    with pytest.raises(ValueError):
+        sections.unmasked("no mark", ["x"], "REF")
+    assert sections.whole_uris(["https://a.b/c", "https://a.b/cd", "http://", "https://a.b/cd."]) == ["https://a.b/cd"]
+    assert sections.dose_present("300 mg", "给予300毫克") and not sections.dose_present("300 mg", "1300毫克") and not sections.dose_present("30 mg", "300 mg")
+    assert sections.schedule_present("Q2W", "每2周一次") and sections.schedule_present("Q2W", "每两周") and not sections.schedule_present("Q4W", "每2周")
+    assert sections.term_present("IL-13", "the il-13 level") and sections.term_present("assay", "two assays") and not sections.term_present("assay", "assayed")
+
+
+def test_merge_and_cascade(spark):
+    old, new = spark.createDataFrame([("a", "x", 1), ("b", "y", 2), ("c", "z", 5)], "k string, v string, n int"), spark.createDataFrame([("a", "x"), ("b", "w"), ("c", None), ("d", "q")], "k string, v string")
+    assert sorted(map(tuple, R.merge(old, new, ["k"], ["v"], "n").collect())) == [("a", "x", 1), ("b", "w", 3), ("c", "z", 5), ("d", "q", 1)]
+    df = spark.createDataFrame([("a", "s"), ("b", "s"), ("c", "t")], "p string, q string")
+    one, two = spark.createDataFrame([("a", "1")], "p string, v string"), spark.createDataFrame([("s", "2")], "q string, v string")
+    got = sorted((r.p, r.v, r.confidence) for r in R.cascade(df, [(one, "p", 1.0), (two, "q", 0.9)], "v").collect())
+    assert got == [("a", "1", 1.0), ("b", "2", 0.9), ("c", None, None)]
