@@ -21,6 +21,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
@@ -31,6 +32,7 @@ from corvane.session import checked_broadcast_rows
 
 TAG = re.compile(r"<[^<>\n]{1,200}>|&(?:nbsp|amp|lt|gt|quot|#\d{1,5});")
 TOKEN = re.compile("[a-z0-9à-ɏ]+|[㐀-鿿]")
+NO_WIDTH = dict.fromkeys((0x00AD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF), " ")
 K, W = 4, 2
 SHARE = 0.5
 GAP, NEED = 4, 2  # tokens altered in a row that do not break a stretch, and tokens that must agree behind them
@@ -40,24 +42,53 @@ def tokens(text: str | None) -> list[tuple[str, int, int]]:
     """(token, start, end) in the text as given."""
     if not text:
         return []
-    low = "".join(c if len(c) == 1 else text[i] for i, c in enumerate(map(str.lower, text)))
-    flat = TAG.sub(lambda m: " " * len(m[0]), low)
-    flat = "".join(" " if c in "­​‌‍⁠﻿" else c for c in flat)
-    return [(m[0], m.start(), m.end()) for m in TOKEN.finditer(flat)]
+    low = text.lower()
+    if len(low) != len(text):  # a few letters have a lower case of two characters
+        low = "".join(c if len(c) == 1 else text[i] for i, c in enumerate(map(str.lower, text)))
+    if "<" in low or "&" in low:
+        low = TAG.sub(lambda m: " " * len(m[0]), low)
+    return [(m[0], m.start(), m.end()) for m in TOKEN.finditer(low.translate(NO_WIDTH))]
+
+
+_seen: dict[str, int] = {}
+
+
+def token_hash(word: str) -> int:
+    """64-bit hash of a token; tokens come again and again, so a bounded number is remembered."""
+    h = _seen.get(word)
+    if h is None:
+        if len(_seen) > 200_000:
+            _seen.clear()
+        h = _seen[word] = xxhash.xxh64_intdigest(word)
+    return h
 
 
 def fingerprints(words: list[str], k: int = K, w: int = W) -> list[tuple[int, int]]:
     """(hash, position) of the kept k-grams: the rightmost smallest in each window; a text shorter than k + w - 1 keeps at least one."""
-    hashes = [xxhash.xxh64_intdigest("\x01".join(words[i : i + k])) >> 1 for i in range(max(1, len(words) - k + 1))] if words else []
-    out, last = [], -1
-    for i in range(max(1, len(hashes) - w + 1) if hashes else 0):
-        window = hashes[i : i + w]
-        low = min(window)
-        at = i + max(j for j, h in enumerate(window) if h == low)
-        if at != last:
-            out.append((low, at))
-            last = at
-    return out
+    at, kept = kept_hashes(words, k, w)
+    return list(zip(kept.tolist(), at.tolist()))
+
+
+def kept_hashes(words: list[str], k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of the fingerprints. A k-gram's hash is a polynomial of its tokens' hashes, mixed once more, all modulo 2**64."""
+    if not words:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    one = np.array([token_hash(x) for x in words], dtype=np.uint64)
+    n = max(1, len(words) - k + 1)
+    h = np.zeros(n, dtype=np.uint64)
+    for j in range(min(k, len(words))):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + one[j : j + n]
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h = (h >> np.uint64(1)).astype(np.int64)
+    m = max(1, n - w + 1)
+    best, at = h[:m].copy(), np.arange(m)
+    for j in range(1, min(w, n)):
+        other = h[j : j + m]
+        lower = other <= best
+        best[lower], at[lower] = other[lower], (np.arange(m) + j)[lower]
+    at = at[np.concatenate(([True], at[1:] != at[:-1]))]  # positions never go back, so equal ones are neighbours
+    return at, h[at]
 
 
 def stretch(doc: list[str], item: list[str], at: int, iat: int, gap: int, need: int) -> tuple[int, int, int]:
@@ -119,7 +150,8 @@ class Finder:
         """As extended(), with places in the text instead of tokens."""
         toks = tokens(text)
         words = [t for t, _, _ in toks]
-        hits = [(i, at, iat) for h, at in fingerprints(words, self.k, self.w) for i, iat in self.index.get(h, ())]
+        get = self.index.get
+        hits = [(i, at, iat) for h, at in fingerprints(words, self.k, self.w) if (found := get(h)) for i, iat in found]
         return [(i, s, toks[a][1], toks[b - 1][2]) for i, s, a, b in self.extended(words, hits)]
 
 
