@@ -148,3 +148,79 @@ def reading_order(blocks: DataFrame, page: str, columns: int) -> DataFrame:
     width = F.greatest(F.max("x0").over(w) - F.min("x0").over(w), F.lit(1e-9))
     col = F.least(F.floor((F.col("x0") - F.min("x0").over(w)) / width * columns), F.lit(columns - 1))
     return blocks.withColumn("_c", col).withColumn("place", F.row_number().over(Window.partitionBy(page).orderBy("_c", "y0", "x0"))).drop("_c")
+
+
+def row_similarity(a: list[str], b: list[str]) -> float:
+    """The best of: Jaccard index of the numbers, share of the common prefix, sequence ratio of the whole rows."""
+    from difflib import SequenceMatcher
+
+    x, y = (re.sub(r"\s+", "", "".join(r)).lower() for r in (a, b))
+    if not x or not y:
+        return 0.0
+    m, n = (set(re.findall(r"\d+(?:\.\d+)?", " ".join(r))) for r in (a, b))
+    jaccard = len(m & n) / len(m | n) if m and n else 0.0
+    prefix = next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y))) / max(len(x), len(y))
+    return max(jaccard, prefix, SequenceMatcher(None, x, y).ratio())
+
+
+def aligned_rows(a: list[list[str]], b: list[list[str]], least: float = 0.6) -> list[tuple[int, int]]:
+    """Pairs of rows of two readings of one table, in order, with the greatest sum of similarities of at least `least`."""
+    n, m = len(a), len(b)
+    s = [[row_similarity(x, y) for y in b] for x in a]
+    best = [[0.0] * (m + 1) for _ in range(n + 1)]
+    for i in range(n - 1, -1, -1):
+        for j in range(m - 1, -1, -1):
+            best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + s[i][j] if s[i][j] >= least else 0.0)
+    out, i, j = [], 0, 0
+    while i < n and j < m:
+        if s[i][j] >= least and best[i][j] == best[i + 1][j + 1] + s[i][j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif best[i][j] == best[i + 1][j]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
+def components(segments: DataFrame, page: str, reach: float) -> DataFrame:
+    """(page, id, component): segments (id, x0, y0, x1, y1) that touch, or come within `reach` of each other, one after another."""
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        boxes = list(pdf[["id", "x0", "y0", "x1", "y1"]].sort_values("x0").itertuples(index=False))
+        root = list(range(len(boxes)))
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        for i, a in enumerate(boxes):
+            for j in range(i + 1, len(boxes)):
+                b = boxes[j]
+                if b.x0 > a.x1 + reach:
+                    break
+                if b.y0 <= a.y1 + reach and a.y0 <= b.y1 + reach:
+                    root[find(j)] = find(i)
+        least: dict[int, int] = {}
+        for i, b in enumerate(boxes):
+            least[find(i)] = min(least.get(find(i), b.id), b.id)
+        return pd.DataFrame([(pdf[page].iloc[0], b.id, least[find(i)]) for i, b in enumerate(boxes)], columns=[page, "id", "component"])
+
+    return segments.groupBy(page).applyInPandas(fold, f"{page} string, id long, component long")
+
+
+def cell_text(items: list[tuple[float, float, str]], tolerance: float) -> str:
+    """Text of a cell from its pieces (x0, middle, text): lines by the middle, Chinese joined without a space."""
+    lines: list[list[tuple[float, float, str]]] = []
+    for x in sorted(items, key=lambda x: (x[1], x[0])):
+        if lines and x[1] - lines[-1][0][1] <= tolerance:
+            lines[-1].append(x)
+        else:
+            lines.append([x])
+    out = ""
+    for t in (t for line in lines for _, _, t in sorted(line)):
+        glue = "" if not out or re.match("[㐀-鿿，。]", t) and re.search("[㐀-鿿，。]$", out) else " "
+        out += glue + t
+    return out

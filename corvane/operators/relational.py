@@ -112,3 +112,19 @@ def cascade(df: DataFrame, steps: list[tuple[DataFrame, str, float]], value: str
         df = df.join(lookup.select(F.col(key), F.col(value).alias(f"_v{i}")), key, "left")
         found, sure = F.coalesce(F.col(f"_v{i}"), found), F.when(F.col(f"_v{i}").isNotNull(), confidence).otherwise(sure)
     return df.withColumn(value, found).withColumn("confidence", sure).drop(*[f"_v{i}" for i in range(len(steps))])
+
+
+def adaptive_clusters(df: DataFrame, keys: list[str], at: str, factor: float, floor: float, tie: str) -> DataFrame:
+    """As gap_clusters, with a gap of `factor` times the median gap of the key, at least `floor`."""
+    w = Window.partitionBy(*keys).orderBy(at, tie)
+    gaps = df.withColumn("_gap", F.col(at) - F.lag(at).over(w))
+    limit = F.greatest(F.lit(floor), F.lit(factor) * F.median("_gap").over(Window.partitionBy(*keys)))
+    new = gaps.withColumn("_new", F.when(F.col("_gap") > limit, 1).otherwise(0))
+    return new.withColumn("cluster", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)) + 1).drop("_gap", "_new")
+
+
+def frozen(df: DataFrame, order: list[Column], most: int) -> DataFrame:
+    """The rows in order; more than `most` is an error when the frame is read, not a cut."""
+    n = F.count(F.lit(1)).over(Window.partitionBy())
+    rows = df.orderBy(*order).limit(most + 1)
+    return rows.withColumn("_n", n).where(F.when(F.col("_n") > most, F.raise_error(F.lit(f"more than {most} rows are selected"))).otherwise(F.lit(True))).drop("_n")

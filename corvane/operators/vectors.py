@@ -66,3 +66,11 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, block: int = 4096, least:
         found = found.where(F.col("score") >= least)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def changed(rows: DataFrame, stored: DataFrame, model: str, dim: int) -> DataFrame:
+    """Rows (id, lang, text) whose embedding is not there or no longer theirs: another text, model or length. stored: (id, text_hash, model, dim)."""
+    text_hash = F.sha2(F.concat(F.coalesce("lang", F.lit("")), F.lit("\0"), F.coalesce("text", F.lit(""))), 256)
+    now = rows.withColumn("text_hash", text_hash)
+    same = stored.where((F.col("model") == model) & (F.col("dim") == dim)).select("id", "text_hash")
+    return now.join(same, ["id", "text_hash"], "left_anti")

@@ -293,4 +293,75 @@ def archive_languages(spark, sf):
     return load(spark, sf, "archives").groupBy(X.normalise_lang(c("to_lang")).alias("lang")).agg(F.count("*").alias("n"), F.countDistinct("archive_id").alias("archives"))
 
 
+@part.query("SELECT word, count(DISTINCT doc_id) AS docs, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z]{2,}')) AS word FROM documents WHERE text IS NOT NULL) GROUP BY word HAVING count(*) >= 2")
+def abbreviations(spark, sf):
+    """Abbreviations that come at least twice."""
+    d = load(spark, sf, "documents").where(c("text").isNotNull()).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Z]{2,}"), 0)).alias("word"))
+    return d.groupBy("word").agg(F.countDistinct("doc_id").alias("docs"), F.count("*").alias("n")).where(c("n") >= 2)
+
+
+REJECTED = f"SELECT DISTINCT {at(NORM, 'source')} AS k FROM term_screen_decisions WHERE source IS NOT NULL AND decision = 'generic'"
+
+
+@part.query(f"SELECT DISTINCT norm FROM (SELECT {at(NORM, 'source')} AS norm FROM domain_ad WHERE source IS NOT NULL) WHERE norm NOT IN ({REJECTED}) AND {at(STEM, 'norm')} NOT IN ({REJECTED})")
+def rejected_suppression(spark, sf):
+    """Candidates whose form and stem were not rejected: anti-joins on derived keys."""
+    bad = load(spark, sf, "term_screen_decisions").where(c("source").isNotNull() & (c("decision") == "generic")).select(X.normalise_source(c("source")).alias("k")).distinct()
+    d = load(spark, sf, "domain_ad").where(c("source").isNotNull()).select(X.normalise_source(c("source")).alias("norm")).distinct().withColumn("stem", X.morphology_stem(c("norm")))
+    return d.join(bad, c("norm") == c("k"), "left_anti").join(bad, c("stem") == c("k"), "left_anti").select("norm")
+
+
+@part.query("SELECT user_id, cluster, count(*) AS n FROM (SELECT user_id, sum(CASE WHEN gap > greatest(0.5, 3.0 * med) THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY value, event_id ROWS UNBOUNDED PRECEDING) + 1 AS cluster FROM (SELECT *, median(gap) OVER (PARTITION BY user_id) AS med FROM (SELECT user_id, event_id, value, value - lag(value) OVER (PARTITION BY user_id ORDER BY value, event_id) AS gap FROM events))) GROUP BY 1, 2")
+def adaptive_clusters(spark, sf):
+    """Values of a user in clusters, divided where a gap is three times the usual one."""
+    return R.adaptive_clusters(load(spark, sf, "events").select("user_id", "event_id", "value"), ["user_id"], "value", 3.0, 0.5, "event_id").groupBy("user_id", "cluster").agg(F.count("*").alias("n"))
+
+
+@part.query("SELECT l_linestatus, round(p95 / first_value(p95) OVER (ORDER BY l_linestatus), 4) AS ratio, p95 / first_value(p95) OVER (ORDER BY l_linestatus) <= 1.25 AS within FROM (SELECT l_linestatus, quantile_disc(l_extendedprice, 0.95) AS p95 FROM lineitem GROUP BY 1)")
+def cohort_budget(spark, sf):
+    """The 95th percentile of each cohort against that of the first, and whether it keeps within a quarter more."""
+    a = load(spark, sf, "lineitem").groupBy("l_linestatus").agg(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY l_extendedprice)").alias("p95"))
+    base = a.agg(F.min_by("p95", "l_linestatus").alias("base"))
+    return a.crossJoin(F.broadcast(base)).select("l_linestatus", F.round(c("p95") / c("base"), 4).alias("ratio"), (c("p95") / c("base") <= 1.25).alias("within"))
+
+
+@part.query("SELECT subject, coalesce(n, 0) AS n, coalesce(n, 0) >= 5 AS complete FROM subjects LEFT JOIN (SELECT subject, count(DISTINCT doc_id) AS n FROM subject_labels GROUP BY 1) USING (subject)")
+def class_completeness(spark, sf):
+    """Labelled cases of each class; a class without any is there with 0."""
+    n = load(spark, sf, "subject_labels").groupBy("subject").agg(F.countDistinct("doc_id").alias("n"))
+    return load(spark, sf, "subjects").join(n, "subject", "left").select("subject", F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) >= 5).alias("complete"))
+
+
+@part.query("SELECT user_id, action, reopened FROM (SELECT user_id, arg_max(event_type, (ts, event_id)) FILTER (WHERE event_type IN ('click', 'purchase')) AS action, max((ts, event_id)) > max((ts, event_id)) FILTER (WHERE event_type IN ('click', 'purchase')) AS reopened FROM events GROUP BY 1) WHERE action IS NOT NULL")
+def latest_closing_action(spark, sf):
+    """The last closing event of each stream, and whether anything came after it."""
+    at_ = F.struct("ts", "event_id")
+    closing = c("event_type").isin("click", "purchase")
+    a = load(spark, sf, "events").groupBy("user_id").agg(F.max_by("event_type", F.when(closing, at_)).alias("action"), F.max(F.when(closing, at_)).alias("closed"), F.max(at_).alias("last"))
+    return a.where(c("closed").isNotNull()).select("user_id", "action", (c("last") > c("closed")).alias("reopened"))
+
+
+@part.query("SELECT docx_id, count(*) AS segments, count_if(is_textbox) AS textboxes, count_if(table_path IS NOT NULL) AS cells, count(DISTINCT container_ref) AS containers, count(DISTINCT section_index) AS sections FROM (SELECT DISTINCT docx_id, segment_id, is_textbox, table_path, container_ref, section_index FROM docx_segments) GROUP BY 1")
+def structure_summary(spark, sf):
+    """What each file is made of."""
+    s = load(spark, sf, "docx_segments").select("docx_id", "segment_id", "is_textbox", "table_path", "container_ref", "section_index").distinct()
+    return s.groupBy("docx_id").agg(F.count("*").alias("segments"), F.count_if("is_textbox").alias("textboxes"), F.count_if(c("table_path").isNotNull()).alias("cells"), F.countDistinct("container_ref").alias("containers"), F.countDistinct("section_index").alias("sections"))
+
+
+@part.query("SELECT source, round((0.2 * complete + 0.35 * coalesce(zh, 0)) / (0.2 + CASE WHEN zh IS NULL THEN 0 ELSE 0.35 END), 4) AS score FROM (SELECT source, avg(CASE WHEN n_chars IS NULL THEN 0.0 ELSE 1.0 END) AS complete, avg(CASE WHEN lang = 'zh' THEN 1.0 WHEN lang = 'en' THEN 0.0 END) AS zh FROM documents GROUP BY 1)")
+def weighted_score(spark, sf):
+    """Parts of a score with their weights, those without a value left out of the sum of weights."""
+    a = load(spark, sf, "documents").groupBy("source").agg(F.avg(F.when(c("n_chars").isNull(), 0.0).otherwise(1.0)).alias("complete"), F.avg(F.when(c("lang") == "zh", 1.0).when(c("lang") == "en", 0.0)).alias("zh"))
+    whole = F.lit(0.2) + F.when(c("zh").isNull(), 0.0).otherwise(0.35)
+    return a.select("source", F.round((0.2 * c("complete") + 0.35 * F.coalesce("zh", F.lit(0.0))) / whole, 4).alias("score"))
+
+
+@part.query("SELECT c_custkey, CASE WHEN coalesce(total, 0) > 0 THEN round_even(least(100.0, CAST(done AS DOUBLE) / total * 100), 2) END AS progress FROM customer LEFT JOIN (SELECT o_custkey, count_if(o_orderstatus = 'F') AS done, count(*) AS total FROM orders GROUP BY 1) ON o_custkey = c_custkey")
+def progress(spark, sf):
+    """Share of what is done in per cent, half-even to two places, at most 100; null where there is nothing to do."""
+    a = load(spark, sf, "orders").groupBy("o_custkey").agg(F.count_if(c("o_orderstatus") == "F").alias("done"), F.count("*").alias("total"))
+    j = load(spark, sf, "customer").select("c_custkey").join(a, c("o_custkey") == c("c_custkey"), "left")
+    return j.select("c_custkey", F.when(F.coalesce("total", F.lit(0)) > 0, F.bround(F.least(F.lit(100.0), c("done") / c("total") * 100), 2)).alias("progress"))
+
+
 QUERIES, ORACLE = part.QUERIES, part.ORACLE

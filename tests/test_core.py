@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corvane.functions import text as X
-from corvane.functions import sections, udfs
+from corvane.functions import plugins, sections, udfs
 from corvane.operators import dictionary, fuzzy, grids, quality, vectors
 from corvane.operators import packed_fields as P
 from corvane.operators import relational as R
@@ -324,3 +324,37 @@ def test_merge_and_cascade(spark):
     one, two = spark.createDataFrame([("a", "1")], "p string, v string"), spark.createDataFrame([("s", "2")], "q string, v string")
     got = sorted((r.p, r.v, r.confidence) for r in R.cascade(df, [(one, "p", 1.0), (two, "q", 0.9)], "v").collect())
     assert got == [("a", "1", 1.0), ("b", "2", 0.9), ("c", None, None)]
+
+
+def test_row_alignment_and_components(spark):
+    a, b = [["Age", "12.5"], ["Sex", "3"], ["Weight", "70"]], [["Age (y)", "12.5"], ["Weight", "70 kg"]]
+    assert grids.aligned_rows(a, b) == [(0, 0), (2, 1)] and grids.row_similarity([], ["x"]) == 0.0
+    df = spark.createDataFrame([("p", 1, 0.0, 0.0, 5.0, 0.0), ("p", 2, 5.0, 0.0, 5.0, 9.0), ("p", 3, 50.0, 0.0, 60.0, 0.0)], "page string, id long, x0 double, y0 double, x1 double, y1 double")
+    assert sorted((r.id, r.component) for r in grids.components(df, "page", 1.0).collect()) == [(1, 1), (2, 1), (3, 3)]
+    assert grids.cell_text([(5, 0, "b"), (0, 0, "a"), (0, 9, "中"), (3, 9.2, "文")], 1) == "a b 中文"
+
+
+def test_frozen_and_changed(spark):
+    n = spark.range(5)
+    assert R.frozen(n, [F.col("id")], 5).count() == 5
+    with pytest.raises(Exception, match="more than 4"):
+        R.frozen(n, [F.col("id")], 4).collect()
+    rows = spark.createDataFrame([(1, "en", "a"), (2, "en", "b"), (3, None, None)], "id long, lang string, text string")
+    stored = vectors.changed(rows, rows.selectExpr("id", "'' text_hash", "'m' model", "2 dim").limit(0), "m", 2).selectExpr("id", "text_hash", "'m' model", "2 dim")
+    assert vectors.changed(rows, stored, "m", 2).count() == 0 and vectors.changed(rows, stored, "m", 3).count() == 3
+    assert [r.id for r in vectors.changed(rows.withColumn("text", F.when(F.col("id") == 2, "c").otherwise(F.col("text"))), stored, "m", 2).collect()] == [2]
+
+
+def test_provider(spark):
+    def factory():
+        def provider(texts):
+            if "b" in texts:
+                raise ValueError("no b")
+            return [t.upper() for t in texts]
+
+        return provider
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["a", "b", None, "c", ""])], "id int, text string")
+    got = {r.id: (r.answer, r.error) for r in plugins.apply_provider(df, "text", factory, batch=2, tries=1, wait=0, tasks=1).collect()}
+    assert got[0] == ("A", None) and got[3] == ("C", None) and got[1][0] is None and "no b" in got[1][1] and got[2] == (None, None)
+    assert "signature_of" in plugins.register_all(spark)
