@@ -81,7 +81,7 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     many = alignment.several("source") | alignment.several("target")
     embedder = alignment.fitted(units.where(~many).withColumnRenamed("record_id", "id"), most_pairs=10_000)
     archives = load(spark, sf, "archives").select(F.col("archive_id").alias("record_id"), F.col("source_text_preview").alias("source"), F.col("translated_text_preview").alias("target")).where(F.col("source").rlike(blank) & F.col("target").rlike(blank))
-    return alignment.alignments(units.where(many).unionByName(archives), embedder)
+    return alignment.alignments(units.where(many).withColumn("least", F.lit(2)).unionByName(archives.withColumn("least", F.lit(1))), embedder)
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_units, p2_forms, p2_found, p4_found, p4_paragraphs, p5_found, p6_found, p7_found, p8_found, p9_mixture, p9_shares, p10_areas, p10_found)}

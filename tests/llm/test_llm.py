@@ -211,9 +211,10 @@ def test_long_documents_go_coarse_to_fine(embedder):
 
 def test_alignment_frame(spark, embedder):
     e = embedder[0]
-    df = spark.createDataFrame([("r", "The budget was approved on 101. The server was audited on 202.", "备份服务接受稽查202。预算科目已经获批101。"), ("s", "!!!", "预算。")], "record_id string, source string, target string")
-    assert sorted(map(tuple, alignment.alignments(df, e).collect())) == [("r", 1, 2), ("r", 2, 1)]
-    assert alignment.alignments(df.limit(0), alignment.Embedder([])).count() == 0
+    df = spark.createDataFrame([("r", "The budget was approved on 101. The server was audited on 202.", "备份服务接受稽查202。预算科目已经获批101。"), ("s", "!!!", "预算。"), ("t", "The budget was approved on 303.", "预算科目已经获批303。”")], "record_id string, source string, target string")
+    assert sorted(map(tuple, alignment.alignments(df.withColumn("least", F.lit(2)), e).collect())) == [("r", 1, 2), ("r", 2, 1)]
+    assert sorted(map(tuple, alignment.alignments(df.withColumn("least", F.lit(1)), e).collect())) == [("r", 1, 2), ("r", 2, 1), ("t", 1, 1)]
+    assert alignment.alignments(df.limit(0).withColumn("least", F.lit(1)), alignment.Embedder([])).count() == 0
 
 
 # ---- 8. leakage
