@@ -54,13 +54,25 @@ def gap_clusters(df: DataFrame, keys: list[str], at: str, gap: float, tie: str)
     return df.withColumn("_new", new).withColumn("cluster", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)) + 1).drop("_new")
 
 
-def merged_intervals(df: DataFrame, keys: list[str], start: str, end: str, gap: float = 0) -> DataFrame:
-    """(keys, start, end, n): intervals that overlap, or lie at most `gap` apart, as one. Rows with a null bound are left out."""
-    w = Window.partitionBy(*keys).orderBy(start, end)
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = df.where(F.col(start).isNotNull() & F.col(end).isNotNull()).withColumn("_new", F.when(F.col(start) <= reach + gap, 0).otherwise(1))
-    rows = rows.withColumn("_group", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy(*keys, "_group").agg(F.min(start).alias("start"), F.max(end).alias("end"), F.count(F.lit(1)).alias("n")).drop("_group")
+def merged_intervals(df: DataFrame, keys: list[str], start: str, end: str, gap: float = 0, slice_width: float | None = None, firsts: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, start, end, n): intervals that overlap, or lie at most `gap` apart, as one. Rows with a null bound are left out.
+
+    firsts: columns whose smallest value in each merged interval is kept too. slice_width: intervals are merged within slices of that width
+    first, by (keys, slice), and what is left is merged by key: the result is the same, and a key that holds a third of all rows is spread
+    over the tasks of its slices.
+    """
+    rows = df.where(F.col(start).isNotNull() & F.col(end).isNotNull()).select(*keys, F.col(start).alias("start"), F.col(end).alias("end"), F.lit(1).cast("long").alias("n"), *firsts)
+
+    def merged(x: DataFrame, by: list[str]) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy("start", "end")
+        reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+        x = x.withColumn("_new", F.when(F.col("start") <= reach + gap, 0).otherwise(1))
+        x = x.withColumn("_group", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        return x.groupBy(*by, "_group").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"), *[F.min(f).alias(f) for f in firsts]).drop("_group")
+
+    if slice_width:
+        rows = merged(rows.withColumn("_slice", F.floor(F.col("start") / slice_width)), [*keys, "_slice"]).drop("_slice")
+    return merged(rows, keys)
 
 
 def carried(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:
@@ -69,10 +81,20 @@ def carried(df: DataFrame, keys: list[str], order: list[str], value: Column, nam
     return df.withColumn(name, F.last(value, ignorenulls=True).over(w))
 
 
-def rate(df: DataFrame, keys: list[str], seconds: Column, span: int, amount: Column) -> DataFrame:
-    """The frame with `in_window`: the amount of the last `span` seconds, each row's own second included."""
-    w = Window.partitionBy(*keys).orderBy(seconds).rangeBetween(-span, 0)
-    return df.withColumn("in_window", F.sum(amount).over(w))
+def rate(df: DataFrame, keys: list[str], seconds: Column, span: int, amount: Column, slice_width: int | None = None) -> DataFrame:
+    """The frame with `in_window`: the amount of the last `span` seconds, each row's own second included.
+
+    slice_width (at least `span`): each row also stands as context in the next slice of time, and the window runs by (keys, slice), so a key
+    that holds a third of all rows is spread over tasks.
+    """
+    if not slice_width:
+        return df.withColumn("in_window", F.sum(amount).over(Window.partitionBy(*keys).orderBy(seconds).rangeBetween(-span, 0)))
+    if slice_width < span:
+        raise ValueError("a slice must be as wide as the window")
+    rows = df.withColumn("_at", seconds).withColumn("_amount", amount).withColumn("_own", F.floor(F.col("_at") / slice_width))
+    rows = rows.withColumn("_slice", F.explode(F.array("_own", F.col("_own") + 1)))
+    w = Window.partitionBy(*keys, "_slice").orderBy("_at").rangeBetween(-span, 0)
+    return rows.withColumn("in_window", F.sum("_amount").over(w)).where(F.col("_slice") == F.col("_own")).select(*df.columns, "in_window")
 
 
 def state_token(df: DataFrame, keys: list[str], item: Column) -> DataFrame:

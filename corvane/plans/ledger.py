@@ -239,21 +239,23 @@ def version_baseline(spark, sf):
 def gap_clusters(spark, sf):
     """Events of a user in clusters that lie more than six hours apart."""
     e = load(spark, sf, "events").select("user_id", "event_id", (F.unix_micros(c("ts").cast("timestamp")) / 1e6).alias("s"))
-    return R.gap_clusters(e, ["user_id"], "s", 21600, "event_id").groupBy("user_id", "cluster").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
+    m = R.merged_intervals(e, ["user_id"], "s", "s", 21600, slice_width=864000, firsts=("event_id",))
+    number = F.row_number().over(Window.partitionBy("user_id").orderBy("start")).cast("long")
+    return m.select("user_id", number.alias("cluster"), "n", c("event_id").alias("first_id"))
 
 
 @part.query("SELECT user_id, min(a) AS start, max(b) AS \"end\", count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT user_id, a, b, CASE WHEN a <= max(b) OVER (PARTITION BY user_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM (SELECT user_id, epoch_us(ts) // 1000000 AS a, epoch_us(ts) // 1000000 + CAST(floor(value * 60) AS BIGINT) AS b FROM events))) GROUP BY user_id, g")
 def interval_merge(spark, sf):
     """Overlapping intervals of a user as one."""
     e = load(spark, sf, "events").select("user_id", F.expr("unix_micros(cast(ts as timestamp)) div 1000000").alias("a"), F.floor(c("value") * 60).cast("long").alias("len")).select("user_id", "a", (c("a") + c("len")).alias("b"))
-    return R.merged_intervals(e, ["user_id"], "a", "b")
+    return R.merged_intervals(e, ["user_id"], "a", "b", slice_width=86400)
 
 
 @part.query("SELECT event_id, CAST(sum(1) OVER (PARTITION BY user_id ORDER BY s RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS BIGINT) AS in_window FROM (SELECT event_id, user_id, epoch_us(ts) // 1000000 AS s FROM events)")
 def sliding_rate(spark, sf):
     """Events of the same user within the last hour, each event included."""
     e = load(spark, sf, "events").select("event_id", "user_id", F.expr("unix_micros(cast(ts as timestamp)) div 1000000").alias("s"))
-    return R.rate(e, ["user_id"], c("s"), 3600, F.lit(1)).select("event_id", "in_window")
+    return R.rate(e, ["user_id"], c("s"), 3600, F.lit(1), slice_width=86400).select("event_id", "in_window")
 
 
 @part.query("SELECT user_id, generation, count(*) AS n, max(event_id) + 1 AS next_sequence FROM (SELECT DISTINCT user_id, CASE WHEN value > 50 THEN 2 ELSE 1 END AS generation, event_id FROM (SELECT * FROM events UNION ALL SELECT * FROM events WHERE event_id % 3 = 0)) GROUP BY 1, 2")

@@ -163,12 +163,19 @@ def term_sentences(spark, sf):
     return hits.select("doc_id", "term", "start", f("text", "start", "end").alias("sentence"))
 
 
-@part.query()
+SQUASHED = "regexp_replace(lower(target), '[^\\p{L}\\p{N}]+', '', 'g')"
+
+
+@part.query(f"SELECT key, 1 + count(DISTINCT CASE WHEN NOT contains(longest, sq) THEN sq END) AS targets FROM (SELECT key, sq, first_value(sq) OVER (PARTITION BY key ORDER BY length(sq) DESC, sq DESC) AS longest FROM (SELECT DISTINCT {at(NORM, 'source')} AS key, {SQUASHED} AS sq FROM domain_ad WHERE source IS NOT NULL AND target IS NOT NULL)) GROUP BY key")
 def distinct_targets(spark, sf):
-    """Really different targets of a source: what another target contains is the same."""
-    f = udfs.register()["really_different"]
-    d = load(spark, sf, "domain_ad").where(c("source").isNotNull()).groupBy(X.normalise_source(c("source")).alias("key")).agg(F.collect_set("target").alias("targets"))
-    return d.select("key", F.size(f("targets")).alias("targets"))
+    """Really different targets of a source: what the longest one contains, without case and marks, is the same as it.
+
+    The longest target of each key is a combining aggregate, so no key's targets are ever listed.
+    """
+    d = load(spark, sf, "domain_ad").where(c("source").isNotNull() & c("target").isNotNull())
+    d = d.select(X.normalise_source(c("source")).alias("key"), F.regexp_replace(F.lower("target"), r"[^\p{L}\p{N}]+", "").alias("sq")).distinct()
+    longest = d.groupBy("key").agg(F.max(F.struct(F.length("sq").alias("l"), c("sq"))).alias("top")).select("key", c("top.sq").alias("longest"))
+    return d.join(longest, "key").groupBy("key").agg((F.countDistinct(F.when(~F.contains("longest", "sq"), c("sq"))) + 1).alias("targets"))
 
 
 @part.query()

@@ -81,6 +81,11 @@ def test_intervals_against_brute_force(spark):
             else:
                 want.append([k, a, b])
     assert got == sorted(map(tuple, want))
+    df = spark.createDataFrame(rows, "k string, a int, b int").withColumn("i", F.monotonically_increasing_id())
+    one = sorted(map(tuple, R.merged_intervals(df, ["k"], "a", "b", 1, None, ("i",)).collect()))
+    assert one == sorted(map(tuple, R.merged_intervals(df, ["k"], "a", "b", 1, 7, ("i",)).collect()))
+    p = df.where("a is not null")
+    assert sorted(map(tuple, R.rate(p, ["k"], F.col("a"), 5, F.lit(1)).collect())) == sorted(map(tuple, R.rate(p, ["k"], F.col("a"), 5, F.lit(1), 8).collect()))
 
 
 def test_state_token_is_order_free(spark):
