@@ -203,7 +203,7 @@ def repairs(rows: DataFrame, frequent: int = 3, ratio: int = 10, **kw) -> DataFr
     fixes = cut(corrections(vocabulary.unionByName(parts).groupBy("word").agg(F.sum("n").alias("n")), frequent, ratio))
     fixed = every.withColumn("word", F.lower("w")).join(fixes, "word").select("key", "w", in_case("w", "right", "first").alias("found"))
     numbers = words.where(F.col("w").rlike(r"^[0-9OoQDlIi|SsBbZzgq]*[OoQDlIi|SsBbZzgq][0-9OoQDlIi|SsBbZzgq]*$") & F.col("w").rlike("[0-9]")).select("key", "w", number_meant("w").alias("found"))
-    misread = fixed.unionByName(numbers.where(F.col("found").isNotNull())).distinct()
+    misread = cut(fixed.unionByName(numbers.where(F.col("found").isNotNull())).distinct())  # used twice below: all words are gone through once
     broken = whole.join(misread.select("key", F.col("w").alias("word"), F.col("found").alias("right_word")), ["key", "word"], "left").select("key", F.lit("broken").alias("kind"), F.concat("left", "hyphen", "right").alias("read"), F.coalesce("right_word", "word").alias("found"))
     furniture = a.select("key", F.explode("furniture").alias("found")).select("key", F.lit("furniture").alias("kind"), F.col("found").alias("read"), "found")
     return furniture.unionByName(broken).unionByName(misread.select("key", F.lit("misread").alias("kind"), F.col("w").alias("read"), "found")).distinct()
