@@ -129,8 +129,17 @@ def cost(text: str) -> float:
     return total
 
 
+@lru_cache(None)
+def sequence_start(encoding: str) -> re.Pattern:
+    """A lead byte of UTF-8 and a byte that may follow it, as the characters that a single-byte encoding makes of them."""
+    lead, follow = ("".join(re.escape(c) for c, b in bytes_of(encoding).items() if lo <= b < hi) for lo, hi in ((0xC2, 0xF5), (0x80, 0xC0)))
+    return re.compile(f"[{lead}][{follow}]")
+
+
 def utf8_parts(text: str, encoding: str) -> str | None:
     """The text with each sequence that is valid UTF-8 under a single-byte encoding decoded; None where there is none."""
+    if not sequence_start(encoding).search(text):
+        return None
     table = bytes_of(encoding)
     raw = [table.get(c) for c in text]
     out, i, n, changed = [], 0, len(text), False
@@ -154,15 +163,19 @@ RUN = re.compile("[^\x00-\x7f]+")
 
 
 def recode(text: str, wrong: str, meant: str) -> str | None:
-    """Strict round trip of one piece; None where it fails."""
+    """Strict round trip of one piece; None where it fails. The codec encodes if it can, else the characters one by one."""
+    try:
+        if wrong == "gb18030" and "€" in text:
+            raise UnicodeEncodeError(wrong, text, 0, 1, "stands for one byte")
+        data = text.encode(wrong)
+    except UnicodeEncodeError:
+        try:
+            data = bytes(bytes_of(wrong)[c] for c in text) if wrong in SINGLE else b"".join(double_bytes(c, wrong) for c in text)
+        except KeyError:
+            return None
     try:
-        if wrong in SINGLE:
-            table = bytes_of(wrong)
-            data = bytes(table[c] for c in text)
-        else:
-            data = b"".join(double_bytes(c, wrong) for c in text)
         out = data.decode(meant)
-    except (KeyError, UnicodeError):
+    except UnicodeDecodeError:
         return None
     return out if out != text else None
 
@@ -190,7 +203,8 @@ def run_parts(text: str, wrong: str, meant: str) -> list[str]:
 def candidates(text: str) -> Iterator[list[str]]:
     """Repairs by one layer: first all that yield UTF-8, which proves itself, then the others."""
     yield [out for enc in SINGLE if (out := utf8_parts(text, enc))] + [out for wrong, meant in MULTI if meant == "utf-8" for out in run_parts(text, wrong, meant)]
-    yield [out for wrong, meant in MULTI if meant != "utf-8" for out in run_parts(text, wrong, meant)]
+    if cost(text) > 0.4 * sum(not c.isascii() for c in text):  # below that the characters are common ones where they stand
+        yield [out for wrong, meant in MULTI if meant != "utf-8" for out in run_parts(text, wrong, meant)]
 
 
 def repaired(text: str, left: int = LAYERS) -> tuple[float, str, int]:
