@@ -107,7 +107,7 @@ def cost(text: str) -> float:
             plain = "А" <= ch <= "я" or ch in "Ёё"
             inner = before == "c" and ch.isupper() and i and text[i - 1].islower()
             stray = before not in "c" and after not in "c" or before in "al0s" or after in "al0s"
-            total += (0.4 if plain else 2.0) + (1.5 if inner else 0) + (1.0 if stray else 0)
+            total += (0.12 if plain else 2.0) + (1.5 if inner else 0) + (1.0 if stray else 0)
         elif k == "g":
             total += 0.5 if before in " h(（g-" and after in "- gh)0" and not ("h" != before and after == "0") else 1.6
         elif ch == chr(0xFFFD):
@@ -183,7 +183,8 @@ def recode(text: str, wrong: str, meant: str) -> str | None:
 def run_parts(text: str, wrong: str, meant: str) -> list[str]:
     """The text with its runs beyond ASCII decoded, each where that lowers its cost enough; and as a whole.
 
-    Nearly any bytes are valid in the legacy encodings, so where one of them is meant a run needs four characters and a drop by 0.7.
+    Nearly any bytes are valid in the legacy encodings, so where one of them is meant a run needs four characters (three if it was read as
+    Big5) and a drop by 0.7 (0.4 from four characters of Big5 on).
     """
     utf8 = meant == "utf-8"
     drop = 0.7 if utf8 else 0.6 if wrong == "big5" else 0.3  # simplified Chinese has no bytes in Big5: that the text has is evidence
@@ -191,9 +192,9 @@ def run_parts(text: str, wrong: str, meant: str) -> list[str]:
     found = [whole] if whole and (utf8 or sum(not c.isascii() for c in text) >= 4 and cost(whole) < drop * cost(text)) else []
 
     def better(m: re.Match) -> str:
-        if not utf8 and len(m[0]) < 4 or (out := recode(m[0], wrong, meant)) is None:
+        if not utf8 and len(m[0]) < (3 if wrong == "big5" else 4) or (out := recode(m[0], wrong, meant)) is None:
             return m[0]
-        return out if cost(out) < drop * cost(m[0]) else m[0]
+        return out if cost(out) < (drop if len(m[0]) > 3 else min(drop, 0.3 if not utf8 else 1)) * cost(m[0]) else m[0]
 
     if (out := RUN.sub(better, text)) != text and out not in found:
         found.append(out)
@@ -203,8 +204,9 @@ def run_parts(text: str, wrong: str, meant: str) -> list[str]:
 def candidates(text: str) -> Iterator[list[str]]:
     """Repairs by one layer: first all that yield UTF-8, which proves itself, then the others."""
     yield [out for enc in SINGLE if (out := utf8_parts(text, enc))] + [out for wrong, meant in MULTI if meant == "utf-8" for out in run_parts(text, wrong, meant)]
-    if cost(text) > 0.4 * sum(not c.isascii() for c in text):  # below that the characters are common ones where they stand
-        yield [out for wrong, meant in MULTI if meant != "utf-8" for out in run_parts(text, wrong, meant)]
+    # Common characters that cost little where they stand can only have come from Big5, whose characters are common ones in other places.
+    common = cost(text) <= 0.4 * sum(not c.isascii() for c in text)
+    yield [out for wrong, meant in ((("big5", "gb18030"),) if common else MULTI) if meant != "utf-8" for out in run_parts(text, wrong, meant)]
 
 
 def repaired(text: str, left: int = LAYERS) -> tuple[float, str, int]:
