@@ -7,7 +7,7 @@ Values and names are brought to one spelling (compatibility forms, lower case, m
    nothing else: qualifiers, also with one typing error, and fillers, but no word or character that names of the list are built with.
 2. Values without such a mention go to token-set similarity: the value without qualifiers, in the order typed and with the part after a
    comma put first, is compared with the names that share enough letter pairs with it. A name is close enough within `edits` typing errors
-   (insertion, deletion, substitution, swap of neighbours; one in Chinese and in short names). Spaces do not count. Codes (letters and
+   (insertion, deletion, substitution, swap of neighbours; one in Chinese and in short names, one more in long ones). Spaces do not count. Codes (letters and
    digits without a vowel pattern of words) never match by similarity, since each letter of a code tells it from others.
 3. All others are `unmatched`.
 
@@ -39,6 +39,7 @@ from corvane.session import checked_broadcast_rows
 QUALIFIERS_EN = "the a an of in with for severe mild moderate suspected probable possible confirmed acute chronic recurrent adult adults child children paediatric pediatric patient patients nos unspecified".split()
 QUALIFIERS_ZH = "重度 轻度 中度 疑似 可疑 确诊 急性 慢性 复发性 原发性 继发性 患者 成人 儿童 老年 类 的".split()
 UNMATCHED = "unmatched"
+LONG = 14  # characters from which on one more typing error is let through
 HAN = "[㐀-鿿豈-﫿]"
 
 
@@ -155,7 +156,7 @@ class Mapper:
         best = None
         for form in forms:
             flat = form.replace(" ", "")
-            most = 1 if len(flat) < 8 or re.search(HAN, flat) else self.edits
+            most = 1 if len(flat) < 8 or re.search(HAN, flat) else self.edits + (len(flat) >= LONG)
             if len(flat) < 4:
                 continue
             shared: Counter = Counter()
