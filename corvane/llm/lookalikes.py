@@ -29,13 +29,12 @@ from corvane.session import cut
 
 # Look-alike letters of Cyrillic and Greek, each with the Latin letter it looks like, and hyphens that look like "-".
 LOOK_ALIKE = {
-    "А": "A", "В": "B", "Е": "E", "З": "3", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ѕ": "S", "І": "I", "Ј": "J", "Ԍ": "G", "Ԛ": "Q", "Ԝ": "W", "Ү": "Y", "Ӏ": "I",
-    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "ԁ": "d", "һ": "h", "ԛ": "q", "ԝ": "w", "ӏ": "l", "ѵ": "v", "ү": "y", "г": "r", "ё": "ë", "Ё": "Ë", "ї": "ï", "Ї": "Ï",
+    "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ѕ": "S", "І": "I", "Ј": "J", "Ԍ": "G", "Ԛ": "Q", "Ԝ": "W", "Ү": "Y", "Ӏ": "I",
+    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "ԁ": "d", "һ": "h", "ԛ": "q", "ԝ": "w", "ӏ": "l", "ѵ": "v", "ү": "y", "ё": "ë", "Ё": "Ë", "ї": "ï", "Ї": "Ï",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J",
-    "ο": "o", "ν": "v", "ι": "i", "ρ": "p", "ϲ": "c", "ϳ": "j", "υ": "u", "α": "a", "κ": "k", "ɑ": "a", "ɡ": "g", "ı": "i",
-    "‐": "-", "‑": "-", "ː": ":", "∕": "/", "⁄": "/", "’": "'", "ʼ": "'", "ʹ": "'", "∶": ":", "․": ".",
+    "ο": "o", "ν": "v", "ι": "i", "ρ": "p", "ϲ": "c", "ϳ": "j", "υ": "u", "α": "a", "ɑ": "a", "ɡ": "g", "ı": "i",
+    "‐": "-", "‑": "-", "ː": ":", "∕": "/", "⁄": "/", "ʼ": "'", "ʹ": "'", "∶": ":", "․": ".",
 }
-del LOOK_ALIKE["г"], LOOK_ALIKE["’"], LOOK_ALIKE["κ"], LOOK_ALIKE["З"]  # close, but a reader tells them apart
 MEMO = 200_000
 
 
