@@ -1,9 +1,11 @@
 """Sentence alignment in bilingual documents (problem 7).
 
-Fitting, on a bounded sample of units that hold one sentence on each side (`most_pairs`, those with the smallest hash of their identifier):
-skip-gram vectors of the words of each language (positive shifted pointwise mutual information of words and their neighbours, factorised,
-which is what skip-gram with negative sampling converges to); seed translations by association over the pairs; an orthogonal Procrustes map
-that turns one language's vectors onto the other's by these seeds. A word's vector is its (mapped) skip-gram vector beside the coordinates
+Fitting, on all records: document frequencies (sentences that hold a word), neighbours and word pairs are counted where the texts lie and
+summed by Spark; only the sums come to the driver, for the factorisation. A record of several sentences does not say which of them belong
+together: its word pairs count over all pairs of its sentences, which together weigh as much as one unit of one sentence a side. From the
+sums come skip-gram vectors of the words of each language (positive shifted pointwise mutual information of words and their neighbours,
+factorised, which is what skip-gram with negative sampling converges to); seed translations by association (Dice); an orthogonal Procrustes
+map that turns one language's vectors onto the other's by these seeds. A word's vector is its (mapped) skip-gram vector beside the coordinates
 of its seed translations; numbers and words that both languages write alike have the same coordinates in both. Chinese goes by pairs of
 characters.
 
@@ -12,7 +14,7 @@ over beads of 1-1, 1-2, 2-1, 1-3, 3-1 sentences and gaps maximises what the cosi
 half their resolution, recursively, and then only near the path found. Spans that stay unaligned are matched with each other again without
 order, best first, which recovers what was moved, and then with the sentences beside which they complete a merged rendering.
 
-Cases: records with a null or blank side have no pair; a sentence without a word or number is aligned with none; without a sample only
+Cases: records with a null or blank side have no pair; a sentence without a word or number is aligned with none; without a word that comes back only
 numbers and words written alike count; repeated rows give one set of pairs; documents are aligned whole.
 """
 
@@ -24,16 +26,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.llm.sentences import sentences
-from corvane.session import hash_sample
 
 DIMS, COORDINATES, ROWS = 96, 256, 8192
-WINDOW, VOCABULARY = 5, 4000
+WINDOW = 5
+GAP = [-1] * WINDOW
+LEAST_DICE = 0.1
+UNIT = 1 << 32  # weight of a unit of one sentence a side; whole numbers have one sum in any order
+BLOCK, MOST_HELD = 2_000_000, 4_000_000  # sizes of what a worker adds up at once, and holds before it hands partial sums on
 SKIPGRAM_WEIGHT = 0.35
 SMALL = 1600  # cells that are warped without a coarser pass
 PIECE = re.compile("[a-zà-ɏ]+|[0-9]+(?:[.,][0-9]+)*|[㐀-鿿]+")
@@ -43,7 +50,8 @@ BEADS = ((1, 1), (1, 2), (2, 1), (1, 3), (3, 1))
 
 def pieces(sentence: str) -> list[str]:
     out = []
-    for w in PIECE.findall(re.sub("[-­‐‑]\n", "", sentence.lower())):
+    low = sentence.lower()
+    for w in PIECE.findall(re.sub("[-­‐‑]\n", "", low) if "\n" in low else low):
         if "㐀" <= w[0] <= "鿿":
             out += [w[i : i + 2] for i in range(len(w) - 1)] or [w]
         elif w not in FILLER:
@@ -60,79 +68,265 @@ def random_rows() -> np.ndarray:
     return r / np.linalg.norm(r, axis=1, keepdims=True)
 
 
-def skipgram_vectors(texts: list[list[int]], size: int, dims: int) -> np.ndarray:
-    """Rows of the factorised shifted positive PMI matrix of words and their neighbours."""
-    counts = np.zeros((size, size), dtype=np.float32)
-    flat = np.array([x for t in texts for x in (*t, *[-1] * WINDOW)], dtype=np.int64)
-    for k in range(1, WINDOW + 1):
-        a, b = flat[:-k], flat[k:]
-        ok = (a >= 0) & (b >= 0)
-        np.add.at(counts, (a[ok], b[ok]), 1.0)
-    counts += counts.T
-    total, each = counts.sum(), np.maximum(counts.sum(1), 1e-9)
-    with np.errstate(divide="ignore"):
-        pmi = np.log(counts * total / (each[:, None] * (each[None, :] ** 0.75 * (total / (each**0.75).sum()))))
-    ppmi = np.maximum(pmi - np.log(2.0), 0, where=np.isfinite(pmi), out=np.zeros_like(pmi)).astype(np.float32)
+COUNTS = (("kind", pa.int32()), ("a", pa.int32()), ("bs", pa.list_(pa.int32())), ("ns", pa.list_(pa.int64())))
+
+
+def side_pieces(source: str, target: str) -> tuple[list[list[str]], list[list[str]]]:
+    """Pieces of the sentences of each side, the side with more Chinese second."""
+    x, y = ([w for z in sentences(t) if (w := pieces(z))] for t in (source, target))
+    if source.isascii():
+        return x, y
+    return (y, x) if sum(is_han(w) for z in x for w in z) > sum(is_han(w) for z in y for w in z) else (x, y)
+
+
+def record_weight(x: list, y: list) -> int:
+    """What one pair of sentences of a record counts: all pairs of a record together count as much as a unit of one sentence a side."""
+    return round(UNIT / (len(x) * len(y))) if x and y else 0
+
+
+def word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(word, n0, n1, w0, w1) of batches of (source, target): sentences of each side that hold a word, and the weight of the sentence pairs that
+    do; the word "" counts sentences."""
+    single, counts = (Counter(), Counter()), (Counter(), Counter(), Counter(), Counter())  # single: units of one sentence a side
+
+    def out() -> pd.DataFrame:
+        for k in (0, 1):
+            for w, n in single[k].items():
+                counts[k][w] += n
+                counts[2 + k][w] += n * UNIT
+        words = list(set().union(*counts))
+        return pd.DataFrame({"word": words} | {k: np.array([c[w] for w in words], dtype=np.int64) for k, c in zip(("n0", "n1", "w0", "w1"), counts)})
+
+    for batch in batches:
+        for s, t in zip(batch.source, batch.target):
+            both = side_pieces(s, t)
+            if len(both[0]) == len(both[1]) == 1:
+                for k in (0, 1):
+                    single[k].update({"", *both[k][0]})
+                continue
+            weight = record_weight(*both)
+            for k in (0, 1):
+                counts[k][""] += len(both[k])
+                own = Counter(w for x in both[k] for w in set(x))
+                counts[k].update(own)
+                for w, n in own.items():
+                    counts[2 + k][w] += n * weight * len(both[1 - k])
+        if sum(map(len, (*single, *counts))) > MOST_HELD:
+            yield out()
+            for c in (*single, *counts):
+                c.clear()
+    yield out()
+
+
+class Sums:
+    """Sums by code, below `size`, added up in blocks: in one array while the codes are few, else in a table."""
+
+    def __init__(self, size: int):
+        self.new, self.held, self.table, self.cells = [], 0, None, np.zeros(size, dtype=np.int64) if size <= 2 * MOST_HELD else None
+
+    def add(self, codes: np.ndarray, n: int) -> None:
+        self.new.append((codes, n))
+        self.held += len(codes)
+        if self.held > BLOCK:
+            self.reduce()
+
+    def reduce(self) -> None:
+        if not self.new:
+            return
+        codes = np.concatenate([c for c, _ in self.new])
+        n = np.repeat(np.array([n for _, n in self.new], dtype=np.int64), [len(c) for c, _ in self.new])
+        if self.cells is not None:
+            self.cells += np.bincount(codes, weights=n, minlength=len(self.cells)).astype(np.int64)  # a block's sums are exact as floats
+        else:
+            new = pa.table({"code": codes, "n": n})
+            self.table = (new if self.table is None else pa.concat_tables([self.table, new])).group_by("code", use_threads=False).aggregate([("n", "sum")]).rename_columns(["code", "n"])
+        self.new, self.held = [], 0
+
+    def full(self) -> bool:
+        return self.table is not None and self.table.num_rows > MOST_HELD
+
+    def taken(self) -> tuple[np.ndarray, np.ndarray]:
+        """Codes in order and their sums; what comes later begins anew."""
+        self.reduce()
+        if self.cells is not None:
+            codes = np.flatnonzero(self.cells)
+            return codes, self.cells[codes]
+        if self.table is None:
+            return (np.zeros(0, dtype=np.int64),) * 2
+        t, self.table = self.table.sort_by("code"), None
+        return t["code"].to_numpy(), t["n"].to_numpy()
+
+
+def packed(kind: int, codes: np.ndarray, n: np.ndarray, size: int) -> pd.DataFrame:
+    """(kind, a, bs, ns): one row for each a of the codes a * size + b, which are in order."""
+    a, starts = np.unique(codes // size, return_index=True)
+    ends = [*starts[1:], len(codes)]
+    b = (codes % size).astype(np.int32)
+    return pd.DataFrame({"kind": np.full(len(a), kind, dtype=np.int32), "a": a.astype(np.int32), "bs": [b[i:j] for i, j in zip(starts, ends)], "ns": [n[i:j] for i, j in zip(starts, ends)]})
+
+
+def pair_counts(batches: Iterator[pd.DataFrame], at: list[dict[str, int]]) -> Iterator[pd.DataFrame]:
+    """(kind, a, bs, ns) of batches of (source, target): kinds 0 and 1 are words and the words after them within a side, as often as they
+    stand so; kind 2 are words of both sides, by the weight of the sentence pairs that hold them."""
+    sizes = [max(1, len(at[0])), max(1, len(at[1])), max(1, len(at[1]))]
+    sums = [Sums(sizes[0] ** 2), Sums(sizes[1] ** 2), Sums(sizes[0] * sizes[1])]
+    for batch in batches:
+        flat: tuple[list[int], list[int]] = ([], [])
+        for s, t in zip(batch.source, batch.target):
+            both = side_pieces(s, t)
+            ids = [[[i for w in x if (i := at[k].get(w)) is not None] for x in both[k]] for k in (0, 1)]
+            for k in (0, 1):
+                for x in ids[k]:
+                    flat[k].extend(x)
+                    flat[k].extend(GAP)
+            x, y = (np.array([i for z in ids[k] for i in set(z)], dtype=np.int64) for k in (0, 1))
+            if len(x) and len(y):
+                step = max(1, BLOCK // len(y))
+                for i in range(0, len(x), step):
+                    sums[2].add((x[i : i + step, None] * sizes[2] + y).ravel(), record_weight(*both))
+        for k in (0, 1):
+            f = np.array(flat[k], dtype=np.int64)
+            for j in range(1, WINDOW + 1):
+                a, b = f[:-j], f[j:]
+                ok = (a >= 0) & (b >= 0)
+                sums[k].add(a[ok] * sizes[k] + b[ok], 1)
+        for k in (0, 1, 2):
+            if sums[k].full():
+                yield packed(k, *sums[k].taken(), sizes[k])
+    for k in (0, 1, 2):
+        yield packed(k, *sums[k].taken(), sizes[k])
+
+
+def summed(batches: Iterator[pd.DataFrame], weights: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+    """(kind, a, bs, ns) with one row for each (kind, a), if all of its rows are in these batches. Of kind 2 only pairs remain that may be
+    translations."""
+    rows: dict[tuple[int, int], list] = {}
+    for batch in batches:
+        for kind, a, bs, ns in zip(batch.kind, batch.a, batch.bs, batch.ns):
+            new = (np.asarray(bs, dtype=np.int64), np.asarray(ns, dtype=np.int64))
+            old = rows.get((kind, a))
+            rows[kind, a] = new if old is None else added(*(np.concatenate(x) for x in zip(old, new)))
+    out = []
+    for (kind, a), (b, n) in sorted(rows.items()):
+        if kind == 2:
+            ok = (n >= 2 * UNIT) & (2 * n >= LEAST_DICE * (weights[0][a] + weights[1][b]))
+            b, n = b[ok], n[ok]
+        if len(b):
+            out.append((kind, a, b.astype(np.int32), n))
+    yield pd.DataFrame(out, columns=["kind", "a", "bs", "ns"])
+
+
+def added(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    turn = np.argsort(codes, kind="stable")
+    codes, n = codes[turn], n[turn]
+    starts = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
+    return codes[starts], np.add.reduceat(n, starts)
+
+
+def flattened(counts: pa.Table) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, n) of each kind, in order."""
+    out = []
+    counts = counts.sort_by([("kind", "ascending"), ("a", "ascending")])
+    for kind in (0, 1, 2):
+        own = counts.filter(pc.equal(counts["kind"], kind)).combine_chunks()
+        a = np.repeat(own["a"].to_numpy(), pc.list_value_length(own["bs"]).to_numpy())
+        out.append((a, pc.list_flatten(own["bs"]).to_numpy(), pc.list_flatten(own["ns"]).to_numpy()))
+    return out
+
+
+def times(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The sparse matrix of (rows, cols, values), sorted by rows, times x."""
+    out = np.zeros_like(x)
+    for i in range(0, len(rows), BLOCK // 64):
+        part = slice(i, i + BLOCK // 64)
+        r = rows[part]
+        starts = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
+        out[r[starts]] += np.add.reduceat(values[part, None] * x[cols[part]], starts, axis=0)
+    return out
+
+
+def skipgram_vectors(a: np.ndarray, b: np.ndarray, n: np.ndarray, size: int, dims: int) -> np.ndarray:
+    """Rows of the factorised shifted positive PMI matrix of words and their neighbours; n: how often b comes after a."""
+    codes, place = np.unique(np.concatenate([a.astype(np.int64) * size + b, b.astype(np.int64) * size + a]), return_inverse=True)
+    counts = np.bincount(place, weights=np.concatenate([n, n]), minlength=len(codes))
+    rows, cols = codes // size, codes % size
+    each = np.maximum(np.bincount(rows, weights=counts, minlength=size), 1e-9)
+    pmi = np.log(counts * counts.sum() / (each[rows] * (each[cols] ** 0.75 * (counts.sum() / (each**0.75).sum())))) - np.log(2.0)
+    rows, cols, ppmi = rows[pmi > 0], cols[pmi > 0], pmi[pmi > 0].astype(np.float32)
+    turn = np.argsort(cols, kind="stable")
+    there = lambda x: times(rows, cols, ppmi, x)
+    back = lambda x: times(cols[turn], rows[turn], ppmi[turn], x)
     dims = min(dims, size)
-    q = np.linalg.qr(ppmi @ (ppmi.T @ (ppmi @ np.random.default_rng(5).standard_normal((size, dims + 8)).astype(np.float32))))[0]
-    u, s, _ = np.linalg.svd(q.T @ ppmi, full_matrices=False)
+    q = np.linalg.qr(there(back(there(np.random.default_rng(5).standard_normal((size, dims + 8)).astype(np.float32)))))[0]
+    u, s, _ = np.linalg.svd(back(q).T, full_matrices=False)
     v = (q @ u)[:, :dims] * np.sqrt(s[:dims])
     v = np.pad(v, ((0, 0), (0, DIMS - v.shape[1])))
-    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+    return (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+
+
+def vocabulary(words: pd.DataFrame) -> list[list[str]]:
+    """Words of each side that come back, the most frequent first. Numbers have no vector."""
+    names = []
+    words = words.astype({"word": str})
+    for k in ("n0", "n1"):
+        own = words[(words[k] > 1) & ~words.word.str[:1].str.isdigit() & (words.word != "")]
+        names.append([w for _, w in sorted(zip(-own[k], own.word))])
+    return names
 
 
 class Embedder:
-    """Vectors of words in the common space. pairs: (text, text) of one sentence each, in either direction."""
+    """Vectors of words in the common space. pairs: (text, text), in either direction."""
 
     def __init__(self, pairs: list[tuple[str, str]]):
+        batch = pd.DataFrame(pairs, columns=["source", "target"])
+        words = pd.concat(word_counts(iter([batch]))).groupby("word", as_index=False).sum()
+        names = vocabulary(words)
+        counts = pd.concat(summed(pair_counts(iter([batch]), places(names)), weights_of(words, names)))
+        self.build(words, names, flattened(pa.table({c: pa.array(counts[c].tolist(), t) for c, t in COUNTS})))
+
+    @classmethod
+    def of(cls, words: pd.DataFrame, names: list[list[str]], counts: pa.Table) -> Embedder:
+        """From the sums of word_counts and pair_counts; words seen once may be missing."""
+        e = cls.__new__(cls)
+        e.build(words, names, flattened(counts))
+        return e
+
+    def build(self, words: pd.DataFrame, names: list[list[str]], counts: list) -> None:
         self.rows = random_rows()
         self.memo: dict[str, tuple[np.ndarray, float]] = {}
-        sides = ([], [])
-        for a, b in pairs:
-            x, y = pieces(a), pieces(b)
-            if sum(map(is_han, x)) > sum(map(is_han, y)):
-                x, y = y, x
-            if x and y:
-                sides[0].append(x)
-                sides[1].append(y)
-        self.n = max(1, len(sides[0]))
-        df = Counter(w for s in sides for t in s for w in set(t))
-        self.idf = {w: float(np.log(1 + self.n / k)) for w, k in df.items()}
+        total = words[words.word == ""]
+        self.n = max(1, int(total[["n0", "n1"]].sum().max()))
+        self.idf = {w: float(np.log(1 + self.n / k)) for w, k in zip(words.word, words.n0 + words.n1) if w}
         self.vectors: dict[str, np.ndarray] = {}
-        counts = [Counter(w for t in s for w in set(t)) for s in sides]
-        names = [[w for w, k in sorted(n.items(), key=lambda x: (-x[1], x[0]))[:VOCABULARY] if k > 1 and not w[0].isdigit()] for n in counts]
+        self.translations: dict[str, list[tuple[str, float]]] = {}
         if min(map(len, names)) > 2:
-            self.fit(sides, names)
-
-    def fit(self, sides: tuple[list, list], names: list[list[str]]) -> None:
-        at = [{w: i for i, w in enumerate(n)} for n in names]
-        ids = [[[i for w in t if (i := at[s].get(w)) is not None] for t in sides[s]] for s in (0, 1)]
-        one = [np.zeros((self.n, len(n)), dtype=np.float32) for n in names]
-        for s in (0, 1):
-            for row, t in enumerate(ids[s]):
-                one[s][row, t] = 1
-        both = one[0].T @ one[1]
-        dice = 2 * both / (one[0].sum(0)[:, None] + one[1].sum(0)[None, :])
-        dice[both < 2] = 0
-        v = [skipgram_vectors(ids[s], len(names[s]), DIMS) for s in (0, 1)]
-        best = dice.argmax(0)
-        seeds = [(e, z) for z, e in enumerate(best) if dice[e, z] >= 0.5] or [(e, z) for z, e in enumerate(best) if dice[e, z] >= 0.2]
-        if seeds:
-            e, z = map(np.array, zip(*seeds))
-            u, _, w = np.linalg.svd(v[1][z].T @ v[0][e])
+            self.fit(weights_of(words, names), names, counts)
+
+    def fit(self, weights: list[np.ndarray], names: list[list[str]], counts: list) -> None:
+        v = [skipgram_vectors(*counts[s], len(names[s]), DIMS) for s in (0, 1)]
+        e, z, n = counts[2]
+        dice = 2 * n / (weights[0][e] + weights[1][z])
+        turn = np.lexsort((e, -dice, z))
+        e, z, dice = e[turn], z[turn], dice[turn]
+        first = np.concatenate((np.ones(min(1, len(z)), dtype=bool), z[1:] != z[:-1]))
+        seeds = next((k for least in (0.5, 0.2) if (k := np.flatnonzero(first & (dice >= least))).size), None)
+        if seeds is not None:
+            u, _, w = np.linalg.svd(v[1][z[seeds]].T @ v[0][e[seeds]])
             v[1] = v[1] @ (u @ w)
-        for w, i in at[0].items():
-            self.vectors[w] = np.concatenate([SKIPGRAM_WEIGHT * v[0][i], self.coordinates(w)])
-        top = np.argsort(-dice, axis=0)[:3]
-        for w, i in at[1].items():
-            if not is_han(w):
-                continue
-            weights = np.where(dice[top[:, i], i] >= 0.1, dice[top[:, i], i], 0)
-            c = sum((d * self.coordinates(names[0][e]) for e, d in zip(top[:, i], weights) if d > 0), np.zeros(COORDINATES, dtype=np.float32))
-            size = float(np.linalg.norm(c))
-            c = c / size * min(1.0, 2 * float(weights.max())) if size else self.coordinates(w)
-            self.vectors[w] = np.concatenate([SKIPGRAM_WEIGHT * v[1][i], c])
-        self.vectors = {w: x.astype(np.float32) for w, x in self.vectors.items()}
+        for s in (1, 0):
+            self.vectors |= {w: np.float32(SKIPGRAM_WEIGHT) * x for w, x in zip(names[s], v[s]) if not s or is_han(w)}
+        for i, j, d in zip(e, z, dice):
+            if is_han(w := names[1][j]) and len(found := self.translations.setdefault(w, [])) < 3:
+                found.append((names[0][i], float(d)))
+
+    def place(self, w: str) -> np.ndarray:
+        """Coordinates of a word, or of its seed translations."""
+        found = self.translations.get(w)
+        if not found:
+            return self.coordinates(w)
+        c = sum(np.float32(d) * self.coordinates(e) for e, d in found)
+        size = float(np.linalg.norm(c))
+        return c / size * min(1.0, 2 * found[0][1]) if size else self.coordinates(w)
 
     def coordinates(self, w: str) -> np.ndarray:
         return self.rows[xxhash.xxh32_intdigest(w) % ROWS]
@@ -141,8 +335,7 @@ class Embedder:
         out = self.memo.get(w)
         if out is None:
             v = self.vectors.get(w)
-            if v is None:
-                v = np.concatenate([np.zeros(DIMS, dtype=np.float32), self.coordinates(w)])
+            v = np.concatenate([np.zeros(DIMS, dtype=np.float32) if v is None else v, self.place(w)]).astype(np.float32)
             weight = self.idf.get(w, float(np.log(1 + self.n)))
             if w[0].isdigit():
                 weight = max(weight, 2.0)
@@ -277,11 +470,25 @@ def aligned(a: np.ndarray, b: np.ndarray, floor: float, moved: float) -> list[tu
 PAIRS = T.ArrayType(T.StructType([T.StructField("src_pos", T.IntegerType()), T.StructField("tgt_pos", T.IntegerType())]))
 
 
-def fitted(units: DataFrame, most_pairs: int) -> Embedder:
-    """units: (id, source, target), single sentences; the sample is the units with the smallest hashes."""
-    rows = hash_sample(units, "id", most_pairs).select("source", "target", F.xxhash64("id").alias("h")).collect()
-    rows = sorted(rows, key=lambda r: (r.h, r.source, r.target))[:most_pairs]
-    return Embedder([(r.source, r.target) for r in rows])
+def places(names: list[list[str]]) -> list[dict[str, int]]:
+    return [{w: i for i, w in enumerate(n)} for n in names]
+
+
+def weights_of(words: pd.DataFrame, names: list[list[str]]) -> list[np.ndarray]:
+    own = words.set_index("word")
+    return [own[f"w{s}"].reindex(names[s]).to_numpy(dtype=np.int64) for s in (0, 1)]
+
+
+def fitted(records: DataFrame) -> Embedder:
+    """records: (source, target), both non-blank. All of them are counted where they lie; the driver gets the sums."""
+    texts, context = records.select("source", "target"), records.sparkSession.sparkContext
+    words = texts.mapInPandas(word_counts, "word string, n0 long, n1 long, w0 long, w1 long").groupBy("word").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "w0", "w1")))
+    words = words.where((F.col("n0") + F.col("n1") > 1) | (F.col("word") == "")).toPandas()
+    names = vocabulary(words)
+    shared = context.broadcast((places(names), weights_of(words, names)))
+    schema = "kind int, a int, bs array<int>, ns array<long>"
+    counts = texts.mapInPandas(lambda x: pair_counts(x, shared.value[0]), schema).repartition("kind", "a").mapInPandas(lambda x: summed(x, shared.value[1]), schema)
+    return Embedder.of(words, names, counts.toArrow())
 
 
 def several(text: str) -> F.Column:

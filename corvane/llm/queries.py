@@ -79,8 +79,8 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     blank = r"[^\s\p{Z}]"
     units = load(spark, sf, "tm_units").select(F.col("id").alias("record_id"), F.col("source_text").alias("source"), F.col("target_text").alias("target")).where(F.col("source").rlike(blank) & F.col("target").rlike(blank))
     many = alignment.several("source") | alignment.several("target")
-    embedder = alignment.fitted(units.where(~many).withColumnRenamed("record_id", "id"), most_pairs=10_000)
     archives = load(spark, sf, "archives").select(F.col("archive_id").alias("record_id"), F.col("source_text_preview").alias("source"), F.col("translated_text_preview").alias("target")).where(F.col("source").rlike(blank) & F.col("target").rlike(blank))
+    embedder = alignment.fitted(units.unionByName(archives))
     return alignment.alignments(units.where(many).withColumn("least", F.lit(2)).unionByName(archives.withColumn("least", F.lit(1))), embedder)
 
 

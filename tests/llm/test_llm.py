@@ -217,6 +217,20 @@ def test_alignment_frame(spark, embedder):
     assert alignment.alignments(df.limit(0).withColumn("least", F.lit(1)), alignment.Embedder([])).count() == 0
 
 
+def test_all_records_are_fitted(spark):
+    """Word pairs beyond 10,000 units, words after 4,000 numbers, and records of several sentences all count."""
+    names = [chr(0x4E00 + i) + chr(0x5E00 + i) for i in range(30)]
+    words = [f"q{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(30)]
+    rows = [(f"The {words[i % 3]} {words[3 + i % 2]} {i % 4500}.", f"{names[i % 3]}，{names[3 + i % 2]}，{i % 4500}。") for i in range(22_000)]
+    rows += [(f"The {words[5 + i // 2]} stood here.", f"{names[5 + i // 2]}。") for i in range(50)]
+    rows += [("Only onlyhere. Then thenhere.", "仅此。随后。")] * 3
+    e = alignment.fitted(spark.createDataFrame(rows, "source string, target string").repartition(5))
+    assert e.n == 22_056 and all(e.translations[names[i]][0][0] == words[i] for i in range(30))
+    assert "onlyhere" in e.vectors and e.idf["onlyhere"] < e.idf.get("absent", 99)
+    local = alignment.Embedder(rows)
+    assert e.translations == local.translations and e.idf == local.idf
+
+
 # ---- 8. leakage
 
 ITEM = "The night porter crossed out four hundred signatures with green ink while the robot clock died and the harbour pharmacist swapped yellow patches for stronger green ones."
