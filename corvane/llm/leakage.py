@@ -132,19 +132,23 @@ class Finder:
                 self.index[h].append((i, at))
 
     def extended(self, words: list[str], hits: list[tuple[str, int, int]]) -> list[tuple[str, float, int, int]]:
-        """(item, share held, first and last + 1 token) of every stretch around the hits that is long enough."""
-        out, done = [], set()
+        """(item, share held, first and last + 1 token) of every stretch around the hits, in the order of their places, that is long enough. Hits
+        within one run of agreeing tokens have the same stretch; any other hit is looked at, on a known diagonal too."""
+        out, seen = {}, {}
         for item, at, iat in hits:
-            if (item, at - iat) in done or at >= len(words):
+            if at >= len(words) or at < seen.get((item, at - iat), 0):
                 continue
             own = self.items[item]
             if words[at] != own[iat]:
                 continue
+            end = at + 1
+            while end < len(words) and end - at + iat < len(own) and words[end] == own[end - at + iat]:
+                end += 1
+            seen[item, at - iat] = end
             same, a, b = stretch(words, own, at, iat, GAP, NEED)
-            done.add((item, at - iat))
             if same >= self.share * len(own):
-                out.append((item, same / len(own), a, b))
-        return out
+                out[item, same / len(own), a, b] = None
+        return list(out)
 
     def __call__(self, text: str | None) -> list[tuple[str, float, int, int]]:
         """As extended(), with places in the text instead of tokens."""
@@ -203,7 +207,7 @@ def leaks(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, share:
     def holds(texts: pd.Series, item: pd.Series, found: pd.Series) -> pd.Series:
         def one(t, x, h):
             f = Finder([("", x)], share)
-            return bool(f.extended([w for w, _, _ in tokens(t)], [("", a["at"], a["iat"]) for a in h]))
+            return bool(f.extended([w for w, _, _ in tokens(t)], sorted(("", a["at"], a["iat"]) for a in h)))
 
         return pd.Series([one(*x) for x in zip(texts, item, found)], dtype=bool)
 

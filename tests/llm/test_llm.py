@@ -275,6 +275,17 @@ def test_both_paths_agree(spark):
     assert leakage.leaks(docs, "doc_id", "text", items.limit(0)).count() == 0
 
 
+def test_a_short_stretch_hides_no_long_one_behind_it(spark):
+    words = [f"t{i}" for i in range(114)]
+    text = " ".join([*words[:8], *(f"foreign{i}" for i in range(8)), *words[16:]])
+    assert [h[:2] for h in leakage.Finder([("i", " ".join(words))])(text)] == [("i", 98 / 114)]
+    docs, items = spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([("i", " ".join(words))], "item_id string, text string")
+    for most in (0, 2_000_000):
+        assert [tuple(r) for r in leakage.leaks(docs, "doc_id", "text", items, most_fingerprints=most).collect()] == [(1, "i")]
+    again = [r for i in range(0, 114, 10) for r in (*words[i : i + 9], "other")]
+    assert len(leakage.Finder([("i", " ".join(words))])(" ".join(again))) == 1
+
+
 # ---- 9. mixture
 
 
