@@ -62,8 +62,8 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scanned_rows(spark: SparkSession, sf: str) -> DataFrame:
-    archives = load(spark, sf, "archives").select(F.struct(F.lit("archives").alias("table_name"), F.col("archive_id").alias("row_id")).alias("key"), F.concat(F.lit("a"), "archive_id").alias("doc"), F.col("source_text_preview").alias("text"), F.lit(False).alias("in_table"))
-    segments = load(spark, sf, "docx_segments").select(F.struct(F.lit("docx_segments").alias("table_name"), F.col("segment_id").alias("row_id")).alias("key"), F.concat(F.lit("d"), "docx_id").alias("doc"), "text", F.col("table_path").isNotNull().alias("in_table"))
+    archives = load(spark, sf, "archives").select(F.struct(F.lit("archives").alias("table_name"), F.col("archive_id").alias("row_id")).alias("key"), F.concat(F.lit("a"), "archive_id").alias("doc"), F.col("source_text_preview").alias("text"), F.lit(False).alias("in_table"), F.lit(0).cast("long").alias("place"))
+    segments = load(spark, sf, "docx_segments").select(F.struct(F.lit("docx_segments").alias("table_name"), F.col("segment_id").alias("row_id")).alias("key"), F.concat(F.lit("d"), "docx_id").alias("doc"), "text", F.col("table_path").isNotNull().alias("in_table"), F.col("segment_index").cast("long").alias("place"))
     return archives.unionByName(segments).where(F.col("key.row_id").isNotNull()).distinct()
 
 

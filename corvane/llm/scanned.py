@@ -2,8 +2,11 @@
 
 1. Edge lines. A line is page furniture if it has the form of a page number, or if it is a running header or footer: its template (numbers
    and document codes masked) comes back within one document in at least `recurs` of the documents that have it, which must be so many that
-   the lower bound of that share (Wilson, 95 %) is a half or more. Numbered section headings and lines that end a sentence never are. The templates that pass are few (they are checked to be at most
-   `most_templates`) and go to all workers; cells of tables are left alone.
+   the lower bound of that share (Wilson, 95 %) is a half or more. The templates that pass are few (they are checked to be at most
+   `most_templates`) and go to all workers. Whatever the number of documents, a template is also furniture of the document in which it comes
+   back `several` times or more at page edges (two lines or less from a page number or an end of the document, or with a page number of its own), or once more at regular
+   distances of a page; these templates are joined with the texts of their document. Numbered section headings and lines that end a sentence
+   never are furniture; cells of tables are left alone.
 2. Hyphen evidence. A word divided over two lines (page matter between them is gone by now) is put together with or without its hyphen,
    whichever form the corpus has more often undivided.
 3. Misread characters. Every word has an anagram hash (the sum of the fifth powers of its characters), so a confusion of characters is a
@@ -20,9 +23,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +41,8 @@ CONFUSIONS = (
 DIGIT_FOR = str.maketrans("OoQDlIi|SsBbZzgq", "0000111155862299")
 PAGE_NUMBER = r"(?i)^[\s\-–—|•·*]*(?:page|p\.|pg\.?|第)?\s*[0-9lOIS|]{1,5}(?:\s*(?:/|of|／|von|sur)\s*[0-9lOIS|]{1,5})?\s*页?(?:[\s,，]*共\s*[0-9lOIS|]{1,5}\s*页)?[\s\-–—|•·*]*$"
 HEADING = r"^\s*(?:\d+(?:\.\d+)*\.?|[IVX]+\.|第[一二三四五六七八九十\d]+[章节])\s+[^\s|/\-–—\d]"
+OWN_PAGE = r"(?i)\b(?:page|pg\.?|p\.)\s*\d+|\d+\s*(?:/|of|／|von|sur)\s*\d+\s*$|第\s*\d+\s*页"
+PAGE_LINES = 15  # lines between repeats that make a page, where no page number does
 CODE = r"\b[A-Z]{1,6}-?\d{2,}\b"
 HAN = re.compile("[㐀-鿿，。、；：（）]")
 HYPHENS = "-­‐‑¬"
@@ -54,17 +60,43 @@ def template_of(line: str) -> str:
     return re.sub(r"\s+", " ", re.sub(r"\d+", "#", re.sub(CODE, "§", line.strip(" "))))
 
 
+def short(line: Column) -> Column:
+    """Whether a line may be a header or footer that is no page number."""
+    return (F.length(F.trim(line)) >= 3) & (F.length(line) <= 90) & ~line.rlike(r"[.!?。！？;；,，:：]\s*$") & ~line.rlike(HEADING) & ~line.rlike(PAGE_NUMBER)
+
+
+def counted_templates(rows: DataFrame) -> DataFrame:
+    """(doc, template, n): short lines of each document."""
+    lines = rows.where(~F.col("in_table")).select("doc", F.explode(F.split("text", r"\n")).alias("line"))
+    return lines.where(short(F.col("line"))).select("doc", template(F.col("line")).alias("template")).groupBy("doc", "template").agg(F.count(F.lit(1)).alias("n"))
+
+
 def header_templates(rows: DataFrame, recurs: float) -> DataFrame:
     """(template): running headers and footers of the corpus. rows: (doc, text, in_table)."""
-    lines = rows.where(~F.col("in_table")).select("doc", F.explode(F.split("text", r"\n")).alias("line"))
-    short = lines.where((F.length(F.trim("line")) >= 3) & (F.length("line") <= 90) & ~F.col("line").rlike(r"[.!?。！？;；,，:：]\s*$") & ~F.col("line").rlike(HEADING) & ~F.col("line").rlike(PAGE_NUMBER))
-    by_doc = short.select("doc", template(F.col("line")).alias("template")).groupBy("doc", "template").agg(F.count(F.lit(1)).alias("n"))
+    by_doc = counted_templates(rows)
     by_all = by_doc.groupBy("template").agg(F.count(F.lit(1)).alias("docs"), F.count_if(F.col("n") > 1).alias("again"))
     n, p, z2 = F.col("docs"), F.col("again") / F.col("docs"), 1.96**2
     low = (p + z2 / (2 * n) - 1.96 * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n)
     return by_all.where((p >= recurs) & (low >= 0.5)).select("template")
 
 
+def document_headers(rows: DataFrame, known: DataFrame, recurs: float, several: int = 3) -> DataFrame:
+    """(doc, template): running headers and footers that their own document shows, beside the known ones. rows: (key, doc, text, in_table), with
+    the place of the text in its document if there is more than one."""
+    repeated = counted_templates(rows).where((F.col("n") >= several) & F.col("doc").isNotNull()).join(known, "template", "left_anti").select("doc", "template")
+    place = F.col("place") if "place" in rows.columns else F.lit(0).alias("place")
+    lines = rows.where(~F.col("in_table")).join(repeated.select("doc").distinct(), "doc", "left_semi").select("doc", place, "key", F.posexplode(F.split("text", r"\n")).alias("pos", "line"))
+    line = F.col("line")
+    marked = lines.where(line.rlike(r"\S")).select("doc", "place", "key", "pos", F.when(short(line), template(line)).alias("template"), (line.rlike(PAGE_NUMBER) & ~line.rlike(HEADING)).alias("page"), line.rlike(OWN_PAGE).alias("own"))
+    w = Window.partitionBy("doc").orderBy("place", "key", "pos")
+    beside = reduce(Column.__or__, [F.lag("page", k, True).over(w) for k in (-2, -1, 1, 2)])
+    placed = marked.select("doc", "template", (F.col("own") | beside).alias("edge"), F.row_number().over(w).alias("at")).join(repeated, ["doc", "template"], "left_semi")
+    seen = placed.groupBy("doc", "template").agg(F.count(F.lit(1)).alias("n"), F.count_if("edge").alias("edges"), F.sort_array(F.collect_list("at")).alias("at"))
+    gaps = F.zip_with(F.slice("at", 2, F.size("at") - 1), F.slice("at", 1, F.size("at") - 1), lambda b, a: b - a)
+    regular = (F.col("n") > several) & (F.array_min(gaps) >= PAGE_LINES) & (F.array_max(gaps) <= 1.25 * F.array_min(gaps))
+    return seen.where((F.col("edges") >= several) & (F.col("edges") >= recurs * F.col("n")) | regular).select("doc", "template")
+
+
 def is_furniture(line: str, headers: frozenset[str]) -> bool:
     s = line.strip()
     return bool(s) and (re.match(PAGE_NUMBER, s) is not None and not HEADING_RE.match(s) or template_of(s) in headers)
@@ -172,13 +204,15 @@ def analysed(rows: DataFrame, recurs: float = 0.8, most_templates: int = 200_000
     rows = rows.where(F.col("text").rlike(r"\S"))
     found = frozenset(r.template for r in checked_broadcast_rows(header_templates(rows, recurs), most_templates, "the table of running headers"))
     headers = rows.sparkSession.sparkContext.broadcast(found)
+    known = rows.sparkSession.createDataFrame([(t,) for t in sorted(found)], "template string")
+    own = document_headers(rows, known, recurs).groupBy("doc").agg(F.collect_list("template").alias("own"))
 
     @F.pandas_udf(ANALYSIS)
-    def read(texts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for text, in_table in texts:
-            yield pd.DataFrame([analysis(t, bool(i), headers.value) for t, i in zip(text, in_table)], columns=["furniture", "breaks", "words"])
+    def read(texts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for text, in_table, own in texts:
+            yield pd.DataFrame([analysis(t, bool(i), headers.value if o is None else headers.value.union(o)) for t, i, o in zip(text, in_table, own)], columns=["furniture", "breaks", "words"])
 
-    return cut(rows.select("key", read("text", "in_table").alias("x")).select("key", "x.*"))
+    return cut(rows.join(own, "doc", "left").select("key", read("text", "in_table", "own").alias("x")).select("key", "x.*"))
 
 
 def joined(breaks: DataFrame, vocabulary: DataFrame) -> DataFrame:

@@ -103,6 +103,21 @@ def test_scanned(spark):
     assert scanned.repairs(df.limit(0)).count() == 0
 
 
+def test_headers_of_one_document(spark):
+    prose = [f"The sponsor approved {w} without further comment." for w in "the budget,the visit,the contract,the sample,the device".split(",")]
+    body = "\n".join(prose)
+    rows = [("o", "o", 0, "\n".join(f"A title of its own\n{body}\nPage {i}" for i in range(1, 5)))]
+    rows += [(f"s{i}", "s", i, ["In parts", body, f"- {i // 3} -"][i % 3]) for i in range(15)]
+    rows += [("l", "l", 0, "\n".join(f"Every long page\n{body}\n{body}\n{body}\n{body}" for _ in range(5)))]
+    rows += [("w", "w", 0, "\n".join(f"Shared by scans\n{body}\n{i}" for i in range(1, 4)))] + [(f"w{i}", f"w{i}", 0, f"{body}\n{i} patients\nShared by scans") for i in range(5)]
+    rows += [("b", "b", 0, f"Status open\n{body}\nStatus open\n{body}\nStatus open\n{body}\nStatus open\n{body}\n{body}")]
+    df = spark.createDataFrame([(*r, False) for r in rows], "key string, doc string, place long, text string, in_table boolean")
+    got = {(r.key, r.found) for r in scanned.repairs(df).where("kind = 'furniture'").collect()}
+    assert {("o", "A title of its own"), ("s0", "In parts"), ("s12", "In parts"), ("l", "Every long page"), ("w", "Shared by scans")} <= got
+    assert not [g for g in got if g[0] == "b" or "sponsor" in g[1]]
+    assert {r.key: r.text for r in scanned.paragraphs(df).collect()}["o"] == " ".join(prose * 4)
+
+
 def test_anagram_hash_differences(spark):
     word, right = "anaernia", "anaemia"
     assert scanned.hash_of(right) == scanned.hash_of(word) + scanned.hash_of("m") - scanned.hash_of("rn")
