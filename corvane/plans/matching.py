@@ -224,7 +224,7 @@ def stream_days(spark, sf):
 @part.query("SELECT DISTINCT user_id, event_id FROM events")
 def stream_dedupe(spark, sf):
     e = S.source(spark, sf, "events")
-    return S.run(S.deduplicated(e.unionByName(e)).select("user_id", "event_id"))
+    return S.run(S.distinct_events(e.unionByName(e)).select("user_id", "event_id"))
 
 
 @part.query("SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS stages, count(*) AS n FROM events GROUP BY user_id")

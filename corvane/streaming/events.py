@@ -30,6 +30,11 @@ def deduplicated(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["user_id", "event_id"])
 
 
+def distinct_events(events: DataFrame) -> DataFrame:
+    """Each event of a bounded stream once, however late: its identity is kept to the end."""
+    return events.dropDuplicates(["user_id", "event_id"])
+
+
 def tumbling(events: DataFrame, width: str = "1 day", delay: str = "1 hour") -> DataFrame:
     w = events.withWatermark("ts", delay).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return w.select(F.col("window.start").alias("start"), "event_type", "n", "total")

@@ -363,3 +363,13 @@ def test_provider(spark):
     got = {r.id: (r.answer, r.error) for r in plugins.apply_provider(df, "text", factory, batch=2, tries=1, wait=0, tasks=1).collect()}
     assert got[0] == ("A", None) and got[3] == ("C", None) and got[1][0] is None and "no b" in got[1][1] and got[2] == (None, None)
     assert "signature_of" in plugins.register_all(spark)
+
+
+def test_distinct_events_of_many_files(spark, tmp_path):
+    """More files than three micro-batches take, whose times overlap: late rows count too."""
+    from corvane.plans import registry
+
+    rows = spark.range(2400).selectExpr("id % 7 AS user_id", "id AS event_id", "'a' AS event_type", "timestamp_ntz'2025-01-01 00:00:00' + make_interval(0, 0, 0, CAST(id AS int)) AS ts", "1.0D AS value")
+    rows.repartition(320).write.parquet(f"{tmp_path}/events.parquet")
+    got = [tuple(r) for r in registry.QUERIES["stream_dedupe"](spark, str(tmp_path)).collect()]
+    assert len(got) == 2400 and {e for _, e in got} == set(range(2400))
