@@ -1,7 +1,7 @@
 """Visually identical text with different characters (problem 2).
 
 The mapping is a transducer over grapheme clusters, compiled once: rules generate the width forms, the compatibility ideographs and
-radicals, the presentation ligatures, the spaces and the characters of no width from Unicode's own data, and a short fixed list adds the
+radicals, the presentation ligatures, the styled letters (<font>), the <compat> letters and Roman numerals, the spaces and the characters of no width from Unicode's own data, and a short fixed list adds the
 look-alike letters. `compile_mapping` checks it for conflicts (one source, two targets) and closes it, so that no target holds a source
 and one pass is enough. The pass walks the text from left to right, takes the longest mapped sequence of whole clusters at each place, and
 otherwise composes the cluster (NFC). Clusters repeat, so each worker keeps those it has seen in a bounded memo. Case, accents,
@@ -33,8 +33,11 @@ LOOK_ALIKE = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "ԁ": "d", "һ": "h", "ԛ": "q", "ԝ": "w", "ӏ": "l", "ѵ": "v", "ү": "y", "ё": "ë", "Ё": "Ë", "ї": "ï", "Ї": "Ï",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J",
     "ο": "o", "ν": "v", "ι": "i", "ρ": "p", "ϲ": "c", "ϳ": "j", "υ": "u", "α": "a", "ɑ": "a", "ɡ": "g", "ı": "i",
+    "∆": "Δ", "∑": "Σ", "∏": "Π",
     "‐": "-", "‑": "-", "ː": ":", "∕": "/", "⁄": "/", "ʼ": "'", "ʹ": "'", "∶": ":", "․": ".",
 }
+# Compatibility letters that do not look like the letter they stand for: long s, letters with another shape, jamo that NFC would join.
+UNLIKE = frozenset("ſẚϐϑϒϕϖϰϱϵ﬩") | {chr(c) for c in range(0x3131, 0x318F)}
 MEMO = 200_000
 
 
@@ -51,6 +54,8 @@ def rule_mapping() -> dict[str, str]:
         elif form.startswith(("<wide>", "<narrow>")) or 0x2E80 <= cp <= 0x2FDF or 0xF900 <= cp <= 0xFAFF or 0x2F800 <= cp <= 0x2FA1F or 0xFB00 <= cp <= 0xFB06:
             if (to := unicodedata.normalize("NFKC", ch)) != ch:
                 out[ch] = to
+        elif ch not in UNLIKE and ch not in LOOK_ALIKE and (form.startswith("<font>") or form.startswith("<compat>") and (kind[0] == "L" or kind == "Nl")):
+            out[ch] = "".join(chr(int(x, 16)) for x in form.split()[1:])  # one step, so that a styled letter of another shape keeps that shape
     return out
 
 

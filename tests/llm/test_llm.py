@@ -62,6 +62,15 @@ def test_one_form():
     assert t(None) is None and t("") == ""
 
 
+def test_compatibility_letters(spark):
+    t = lookalikes.transducer()
+    assert t("5 \u00b5g") == t("5 \u03bcg") == "5 \u03bcg" and t("\u2206") == t("\u0394") and t("\u2162 \u217b \u2163") == "III xii IV"
+    assert t("\U0001d400\u210e\U0001d7d9") == "Ah1" and t("\u01c6 \u0132") == "d\u017e IJ"
+    assert all(t(x) == x for x in ("x\u00b2", "H\u2082O", "\u00bd", "\u00aa", "\u017f", "\u03d1", "\u3131\u314f", "\u2122"))
+    df = spark.createDataFrame([("a", "5 \u00b5g"), ("b", "5 \u03bcg"), ("c", "5 mg")], "id string, text string")
+    assert [tuple(r) for r in lookalikes.pairs(df, "id", "text", "x").collect()] == [("x", "a", "b")]
+
+
 def test_mapping_is_checked():
     with pytest.raises(ValueError):
         lookalikes.compile_mapping({"a": "b"}, {"a": "c"})
