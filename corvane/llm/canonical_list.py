@@ -5,9 +5,10 @@ Values and names are brought to one spelling (compatibility forms, lower case, m
 1. An Aho-Corasick automaton over all names and aliases finds the mentions inside it. Latin mentions must stand between word borders. Of
    overlapping ones the longest wins, left to right. The value belongs to the concept of its longest mention if what is left of it says
    nothing else: qualifiers, also with one typing error, and fillers, but no word or character that names of the list are built with.
-2. Values without such a mention go to token-set similarity: the value without qualifiers, in the order typed and with the part after a
-   comma put first, is compared with the names that share enough letter pairs with it. A name is close enough within `edits` typing errors
-   (insertion, deletion, substitution, swap of neighbours; one in Chinese and in short names, one more in long ones). Spaces do not count. Codes (letters and
+2. Values without such a mention go to token-set similarity: the value without qualifiers is compared with the names that share enough letter
+   pairs with it, token by token in whatever order (tokens of under four characters exactly), and as one string in the order typed and with
+   the part after a comma put first, where spaces do not count. A name is close enough within `edits` typing errors (insertion, deletion,
+   substitution, swap of neighbours; one in Chinese and in short names, one more in long ones); of equally near ones the order typed wins. Codes (letters and
    digits without a vowel pattern of words) never match by similarity, since each letter of a code tells it from others.
 3. All others are `unmatched`.
 
@@ -73,6 +74,22 @@ def within(a: str, b: str, most: int) -> int:
     return last[-1]
 
 
+def set_distance(a: list[str], b: list[str], most: int) -> int:
+    """Typing errors over the tokens of two sets, each token beside another one, or most + 1 beyond it."""
+    if not a:
+        return 0
+    best = most + 1
+    for i, y in enumerate(b):
+        d = int(a[0] != y) and (within(a[0], y, best - 1) if min(len(a[0]), len(y)) > 3 else best)
+        if d < best:
+            best = min(best, d + set_distance(a[1:], b[:i] + b[i + 1 :], best - 1 - d))
+    return best
+
+
+def pairs_of_tokens(tokens: list[str]) -> Counter:
+    return sum(map(pairs_of, tokens), Counter())
+
+
 def pairs_of(s: str) -> Counter:
     s = f"^{s}$"
     return Counter(s[i : i + 2] for i in range(len(s) - 1))
@@ -99,12 +116,17 @@ class Mapper:
         han = Counter(x for n in self.names if re.search(HAN, n) for x in set(re.sub(f"[^{HAN[1:-1]}]", "", n)))
         self.han = set(han) - set("".join(QUALIFIERS_ZH))
         self.index, self.flat = defaultdict(list), []
+        self.token_index, self.sets = defaultdict(list), []
         for n in sorted(self.names):
             if not is_code(n):
                 flat = n.replace(" ", "")
                 for p, k in pairs_of(flat).items():
                     self.index[p].append((len(self.flat), k))
                 self.flat.append((flat, self.names[n]))
+                if " " in n:
+                    for p, k in pairs_of_tokens(n.split()).items():
+                        self.token_index[p].append((len(self.sets), k))
+                    self.sets.append((n.split(), self.names[n]))
 
     def mentions(self, s: str) -> list[tuple[int, int, str]]:
         if not len(self.automaton):
@@ -152,11 +174,15 @@ class Mapper:
             words = words[:-1]
         return self.stripped_zh(" ".join(words))
 
-    def nearest(self, forms: set[str]) -> str | None:
+    def most(self, flat: str) -> int:
+        return 1 if len(flat) < 8 or re.search(HAN, flat) else self.edits + (len(flat) >= LONG)
+
+    def nearest(self, forms: set[str]) -> tuple[int, str] | None:
+        """(typing errors, concept) of the nearest name in the order typed."""
         best = None
         for form in forms:
             flat = form.replace(" ", "")
-            most = 1 if len(flat) < 8 or re.search(HAN, flat) else self.edits + (len(flat) >= LONG)
+            most = self.most(flat)
             if len(flat) < 4:
                 continue
             shared: Counter = Counter()
@@ -168,7 +194,24 @@ class Mapper:
                 name, c = self.flat[i]
                 if k >= max(len(flat), len(name)) + 1 - 3 * most and (d := within(flat, name, most)) <= most and (best is None or (d, c) < best):
                     best = (d, c)
-        return best[1] if best else None
+        return best
+
+    def nearest_set(self, forms: set[str]) -> tuple[int, str] | None:
+        """The same by tokens in whatever order."""
+        best = None
+        for form in forms:
+            tokens = form.split()
+            if len(tokens) < 2 or len(form.replace(" ", "")) < 4:
+                continue
+            most, shared, own = self.most(form.replace(" ", "")), Counter(), pairs_of_tokens(tokens)
+            for p, k in own.items():
+                for i, m in self.token_index.get(p, ()):
+                    shared[i] += min(k, m)
+            for i, k in shared.items():
+                name, c = self.sets[i]
+                if len(name) == len(tokens) and k >= max(own.total(), sum(map(len, name)) + len(name)) - 3 * most and (d := set_distance(tokens, name, most)) <= most and (best is None or (d, c) < best):
+                    best = (d, c)
+        return best
 
     def __call__(self, value: str) -> str:
         if (out := self.memo.get(value)) is None:
@@ -202,7 +245,10 @@ class Mapper:
             head, _, tail = plain.partition(",")
             forms.add(self.stripped(spelling(f"{tail} {head}")))
             forms.add(self.stripped(f"{self.stripped(spelling(tail))} {self.stripped(spelling(head))}"))
-        return self.nearest({f for f in forms if f}) or UNMATCHED
+        typed, by_set = self.nearest({f for f in forms if f}), self.nearest_set({s, bare})
+        if by_set and (typed is None or by_set[0] < typed[0]):
+            return by_set[1]
+        return typed[1] if typed else UNMATCHED
 
 
 @lru_cache(4)

@@ -157,6 +157,12 @@ def test_mapping_frames(spark):
         canonical_list.list_names(concepts, most_names=0)
 
 
+def test_token_sets_in_any_order():
+    m = canonical_list.Mapper([("Nuzozigoren deficiency", "c1"), ("deficiency of Gulodicil", "c2"), ("Vitamin B excess", "c3"), ("alpha beta gamma", "c4")])
+    assert [m(x) for x in ("deficiency Nuzozigoren", "defficiency Nuzozigorn", "severe deficiency Nuzozigoren", "gamma alpha beta")] == ["c1", "c1", "c1", "c4"]
+    assert [m(x) for x in ("Gulodicil deficiency of", "excess Vitamin D", "deficiency Nuzozigoren gamma", "deficiency Nuxxxxxoren")] == ["c2", "unmatched", "unmatched", "unmatched"]
+
+
 # ---- 6. garbled text
 
 
