@@ -191,7 +191,7 @@ def register() -> dict:
         out = []
         for x, y in zip(a, b):
             p, q = Counter(numbers(x)), Counter(numbers(y))
-            out.append((sorted((p - q).elements())[:20], sorted((q - p).elements())[:20]))
+            out.append((sorted((p - q).elements()), sorted((q - p).elements())))
         return pd.DataFrame(out, columns=["missing", "added"])
 
     @F.pandas_udf(T.BooleanType())

@@ -373,3 +373,10 @@ def test_distinct_events_of_many_files(spark, tmp_path):
     rows.repartition(320).write.parquet(f"{tmp_path}/events.parquet")
     got = [tuple(r) for r in registry.QUERIES["stream_dedupe"](spark, str(tmp_path)).collect()]
     assert len(got) == 2400 and {e for _, e in got} == set(range(2400))
+
+
+def test_number_drift_is_whole(spark):
+    f = udfs.register()["number_drift"]
+    a, b = (" and ".join(f"{n} units" for n in range(start, start + 45)) for start in (100, 300))
+    d = spark.createDataFrame([(a, b)], "a string, b string").select(f("a", "b").alias("d")).first().d
+    assert len(d.missing) == len(d.added) == 45
