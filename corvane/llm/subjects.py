@@ -149,10 +149,10 @@ def calibrated(docs: list[tuple[list[str], list[str]]], subjects: list[str], sha
     return good[len(good) // 2]
 
 
-def counted_sentences(text: str | None, finder: leakage.Finder | None) -> list[str]:
+def counted_sentences(text: str | None, leaked: list[tuple[str, float, int, int]]) -> list[str]:
     spans = sentence_spans(text, paragraphs=True)
-    if finder and spans:
-        cuts = [(a, b) for _, _, a, b in finder(text)]
+    if leaked and spans:
+        cuts = [(a, b) for _, _, a, b in leaked]
         spans = [(a, b) for a, b in spans if all(2 * (min(b, y) - max(a, x)) < b - a for x, y in cuts)]
     return [s for a, b in spans if words(s := text[a:b])]
 
@@ -162,9 +162,9 @@ class Classifier:
         self.models, self.threshold, self.share, self.items = models, threshold, share, items
         self.memo: dict[str, np.ndarray] = {}
 
-    def __call__(self, text: str | None, finder: leakage.Finder | None) -> list[str]:
+    def __call__(self, text: str | None, leaked: list) -> list[str]:
         gains = []
-        for s in counted_sentences(text, finder):
+        for s in counted_sentences(text, leaked):
             key = re.sub(r"\d+", "0", s)
             g = self.memo.get(key)
             if g is None:
@@ -186,7 +186,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int) -> list[tuple
 def fitted(docs: DataFrame, labels: DataFrame, items: DataFrame | None, share: float, most_labelled: int) -> Classifier | None:
     known = leakage.item_rows(items) if items is not None else ()
     finder = leakage.Finder(list(known)) if known else None
-    sample = [(s, l) for t, l in labelled_sample(docs, labels, most_labelled) if (s := counted_sentences(t, finder))]
+    rows = labelled_sample(docs, labels, most_labelled)
+    sample = [(s, l) for (t, l), x in zip(rows, leaked_in([t for t, _ in rows], finder)) if (s := counted_sentences(t, x))]
     subjects = sorted({s for _, l in sample for s in l})
     if not subjects:
         return None
@@ -194,6 +195,10 @@ def fitted(docs: DataFrame, labels: DataFrame, items: DataFrame | None, share: f
     return Classifier(train(sample, subjects, threshold), threshold, share, known)
 
 
+def leaked_in(texts: list[str], finder: leakage.Finder | None) -> list[list]:
+    return finder.all(texts) if finder else [[] for _ in texts]
+
+
 @lru_cache(2)
 def finder_of(items: tuple) -> leakage.Finder | None:
     return leakage.Finder(list(items)) if items else None
@@ -212,7 +217,7 @@ def subject_areas(docs: DataFrame, labels: DataFrame, items: DataFrame | None =
         c = broadcast.value
         f = finder_of(c.items)
         for s in texts:
-            yield s.map(lambda x: c(x, f))
+            yield pd.Series([c(x, y) for x, y in zip(s, leaked_in(s.tolist(), f))], dtype=object)
 
     rows = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     return rows.select("doc_id", F.explode(areas("text")).alias("subject")).distinct()

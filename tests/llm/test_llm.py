@@ -316,6 +316,56 @@ def test_a_short_stretch_hides_no_long_one_behind_it(spark):
     assert len(leakage.Finder([("i", " ".join(words))])(" ".join(again))) == 1
 
 
+def test_items_of_any_script():
+    texts = {
+        "ru": "Ночной сторож вычеркнул четыреста подписей зелёными чернилами пока умирали часы робота",
+        "el": "Ο νυχτοφύλακας διέγραψε τετρακόσιες υπογραφές με πράσινο μελάνι ενώ το ρολόι σταματούσε",
+        "ja": "夜勤の守衛がロボット時計の停止する間に緑のインクで四百の署名を消した",
+        "ko": "야간 경비원이 로봇 시계가 멈추는 동안 초록 잉크로 사백 개의 서명을 지웠다",
+        "ar": "شطب الحارس الليلي أربعمئة توقيع بالحبر الأخضر بينما توقفت ساعة الروبوت",
+        "hi": "रात के चौकीदार ने हरी स्याही से चार सौ हस्ताक्षर काट दिए जब घड़ी रुक गई",
+        "de": "Der Straßenwächter strich größere Maßstäbe mit grüner Tinte durch während die Uhr stehen blieb",
+    }
+    f = leakage.Finder(list(texts.items()))
+    for name, t in texts.items():
+        assert {h[0] for h in f(f"Before it. {t.upper() if name in ('ru', 'el') else t}! Behind it.")} == {name}
+        assert f(t[: len(t) // 3]) == []
+    assert [h[0] for h in f(texts["de"].replace("ß", "ß\u00ad").replace("ö", "o\u0308"))] == ["de"]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 6, 7, 9, 10, 12, 15, 18, 19, 25])
+def test_short_items_are_found_in_full(n):
+    rng, own = random.Random(n), [f"q{i}" for i in range(n)]
+    f = leakage.Finder([("i", " ".join(own))])
+    for _ in range(60):
+        a = rng.randrange(n)
+        b = rng.randrange(a, n) + 1
+        doc = " ".join([*(f"x{rng.randrange(99)}" for _ in range(rng.randrange(4))), *own[a:b], *(f"y{rng.randrange(99)}" for _ in range(6))])
+        assert bool(f(doc)) == (b - a >= n / 2), (a, b)
+    if n >= 8:  # one altered word inside the shortest stretch, with words that agree on both sides of it
+        need = -(-n // 2)
+        for at in range(1, need - 2):
+            doc = [*own[:at], "other", *own[at + 1 : need], "and", "more", "words", "of", "another", "text"]
+            assert f(" ".join(doc)), at
+
+
+def test_places_and_batches():
+    f, item = leakage.Finder([("i", ITEM), ("i", "An item may come with a second text of its own under one name")]), " <i>" + ITEM + "</i>"
+    docs = ["no", None, "", "see " + item, ITEM[:20], "AN ITEM MAY COME WITH A SECOND TEXT OF ITS OWN", "x < 5 and " + ITEM.replace("green", "deep &amp; green") + " > 7"] * 3
+    got = f.all(docs)
+    assert [[h[0] for h in x] for x in got] == [[], [], [], ["i"], [], ["i"], ["i"]] * 3 and got[:7] == [f(d) for d in docs[:7]]
+    _, _, a, b = got[3][0]
+    assert docs[3][a:b] == ITEM[:-1]
+
+
+def test_hot_fingerprints_in_the_join(spark):
+    rows = [(i, ITEM if i % 3 else f"Nothing of it, {i} times over.") for i in range(60)] + [(99, "the robot clock died " * 50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([("i", ITEM), ("s", "robot clock"), ("n", None), (None, ITEM)], "item_id string, text string")
+    want = sorted(map(tuple, leakage.leaks(docs, "doc_id", "text", items).collect()))
+    assert want == sorted(map(tuple, leakage.leaks(docs, "doc_id", "text", items, most_items=1, hot_rows=5, salts=3).collect())) and (99, "s") in want and (1, "i") in want
+
+
 # ---- 9. mixture
 
 
