@@ -14,7 +14,8 @@ Where a quote or a bracket is not closed, or a closing quote is followed by some
 where it began and takes it as bare text, and the value carries an error flag: `quote` or `bracket`.
 
 Cases: null or blank gives no row; empty values between delimiters get no position; a value repeated in a field comes out at each of its
-positions; texts of any length are parsed whole, in linear time (a failed quote is remembered, so the text behind it is not scanned again).
+positions; texts of any length are parsed whole, in linear time: where the brackets close is worked out once for the text, from its end, and the
+closing mark at which a quote failed is remembered for the opening marks before it. A bracket that is not closed leaves later ones of its kind alone.
 """
 
 from __future__ import annotations
@@ -34,11 +35,29 @@ BLANK = " \t\r\n\x0b\x0c" + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000,
 ITEMS = T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("val", T.StringType()), T.StructField("error", T.StringType())]))
 
 
+def closed_brackets(text: str) -> dict[int, int]:
+    """Place of each opening bracket that is closed -> place of the mark that closes it: the first one behind it that is in no closed bracket."""
+    kinds = {BRACKETS[c] for c in set(text) & BRACKETS.keys()}
+    if not kinds:
+        return {}
+    out: dict[int, int] = {}
+    first = {c: [-1] * (len(text) + 1) for c in kinds}  # from each place on, where c closes
+    for i in range(len(text) - 1, -1, -1):
+        c = text[i]
+        if c in BRACKETS and (j := first[BRACKETS[c]][i + 1]) >= 0:
+            out[i] = j
+        behind = out[i] + 1 if i in out else i + 1
+        for k, places in first.items():
+            places[i] = i if c == k else places[behind]
+    return out
+
+
 class Parser:
     """One parse of one text. Positions are offsets into the text."""
 
     def __init__(self, text: str):
-        self.text, self.end, self.unclosed = text, len(text), {}
+        self.text, self.end, self.failed = text, len(text), {}
+        self.closed = closed_brackets(text)
 
     def delimiter(self, i: int) -> bool:
         t, c = self.text, self.text[i]
@@ -54,8 +73,9 @@ class Parser:
         return i
 
     def quoted(self, i: int) -> tuple[int, str] | None:
-        close, j, out = QUOTES[self.text[i]], i + 1, []
-        if self.unclosed.get(close, self.end + 1) <= i:
+        opening, j, out = self.text[i], i + 1, []
+        close = QUOTES[opening]
+        if i < self.failed.get(close, 0):
             return None
         while (k := self.text.find(close, j)) >= 0:
             out.append(self.text[j:k])
@@ -64,23 +84,11 @@ class Parser:
                 j = k + 2
                 continue
             after = self.skip(k + 1)
-            return (after, "".join(out)) if after == self.end or self.delimiter(after) else None
-        self.unclosed[close] = min(i, self.unclosed.get(close, i))
-        return None
-
-    def bracket(self, i: int) -> int | None:
-        stack = [BRACKETS[self.text[i]]]
-        if self.unclosed.get(stack[0], self.end + 1) <= i:
-            return None
-        for j in range(i + 1, self.end):
-            c = self.text[j]
-            if c == stack[-1]:
-                stack.pop()
-                if not stack:
-                    return j + 1
-            elif c in BRACKETS:
-                stack.append(BRACKETS[c])
-        self.unclosed[BRACKETS[self.text[i]]] = min(i, self.unclosed.get(BRACKETS[self.text[i]], i))
+            if after == self.end or self.delimiter(after):
+                return after, "".join(out)
+            break
+        if opening != close:  # what opens later, but before this mark, meets the same one; a mark that opens and closes is met at once
+            self.failed[close] = k if k >= 0 else self.end
         return None
 
     def bare(self, i: int) -> tuple[int, str, str | None]:
@@ -88,8 +96,8 @@ class Parser:
         while i < self.end and not self.delimiter(i):
             c = self.text[i]
             if c in BRACKETS:
-                if (j := self.bracket(i)) is not None:
-                    i = j
+                if i in self.closed:
+                    i = self.closed[i] + 1
                     continue
                 error = error or "bracket"
             elif c in QUOTES and (i == start or c == '"'):

@@ -29,8 +29,10 @@ def p3_values(spark: SparkSession, sf: str) -> DataFrame:
 ITEM = r"""[ ]*"(?:[^"]|"")*"|[ ]*“[^”]*”|(?:[(（][^)）]*[)）]|[0-9][,，][0-9]|[^\s|;；,，、]/[^\s|;；,，、]|[^|;；,，、\n\r\t/])+"""
 UNQUOTED = """trim(CASE WHEN starts_with(trim(x), '"') AND ends_with(trim(x), '"') AND length(trim(x)) > 1 THEN replace(trim(x)[2:-2], '""', '"') WHEN starts_with(trim(x), '“') THEN trim(trim(x), '“”') ELSE trim(x) END)"""
 ROWS = " UNION ALL ".join(f"SELECT DISTINCT '{t}.{c}' AS field_name, {i} AS row_id, {c} AS text FROM {t} WHERE trim(coalesce({c}, '')) <> ''" for t, i, c in FIELDS)
-VALUES = f"SELECT field_name, row_id, text, list_filter(list_transform(regexp_extract_all(text, '{ITEM}'), lambda x: {UNQUOTED}), lambda v: v <> '') AS vals FROM ({ROWS})"
-P3 = f"SELECT field_name, row_id, CAST(generate_subscripts(vals, 1) AS INTEGER) AS pos, unnest(vals) AS val FROM ({VALUES}) WHERE len(vals) >= "
+COUNT = "length(regexp_replace(x, '[^{}]', '', 'g'))"
+ERROR = f"""CASE WHEN regexp_matches(trim(x), '^["“]') AND NOT regexp_full_match(trim(x), '"(?:[^"]|"")*"|“[^”]*”') THEN 'quote' WHEN {COUNT.format('(（')} <> {COUNT.format(')）')} THEN 'bracket' END"""
+VALUES = f"SELECT field_name, row_id, text, list_filter(list_transform(regexp_extract_all(text, '{ITEM}'), lambda x: {{'val': {UNQUOTED}, 'error': {ERROR}}}), lambda v: v.val <> '') AS vals FROM ({ROWS})"
+P3 = "SELECT field_name, row_id, CAST(pos AS INTEGER) AS pos, v.val AS val{} FROM (SELECT field_name, row_id, generate_subscripts(vals, 1) AS pos, unnest(vals) AS v FROM (" + VALUES.replace("{", "{{").replace("}", "}}") + ") WHERE len(vals) >= {})"
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_values)}
-ORACLE: dict[str, str] = {"p3_found": P3 + "2"}
+ORACLE: dict[str, str] = {"p3_found": P3.format("", 2), "p3_values": P3.format(", v.error AS error", 1)}

@@ -47,6 +47,50 @@ def test_packed_is_linear():
     assert len(P.parse('"' * 20_001 + "(" * 20_000 + ",a" * 20_000)) > 1
 
 
+@pytest.mark.parametrize(
+    ("text", "values"),
+    [
+        ("a (b (c, d); e", ["a (b (c, d)", "e"]), ("x [ (y, z); w", ["x [ (y, z)", "w"]), ("(a, (b, c), d); e", ["(a, (b, c), d)", "e"]), ("f (a [b, c) d, e", ["f (a [b, c) d", "e"]),
+        ("( ( (a, b), c); d", ["( ( (a, b), c)", "d"]), ("a ), (b, c)", ["a )", "(b, c)"]), ("“a, “b”x; c", ["“a", "“b”x", "c"]), ("“a, “b”; c", ["a, “b", "c"]), ('"a ""; "b, c"', ['"a ""', "b, c"]),
+    ],
+)
+def test_packed_malformed(text, values):
+    assert [g["val"] for g in P.parse(text)] == values
+
+
+def slow_bracket(text, i):
+    """The rule for brackets as it is written, without a memo."""
+    j = i + 1
+    while j < len(text):
+        if text[j] in P.BRACKETS and (k := slow_bracket(text, j)) is not None:
+            j = k + 1
+        elif text[j] == P.BRACKETS[text[i]]:
+            return j
+        else:
+            j += 1
+    return None
+
+
+@given(st.text(alphabet="a,([{)]}（）", max_size=14))
+def test_brackets_follow_the_grammar(text):
+    want = {i: k for i, c in enumerate(text) if c in P.BRACKETS and (k := slow_bracket(text, i)) is not None}
+    assert P.closed_brackets(text) == want
+
+
+@given(st.text(alphabet="ab,; \"“”«»(", max_size=14))
+def test_failed_quotes_are_remembered_rightly(text):
+    class Forgetful(P.Parser):
+        def quoted(self, i):
+            self.failed = {}
+            return super().quoted(i)
+
+    assert P.Parser(text).items() == Forgetful(text).items()
+
+
+def test_packed_quotes_are_linear():
+    assert len(P.parse("“a," * 30_000 + "”x")) == 30_001
+
+
 def test_packed_frame(spark):
     df = spark.createDataFrame([("r", "a;b"), ("r", "a;b"), ("s", "one"), ("t", None), ("u", " ")], "id string, text string").withColumn("pos", F.lit(9))
     assert sorted(map(tuple, P.values(df, "id", "text", "f", 2).drop("error").collect())) == [("f", "r", 1, "a"), ("f", "r", 2, "b")]
