@@ -127,6 +127,38 @@ def test_headers_of_one_document(spark):
     assert {r.key: r.text for r in scanned.paragraphs(df).collect()}["o"] == " ".join(prose * 4)
 
 
+def test_numbers_and_codes_need_evidence(spark):
+    """Units, codes and words that look like page numbers stay, alone and beside a corpus that is misread."""
+    kept = "Take 10g of it and 50l of water in 3D view of vitamin B12. The 1st, 2nd and 4th of 7B and 5l.\nISO\nSOS\nOSLO\nI\n|\nThe end"
+    noise = [f"Table {i} has {100 + i % 9} rows, 501 and 109 and 812 and 30 too. The ist bst" for i in range(40)] + ["It has 1O3 rows, 1l4 rows, 10l rows, l05 rows, 1B2 and 1S5 and 18S."] * 2 + ["182 and 155 and 185 here"] * 20
+    for extra in ([], noise):
+        df = spark.createDataFrame([("k", "k", kept, False)] + [(f"n{i}", f"n{i}", t, False) for i, t in enumerate(extra)], "key string, doc string, text string, in_table boolean")
+        found = {(r.key, r.kind, r.read, r.found) for r in scanned.repairs(df).collect()}
+        assert not [f for f in found if f[0] == "k"], found
+        assert {r.key: r.text for r in scanned.paragraphs(df).collect()}["k"] == kept.replace("\n", " ")
+        if extra:
+            assert {(r, f) for k, _, r, f in found if k == "n40"} == {("1O3", "103"), ("1l4", "114"), ("10l", "101"), ("l05", "105"), ("1B2", "182"), ("1S5", "155"), ("18S", "185")}
+
+
+def test_long_headers_and_words_and_hot_documents(spark):
+    head, word = "The long title of a report that runs over the head of every page of it and goes on beyond ninety characters", "pneumono" * 9
+    body = "The sponsor approved the budget without further comment."
+    rows = [(f"p{i}", "hot", i, [head, body, f"- {i // 3} -"][i % 3]) for i in range(9000)]  # more than two slices
+    rows += [(f"r{i}", "far", i, head.upper() if i % 4000 == 17 else body) for i in range(17_000)]  # regular over slices, no page number near
+    rows += [(f"w{i}", f"w{i}", 0, f"{word} comes {'often' if i else '0ften'}") for i in range(30)] + [("x", "x", 0, word.replace("m", "rn", 1) + " comes t0 0f it"), ("y", "y", 0, "up to it and of it " * 20)]
+    df = spark.createDataFrame([(*r, False) for r in rows], "key string, doc string, place long, text string, in_table boolean")
+    got = {(r.key, r.kind, r.found) for r in scanned.repairs(df).collect()}
+    assert {k for k, kind, f in got if f == head} == {f"p{i}" for i in range(0, 9000, 3)}
+    assert {k for k, kind, f in got if f == head.upper()} == {f"r{i}" for i in range(17, 17_000, 4000)}
+    assert not [g for g in got if "sponsor" in g[2]] and {("x", "misread", word), ("w0", "misread", "often")} <= got
+
+
+def test_template_hashes_agree(spark):
+    lines = ["Protocol AB-123   Confidential", " 12 of 30 ", "方案编号 KT-697    机密", "é AB12x ZZ-01", "١٢ 5"]
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    assert [r[0] for r in df.select(F.xxhash64(scanned.template(F.col("line")))).collect()] == [scanned.template_hash(x) for x in lines]
+
+
 def test_anagram_hash_differences(spark):
     word, right = "anaernia", "anaemia"
     assert scanned.hash_of(right) == scanned.hash_of(word) + scanned.hash_of("m") - scanned.hash_of("rn")
