@@ -206,6 +206,28 @@ def test_rightful_text_stays(text):
     assert garbled.restore(text) is None
 
 
+OTHER_SCRIPTS = [
+    "환자는 매일 두 번 약을 복용해야 합니다.", "대한민국(大韓民國) 헌법", "カタカナのテスト", "患者は毎日二回薬を飲む必要があります。", "図書館の気温を測定する", "這個病人需要每天服用兩次藥物", "ﾃｽﾄｱ", "المريض يتناول الدواء مرتين يوميا", "החולה נוטל תרופה", "ผู้ป่วยต้องกินยาวันละสองครั้ง", "रोगी को दवा",
+    "Ελληνικά κείμενα εδώ", "ΑΘΗΝΑ", "Հայերեն տեքստ", "Việt Nam độc lập tự do hạnh phúc", "Příliš žluťoučký kůň úpěl ďábelské ódy", "İstanbul'da güneşli", "œuvre d’art à Nîmes", "№ 5 – «да»", "😀😀 ok", "√ done → next", "①②③ 步骤", "ａｂｃ１２３",
+    "┌──┬──┐\n│ a│ b│\n└──┴──┘", "┌──┬──┐\n│甲│乙│\n└──┴──┘", "Пациент принимает препарат дважды в день", "IL-1β/TNF-α", "≥ 3 × ULN",
+]
+
+
+@pytest.mark.parametrize("text", OTHER_SCRIPTS)
+def test_other_scripts_stay_and_come_back(text):
+    assert garbled.restore(text) is None
+    if text.strip("ﾃｽﾄｱΑΘΗΝ") and len(text) > 12:
+        assert garbled.restore(text.encode("utf-8").decode("latin-1")) == text
+
+
+@pytest.mark.parametrize("layers", range(3, 13))
+def test_any_number_of_layers(layers):
+    text = one = two = "naïve café – “x”"
+    for i in range(layers):
+        one, two = one.encode().decode("latin-1"), two.encode().decode(("cp437", "mac_roman")[i % 2])
+    assert garbled.restore(one) == garbled.restore(two) == text
+
+
 @pytest.mark.parametrize("text", RIGHT)
 @pytest.mark.parametrize("wrong", ["latin-1", "mac_roman", "cp437"])
 @pytest.mark.parametrize("layers", [1, 2])
