@@ -231,7 +231,7 @@ def corrections(vocabulary: DataFrame, frequent: int, ratio: int) -> DataFrame:
     once = F.struct(F.lit(1).alias("steps"), F.lit(0).cast("long").alias("d"))
     twice = F.transform(F.array_distinct(F.transform(table("right", 1), lambda c: c["d"])), lambda d: F.struct(F.lit(2).alias("steps"), d.alias("d")))
     right = right.select("right", "right_n", "h", F.explode(F.concat(F.array(once), twice)).alias("t")).select("right", "right_n", (F.col("h") - F.col("t.d")).alias("hash"), "t.steps")
-    may_be = F.col("word").rlike("[a-z]") & ((F.length("word") > 2) | F.col("word").rlike("[0-9|]")) & ~F.col("word").rlike(r"^[a-z]{1,3}-\d+$") & ~F.col("word").rlike(ORDINAL)
+    may_be = F.col("word").rlike("[a-z]") & ((F.length("word") > 2) | F.col("word").rlike("[0-9|]") & ~F.col("word").rlike(f"^[0-9{READ_FOR.lower()}]+$")) & ~F.col("word").rlike(r"^[a-z]{1,3}-\d+$") & ~F.col("word").rlike(ORDINAL)
     rare = vocabulary.where(may_be).select("word", "n", anagram_hash(F.col("word")).alias("h"), F.array_distinct(F.transform(table("word", 0), lambda c: c["d"])).alias("c"))
     tried = rare.select("word", "n", "h", F.explode("c").alias("d")).select("word", "n", (F.col("h") + F.col("d")).alias("hash"))
     marked = F.col("word").rlike(r"[0-9|]") & ~F.col("word").rlike(SHORT_CODE) & (F.col("right_n") > F.col("n"))
