@@ -5,11 +5,13 @@ Values and names are brought to one spelling (compatibility forms, lower case, m
 1. An Aho-Corasick automaton over all names and aliases finds the mentions inside it. Latin mentions must stand between word borders. Of
    overlapping ones the longest wins, left to right. The value belongs to the concept of its longest mention if what is left of it says
    nothing else: qualifiers, also with one typing error, and fillers, but no word or character that names of the list are built with.
-2. Values without such a mention go to token-set similarity: the value without qualifiers is compared with the names that share enough letter
-   pairs with it, token by token in whatever order (tokens of under four characters exactly), and as one string in the order typed and with
-   the part after a comma put first, where spaces do not count. A name is close enough within `edits` typing errors (insertion, deletion,
-   substitution, swap of neighbours; one in Chinese and in short names, one more in long ones); of equally near ones the order typed wins. Codes (letters and
-   digits without a vowel pattern of words) never match by similarity, since each letter of a code tells it from others.
+2. Values without such a mention go to token-set similarity, in whatever order the tokens stand. A token of the value is near one of a name if
+   typing errors (insertion, deletion, substitution, swap of neighbours) make up at most `token_errors` of the longer one; a run of Chinese is
+   one token. Tokens weigh by inverse document frequency in the list, so receptor weighs less than the name before it. The similarity of two
+   sets is the weight of the intersection, each token less its share of errors, over the weight of the intersection and of both rests; it must
+   reach `least_similarity`. Where spaces were moved or left out, the tokens are compared as one, in the order typed and with the part after a
+   comma put first, with at most `joined_errors` of errors. Codes (letters and digits without a vowel pattern of words) never match by
+   similarity, since each letter of a code tells it from others.
 3. All others are `unmatched`.
 
 The canonical list is curated and small by contract: more than `most_names` names raise an error instead of being broadcast. Values are
@@ -21,6 +23,7 @@ an empty list maps everything to `unmatched`; names shared by two concepts go to
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
@@ -40,7 +43,7 @@ from corvane.session import checked_broadcast_rows
 QUALIFIERS_EN = "the a an of in with for severe mild moderate suspected probable possible confirmed acute chronic recurrent adult adults child children paediatric pediatric patient patients nos unspecified".split()
 QUALIFIERS_ZH = "重度 轻度 中度 疑似 可疑 确诊 急性 慢性 复发性 原发性 继发性 患者 成人 儿童 老年 类 的".split()
 UNMATCHED = "unmatched"
-LONG = 14  # characters from which on one more typing error is let through
+TOKEN_ERRORS, JOINED_ERRORS, LEAST_SIMILARITY = 0.24, 0.14, 0.75
 HAN = "[㐀-鿿豈-﫿]"
 
 
@@ -74,32 +77,41 @@ def within(a: str, b: str, most: int) -> int:
     return last[-1]
 
 
-def set_distance(a: list[str], b: list[str], most: int) -> int:
-    """Typing errors over the tokens of two sets, each token beside another one, or most + 1 beyond it."""
-    if not a:
-        return 0
-    best = most + 1
-    for i, y in enumerate(b):
-        d = int(a[0] != y) and (within(a[0], y, best - 1) if min(len(a[0]), len(y)) > 3 else best)
-        if d < best:
-            best = min(best, d + set_distance(a[1:], b[:i] + b[i + 1 :], best - 1 - d))
-    return best
-
-
-def pairs_of_tokens(tokens: list[str]) -> Counter:
-    return sum(map(pairs_of, tokens), Counter())
-
-
 def pairs_of(s: str) -> Counter:
     s = f"^{s}$"
     return Counter(s[i : i + 2] for i in range(len(s) - 1))
 
 
+class Grams:
+    """Strings by their pairs of letters: an error changes three of them at most, so all that are near share enough."""
+
+    def __init__(self, strings: list[str]):
+        self.strings, self.index = strings, defaultdict(list)
+        for i, x in enumerate(strings):
+            for p, k in pairs_of(x).items():
+                self.index[p].append((i, k))
+
+    def near(self, s: str, share: float) -> list[tuple[str, float]]:
+        """(string, errors by length of the longer one) up to the share."""
+        shared: Counter = Counter()
+        for p, k in pairs_of(s).items():
+            for i, m in self.index.get(p, ()):
+                shared[i] += min(k, m)
+        out = []
+        for i, k in shared.items():
+            x = self.strings[i]
+            longer = max(len(x), len(s))
+            most = int(share * longer + 1e-9)
+            if k >= longer + 1 - 3 * most and (d := within(s, x, most)) <= most:
+                out.append((x, d / longer))
+        return out
+
+
 class Mapper:
     """The compiled list. names: (spelling, concept id)."""
 
-    def __init__(self, names: list[tuple[str, str]], edits: int = 2):
-        self.edits, self.memo = edits, {}
+    def __init__(self, names: list[tuple[str, str]], token_errors: float = TOKEN_ERRORS, joined_errors: float = JOINED_ERRORS, least_similarity: float = LEAST_SIMILARITY):
+        self.token_errors, self.joined_errors, self.least_similarity, self.memo = token_errors, joined_errors, least_similarity, {}
         self.names: dict[str, str] = {}
         for n, c in names:
             if (s := spelling(n)) and (s not in self.names or c < self.names[s]):
@@ -115,18 +127,21 @@ class Mapper:
         self.words = {w for w, k in words.items() if len(w) > 1} - set(QUALIFIERS_EN)
         han = Counter(x for n in self.names if re.search(HAN, n) for x in set(re.sub(f"[^{HAN[1:-1]}]", "", n)))
         self.han = set(han) - set("".join(QUALIFIERS_ZH))
-        self.index, self.flat = defaultdict(list), []
-        self.token_index, self.sets = defaultdict(list), []
-        for n in sorted(self.names):
-            if not is_code(n):
-                flat = n.replace(" ", "")
-                for p, k in pairs_of(flat).items():
-                    self.index[p].append((len(self.flat), k))
-                self.flat.append((flat, self.names[n]))
-                if " " in n:
-                    for p, k in pairs_of_tokens(n.split()).items():
-                        self.token_index[p].append((len(self.sets), k))
-                    self.sets.append((n.split(), self.names[n]))
+        self.near_memo: dict[str, list[tuple[str, float]]] = {}
+        plain = [n for n in sorted(self.names) if not is_code(n)]
+        self.sets = [(tuple(n.split()), self.names[n]) for n in plain]
+        self.holding: dict[str, list[int]] = defaultdict(list)  # token -> names that hold it
+        for i, (tokens, _) in enumerate(self.sets):
+            for t in set(tokens):
+                self.holding[t].append(i)
+        self.weight = {t: math.log(1 + len(plain) / len(held)) for t, held in self.holding.items()}
+        self.unknown = math.log(1 + max(1, len(plain)))
+        self.tokens = Grams(list(self.holding))
+        self.joined = Grams(sorted({n.replace(" ", "") for n in plain}))
+        self.concept: dict[str, str] = {}
+        for n in plain:
+            flat = n.replace(" ", "")
+            self.concept[flat] = min(self.names[n], self.concept.get(flat, self.names[n]))
 
     def mentions(self, s: str) -> list[tuple[int, int, str]]:
         if not len(self.automaton):
@@ -174,44 +189,46 @@ class Mapper:
             words = words[:-1]
         return self.stripped_zh(" ".join(words))
 
-    def most(self, flat: str) -> int:
-        return 1 if len(flat) < 8 or re.search(HAN, flat) else self.edits + (len(flat) >= LONG)
+    def near(self, token: str) -> list[tuple[str, float]]:
+        """Tokens of the list that are near, with their share of errors."""
+        if (out := self.near_memo.get(token)) is None:
+            out = self.tokens.near(token, self.token_errors)
+            if len(self.near_memo) < 500_000:
+                self.near_memo[token] = out
+        return out
 
-    def nearest(self, forms: set[str]) -> tuple[int, str] | None:
-        """(typing errors, concept) of the nearest name in the order typed."""
+    def similar(self, form: str) -> tuple[float, str] | None:
+        """(dissimilarity, concept) of the most similar name by its set of tokens."""
+        tokens = form.split()
+        found = [dict(self.near(t)) for t in tokens]
+        own = [max((self.weight[u] for u in f), default=self.unknown) for f in found]
+        # Names met only by tokens that together weigh too little cannot be similar enough.
+        candidates, rest = set(), sum(own)
+        for w, f in sorted(zip(own, found), key=lambda x: -x[0]):
+            if rest < self.least_similarity * sum(own):
+                break
+            candidates.update(i for u in f for i in self.holding[u])
+            rest -= w
         best = None
-        for form in forms:
-            flat = form.replace(" ", "")
-            most = self.most(flat)
-            if len(flat) < 4:
-                continue
-            shared: Counter = Counter()
-            own = pairs_of(flat)
-            for p, k in own.items():
-                for i, m in self.index.get(p, ()):
-                    shared[i] += min(k, m)
-            for i, k in shared.items():
-                name, c = self.flat[i]
-                if k >= max(len(flat), len(name)) + 1 - 3 * most and (d := within(flat, name, most)) <= most and (best is None or (d, c) < best):
-                    best = (d, c)
+        for i in candidates:
+            name, concept = self.sets[i]
+            pairs = sorted((e, j, k) for j, f in enumerate(found) for k, u in enumerate(name) if (e := f.get(u)) is not None)
+            left, right, both, errors = set(range(len(tokens))), set(range(len(name))), 0.0, 0.0
+            for e, j, k in pairs:
+                if j in left and k in right:
+                    left.discard(j)
+                    right.discard(k)
+                    both += self.weight[name[k]]
+                    errors += e * self.weight[name[k]]
+            whole = both + sum(own[j] for j in left) + sum(self.weight[name[k]] for k in right)
+            x = (1 - (both - errors) / whole, concept)
+            if x[0] <= 1 - self.least_similarity + 1e-9 and (best is None or x < best):
+                best = x
         return best
 
-    def nearest_set(self, forms: set[str]) -> tuple[int, str] | None:
-        """The same by tokens in whatever order."""
-        best = None
-        for form in forms:
-            tokens = form.split()
-            if len(tokens) < 2 or len(form.replace(" ", "")) < 4:
-                continue
-            most, shared, own = self.most(form.replace(" ", "")), Counter(), pairs_of_tokens(tokens)
-            for p, k in own.items():
-                for i, m in self.token_index.get(p, ()):
-                    shared[i] += min(k, m)
-            for i, k in shared.items():
-                name, c = self.sets[i]
-                if len(name) == len(tokens) and k >= max(own.total(), sum(map(len, name)) + len(name)) - 3 * most and (d := set_distance(tokens, name, most)) <= most and (best is None or (d, c) < best):
-                    best = (d, c)
-        return best
+    def as_one(self, form: str) -> tuple[float, str] | None:
+        """(share of errors, concept) of the nearest name where spaces do not count."""
+        return min(((e, self.concept[n]) for n, e in self.joined.near(form.replace(" ", ""), self.joined_errors)), default=None)
 
     def __call__(self, value: str) -> str:
         if (out := self.memo.get(value)) is None:
@@ -245,15 +262,13 @@ class Mapper:
             head, _, tail = plain.partition(",")
             forms.add(self.stripped(spelling(f"{tail} {head}")))
             forms.add(self.stripped(f"{self.stripped(spelling(tail))} {self.stripped(spelling(head))}"))
-        typed, by_set = self.nearest({f for f in forms if f}), self.nearest_set({s, bare})
-        if by_set and (typed is None or by_set[0] < typed[0]):
-            return by_set[1]
-        return typed[1] if typed else UNMATCHED
+        found = [x for f in forms if f for x in (self.similar(f), self.as_one(f)) if x]
+        return min(found)[1] if found else UNMATCHED
 
 
 @lru_cache(4)
-def compiled(names: tuple[tuple[str, str], ...], edits: int) -> Mapper:
-    return Mapper(list(names), edits)
+def compiled(names: tuple[tuple[str, str], ...]) -> Mapper:
+    return Mapper(list(names))
 
 
 def list_names(concepts: DataFrame, most_names: int = 200_000) -> tuple[tuple[str, str], ...]:
@@ -266,13 +281,13 @@ def list_names(concepts: DataFrame, most_names: int = 200_000) -> tuple[tuple[st
     return tuple(sorted(out))
 
 
-def mapped(df: DataFrame, id_col: str, text_col: str, concepts: DataFrame, edits: int = 2) -> DataFrame:
+def mapped(df: DataFrame, id_col: str, text_col: str, concepts: DataFrame) -> DataFrame:
     """(id, concept_id): one row for each id with a non-blank value."""
     names = df.sparkSession.sparkContext.broadcast(list_names(concepts))
 
     @F.pandas_udf(T.StringType())
     def concept_of(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        m = compiled(names.value, edits)
+        m = compiled(names.value)
         for s in values:
             yield s.map(m)
 

@@ -195,6 +195,27 @@ def test_token_sets_in_any_order():
     assert [m(x) for x in ("Gulodicil deficiency of", "excess Vitamin D", "deficiency Nuzozigoren gamma", "deficiency Nuxxxxxoren")] == ["c2", "unmatched", "unmatched", "unmatched"]
 
 
+def test_token_set_similarity():
+    names = [("renal failure", "c1"), ("hypertension stage two", "c2"), ("hypertension stage one", "c3"), ("cardiac failure", "c4"), ("hepatic failure", "c5"), ("asthma", "c6"), ("tinnitus aurium sinister chronicus", "c7")]
+    m = canonical_list.Mapper(names)
+    assert [m(x) for x in ("failure renal", "two stage hypertension", "stage one, hypertension", "failure, renal", "renall failure", "renalfailure", "ast hma")] == ["c1", "c2", "c3", "c1", "c1", "c1", "c6"]
+    assert [m(x) for x in ("failure", "gastric failure", "stage two", "cardial hypertension", "ast")] == ["unmatched"] * 5
+    for name, concept in names:  # any order of the tokens is the same set
+        tokens = name.split()
+        assert all(m(" ".join(tokens[i:] + tokens[:i])) == concept for i in range(len(tokens)))
+
+
+def test_near_tokens_are_all_found():
+    rng = random.Random(8)
+    words = sorted({"".join(rng.choice("abcd") for _ in range(rng.randrange(3, 10))) for _ in range(150)})
+    g = canonical_list.Grams(words)
+    for share in (0.14, 0.24, 0.4):
+        for _ in range(60):
+            s = "".join(rng.choice("abcd") for _ in range(rng.randrange(3, 10)))
+            want = sorted((w, d / max(len(s), len(w))) for w in words if (d := canonical_list.within(s, w, 9)) <= int(share * max(len(s), len(w)) + 1e-9) and canonical_list.pairs_of(s) & canonical_list.pairs_of(w))
+            assert sorted(g.near(s, share)) == want
+
+
 # ---- 6. garbled text
 
 
