@@ -303,7 +303,24 @@ def joined(breaks: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return known.select("left", "hyphen", "right", F.when(F.coalesce("n_kept", F.lit(0)) > F.coalesce("n_bare", F.lit(0)), kept).otherwise(bare).alias("word"))
 
 
-def repairs(rows: DataFrame, frequent: int = 3, ratio: int = 10, most_fixes: int = 2_000_000, **kw) -> DataFrame:
+def looked_up(analysed: DataFrame, fixes: DataFrame, meant: DataFrame) -> DataFrame:
+    """(key, w, found) of the misread words and numbers of each text, by small tables (word, right), without a row for every word."""
+    tables = analysed.sparkSession.sparkContext.broadcast(tuple({r.word: r.right for r in t.collect()} for t in (fixes, meant)))
+
+    @F.pandas_udf("array<struct<w string, found string>>")
+    def found(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        words, numbers = tables.value
+        for w, marks in batches:
+            out = []
+            for x, m in zip(w, marks):
+                own = [{"w": y, "found": cased(y, words[low], bool(k & BEGINS))} for y, k in zip(x, m) if (low := y.lower()) in words]
+                out.append(own + [{"w": y, "found": numbers[y]} for y, k in zip(x, m) if y in numbers and not k & IN_UNIT])
+            yield pd.Series(out, dtype=object)
+
+    return analysed.select("key", F.inline(found("w", "marks")))
+
+
+def repairs(rows: DataFrame, frequent: int = 3, ratio: int = 10, most_fixes: int = 500_000, **kw) -> DataFrame:
     """(key, kind, read, found): kind is furniture, broken or misread; read is the line, the divided word as it stands, or the word as read."""
     a = analysed(rows, **kw)
     words = a.select("key", F.inline(F.arrays_zip("w", "n", "marks")))
@@ -314,11 +331,14 @@ def repairs(rows: DataFrame, frequent: int = 3, ratio: int = 10, most_fixes: int
     parts = whole.groupBy(F.lower("word").alias("word")).agg(F.count(F.lit(1)).alias("n"))
     fixes = cut(corrections(vocabulary.unionByName(parts).groupBy("word").agg(F.sum("n").alias("n")), frequent, ratio))
     meant = cut(number_corrections(numbers, vocabulary))
-    known = lambda table: F.broadcast(table) if table.count() <= most_fixes else table
-    every = words.select("key", "w", (F.col("marks").bitwiseAND(BEGINS) > 0).alias("first")).unionByName(whole.select("key", F.col("word").alias("w"), "first"))
-    fixed = every.withColumn("word", F.lower("w")).join(known(fixes), "word").select("key", "w", in_case("w", "right", "first").alias("found"))
-    counted = words.where(F.col("w").rlike(NUMBER) & (F.col("marks").bitwiseAND(IN_UNIT) == 0)).select("key", F.col("w").alias("word")).join(known(meant), "word").select("key", F.col("word").alias("w"), F.col("right").alias("found"))
-    misread = cut(fixed.unionByName(counted).distinct())  # used twice below: all words are gone through once
+    first = (F.col("marks").bitwiseAND(BEGINS) > 0).alias("first")
+    recased = lambda rows, table: rows.withColumn("word", F.lower("w")).join(table, "word").select("key", "w", in_case("w", "right", "first").alias("found"))
+    if fixes.count() + meant.count() <= most_fixes:
+        single, mended = looked_up(a, fixes, meant), recased(whole.select("key", F.col("word").alias("w"), "first"), F.broadcast(fixes))
+    else:
+        counted = words.where(F.col("w").rlike(NUMBER) & (F.col("marks").bitwiseAND(IN_UNIT) == 0)).select("key", F.col("w").alias("word")).join(meant, "word").select("key", F.col("word").alias("w"), F.col("right").alias("found"))
+        single, mended = recased(words.select("key", "w", first), fixes).unionByName(counted), recased(whole.select("key", F.col("word").alias("w"), "first"), fixes)
+    misread = cut(single.unionByName(mended).distinct())  # used twice below: all words are gone through once
     broken = whole.join(misread.select("key", F.col("w").alias("word"), F.col("found").alias("right_word")), ["key", "word"], "left").select("key", F.lit("broken").alias("kind"), F.concat("left", "hyphen", "right").alias("read"), F.coalesce("right_word", "word").alias("found"))
     furniture = a.select("key", F.explode("furniture").alias("found")).select("key", F.lit("furniture").alias("kind"), F.col("found").alias("read"), "found")
     return furniture.unionByName(broken).unionByName(misread.select("key", F.lit("misread").alias("kind"), F.col("w").alias("read"), "found")).distinct()
