@@ -6,12 +6,12 @@ together: its word pairs count over all pairs of its sentences, which together w
 sums come skip-gram vectors of the words of each language (positive shifted pointwise mutual information of words and their neighbours,
 factorised, which is what skip-gram with negative sampling converges to); seed translations by association (Dice); an orthogonal Procrustes
 map that turns one language's vectors onto the other's by these seeds. A word's vector is its (mapped) skip-gram vector beside the coordinates
-of its seed translations; numbers and words that both languages write alike have the same coordinates in both. Chinese goes by pairs of
-characters.
+of its seed translations; numbers, and words that both languages write and use alike, have the same coordinates in both. Words are those of any script with spaces; Chinese,
+kana, Thai and the like go by pairs of characters.
 
 Aligning, for each document where it lies: a sentence is the sum of its word vectors, weighted by inverse document frequency. Time warping
 over beads of 1-1, 1-2, 2-1, 1-3, 3-1 sentences and gaps maximises what the cosines exceed `floor` by; long documents are first warped at
-half their resolution, recursively, and then only near the path found. Spans that stay unaligned are matched with each other again without
+half their resolution, recursively, and then only in a window of each row near the path found, so that time and memory grow with the number of sentences. Spans that stay unaligned are matched with each other again without
 order, best first, which recovers what was moved, and then with the sentences beside which they complete a merged rendering.
 
 Cases: records with a null or blank side have no pair; a sentence without a word or number is aligned with none; without a word that comes back only
@@ -21,8 +21,9 @@ numbers and words written alike count; repeated rows give one set of pairs; docu
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import ChainMap, Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -33,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvane.llm.leakage import SPACELESS, marks
 from corvane.llm.sentences import sentences
 
 DIMS, COORDINATES, ROWS = 96, 256, 8192
@@ -42,25 +44,42 @@ LEAST_DICE = 0.1
 UNIT = 1 << 32  # weight of a unit of one sentence a side; whole numbers have one sum in any order
 BLOCK, MOST_HELD = 2_000_000, 4_000_000  # sizes of what a worker adds up at once, and holds before it hands partial sums on
 SKIPGRAM_WEIGHT = 0.35
+ALIKE = 0.3  # association from which on a word that both sides write alike is one word
 SMALL = 1600  # cells that are warped without a coarser pass
-PIECE = re.compile("[a-zà-ɏ]+|[0-9]+(?:[.,][0-9]+)*|[㐀-鿿]+")
-FILLER = frozenset("the a an of in on at to for and by with was were is are be been as it its that this which".split())
+CELLS = 1 << 22  # cosines held at once where unaligned sentences are matched
+HELD_BACK = 1e-6  # of equally near sentences the one at the nearer place wins
 BEADS = ((1, 1), (1, 2), (2, 1), (1, 3), (3, 1))
 
 
+@lru_cache(1)
+def piece_pattern() -> re.Pattern:
+    letter = rf"[^\W\d_{SPACELESS}]"
+    return re.compile(rf"[0-9]+(?:[.,][0-9]+)*|{letter}(?:{letter}|[{marks()}])*|[{SPACELESS}]+")
+
+
 def pieces(sentence: str) -> list[str]:
+    """Words and numbers; of scripts without spaces the pairs of neighbouring characters."""
     out = []
     low = sentence.lower()
-    for w in PIECE.findall(re.sub("[-­‐‑]\n", "", low) if "\n" in low else low):
-        if "㐀" <= w[0] <= "鿿":
-            out += [w[i : i + 2] for i in range(len(w) - 1)] or [w]
-        elif w not in FILLER:
+    for w in piece_pattern().findall(BROKEN.sub("", low) if "\n" in low else low):
+        if w[0] >= "\u0e00" and without_spaces(w[0]):
+            w = "".join(c for c in w if c.isalnum())
+            out += [w[i : i + 2] for i in range(len(w) - 1)] or [w] * bool(w)
+        else:
             out.append(w.replace(",", "") if w[0].isdigit() else w)
     return out
 
 
-def is_han(w: str) -> bool:
-    return "㐀" <= w[0] <= "鿿"
+BROKEN = re.compile("[-\u00ad\u2010\u2011]\n")
+
+
+@lru_cache(100_000)
+def without_spaces(ch: str) -> bool:
+    return re.match(f"[{SPACELESS}]", ch) is not None
+
+
+def beyond_latin(w: str) -> bool:
+    return w[0] >= "\u0370"
 
 
 def random_rows() -> np.ndarray:
@@ -71,12 +90,15 @@ def random_rows() -> np.ndarray:
 COUNTS = (("kind", pa.int32()), ("a", pa.int32()), ("bs", pa.list_(pa.int32())), ("ns", pa.list_(pa.int64())))
 
 
+def sides_turned(x: list[list[str]], y: list[list[str]]) -> bool:
+    """Whether the first side has more words beyond the Latin script; such sides come second, so that both directions are counted together."""
+    return sum(beyond_latin(w) for z in x for w in z) > sum(beyond_latin(w) for z in y for w in z)
+
+
 def side_pieces(source: str, target: str) -> tuple[list[list[str]], list[list[str]]]:
-    """Pieces of the sentences of each side, the side with more Chinese second."""
+    """Pieces of the sentences of each side."""
     x, y = ([w for z in sentences(t) if (w := pieces(z))] for t in (source, target))
-    if source.isascii():
-        return x, y
-    return (y, x) if sum(is_han(w) for z in x for w in z) > sum(is_han(w) for z in y for w in z) else (x, y)
+    return (y, x) if not source.isascii() and sides_turned(x, y) else (x, y)
 
 
 def record_weight(x: list, y: list) -> int:
@@ -293,11 +315,11 @@ class Embedder:
 
     def build(self, words: pd.DataFrame, names: list[list[str]], counts: list) -> None:
         self.rows = random_rows()
-        self.memo: dict[str, tuple[np.ndarray, float]] = {}
+        self.memo: dict[tuple[str, int], np.ndarray] = {}
         total = words[words.word == ""]
         self.n = max(1, int(total[["n0", "n1"]].sum().max()))
         self.idf = {w: float(np.log(1 + self.n / k)) for w, k in zip(words.word, words.n0 + words.n1) if w}
-        self.vectors: dict[str, np.ndarray] = {}
+        self.by_side: tuple[dict[str, np.ndarray], dict[str, np.ndarray]] = ({}, {})
         self.translations: dict[str, list[tuple[str, float]]] = {}
         if min(map(len, names)) > 2:
             self.fit(weights_of(words, names), names, counts)
@@ -313,11 +335,23 @@ class Embedder:
         if seeds is not None:
             u, _, w = np.linalg.svd(v[1][z[seeds]].T @ v[0][e[seeds]])
             v[1] = v[1] @ (u @ w)
-        for s in (1, 0):
-            self.vectors |= {w: np.float32(SKIPGRAM_WEIGHT) * x for w, x in zip(names[s], v[s]) if not s or is_han(w)}
-        for i, j, d in zip(e, z, dice):
-            if is_han(w := names[1][j]) and len(found := self.translations.setdefault(w, [])) < 3:
-                found.append((names[0][i], float(d)))
+        for s in (0, 1):
+            self.by_side[s].update(zip(names[s], np.float32(SKIPGRAM_WEIGHT) * v[s]))
+        alike = set()
+        for i, j, d in zip(e.tolist(), z.tolist(), dice.tolist()):
+            w = names[1][j]
+            if names[0][i] == w and d >= ALIKE:
+                alike.add(w)
+            if len(found := self.translations.setdefault(w, [])) < 3:
+                found.append((names[0][i], d))
+        for w in alike:  # written alike and used alike: one word
+            self.by_side[1][w] = self.by_side[0][w]
+            del self.translations[w]
+
+    @property
+    def vectors(self) -> ChainMap:
+        """Vectors of the words of either side."""
+        return ChainMap(*self.by_side)
 
     def place(self, w: str) -> np.ndarray:
         """Coordinates of a word, or of its seed translations."""
@@ -331,22 +365,32 @@ class Embedder:
     def coordinates(self, w: str) -> np.ndarray:
         return self.rows[xxhash.xxh32_intdigest(w) % ROWS]
 
-    def word(self, w: str) -> np.ndarray:
-        out = self.memo.get(w)
+    def word(self, w: str, side: int) -> np.ndarray:
+        out = self.memo.get((w, side))
         if out is None:
-            v = self.vectors.get(w)
-            v = np.concatenate([np.zeros(DIMS, dtype=np.float32) if v is None else v, self.place(w)]).astype(np.float32)
+            v = self.by_side[side].get(w)
+            v = np.concatenate([np.zeros(DIMS, dtype=np.float32) if v is None else v, self.place(w) if side else self.coordinates(w)]).astype(np.float32)
             weight = self.idf.get(w, float(np.log(1 + self.n)))
             if w[0].isdigit():
                 weight = max(weight, 2.0)
             out = v * np.float32(weight)
             if len(self.memo) < 200_000:
-                self.memo[w] = out
+                self.memo[w, side] = out
         return out
 
+    def vector(self, words: list[str], side: int) -> np.ndarray:
+        return np.sum([self.word(w, side) for w in words], axis=0) if words else np.zeros(DIMS + COORDINATES, dtype=np.float32)
+
     def sentence(self, s: str) -> np.ndarray:
-        found = [self.word(w) for w in pieces(s)]
-        return np.sum(found, axis=0) if found else np.zeros(DIMS + COORDINATES, dtype=np.float32)
+        """Vector of a sentence by itself; its script says on which side it stands."""
+        words = pieces(s)
+        return self.vector(words, int(2 * sum(map(beyond_latin, words)) > len(words)))
+
+    def embedded(self, source: list[str], target: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Vectors of the sentences of both sides of a document."""
+        own = [[pieces(z) for z in x] for x in (source, target)]
+        turned = sides_turned(*own)
+        return tuple(np.stack([self.vector(z, side ^ turned) for z in x or [[]]]) for side, x in enumerate(own))
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"memo": {}, "rows": None}
@@ -360,39 +404,60 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-9)
 
 
-def span_cosines(a: np.ndarray, b: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
-    """For each bead (p, q), the cosine of the p sentences that begin at i and the q that begin at j."""
-    sums = [{k: unit(np.stack([x[i : i + k].sum(0) for i in range(len(x) - k + 1)])) for k in (1, 2, 3) if len(x) >= k} for x in (a, b)]
-    return {(p, q): sums[0][p] @ sums[1][q].T for p, q in BEADS if p in sums[0] and q in sums[1]}
+def spans(x: np.ndarray) -> dict[int, np.ndarray]:
+    """For k = 1 to 3 the unit vectors of each k neighbouring sentences together."""
+    out, total = {}, x
+    for k in (1, 2, 3):
+        if len(x) < k:
+            break
+        total = x if k == 1 else total[: len(x) - k + 1] + x[k - 1 :]
+        out[k] = unit(total)
+    return out
 
 
-def warp(a: np.ndarray, b: np.ndarray, floor: float, near: set[tuple[int, int]] | None = None) -> list[tuple[int, int, int, int]]:
-    """Beads (i, p, j, q) of the best monotone path; near: the only cells allowed."""
+def warp(a: np.ndarray, b: np.ndarray, floor: float, windows: list[tuple[int, int]] | None = None) -> list[tuple[int, int, int, int]]:
+    """Beads (i, p, j, q) of the best monotone path. windows: for each i from 0 to len(a) the first and last j that the path may pass; only these
+    cells are computed and held. They overlap from row to row and reach from corner to corner."""
     n, m = len(a), len(b)
-    cosines = {k: v.tolist() for k, v in span_cosines(a, b).items()}
-    best = [[0.0] * (m + 1) for _ in range(n + 1)]
-    back: list[list[tuple[int, int] | None]] = [[None] * (m + 1) for _ in range(n + 1)]
+    windows = windows or [(0, m)] * (n + 1)
+    sa, sb = spans(a), spans(b)
+    beads = [(p, q) for p, q in BEADS if p in sa and q in sb]
+    best: list[list[float]] = []
+    back: list[list[tuple[int, int] | None]] = []
+    whole = {(p, q): (sa[p] @ sb[q].T).tolist() for p, q in beads} if (n + 1) * (m + 1) <= SMALL else None
     for i in range(n + 1):
-        for j in range(m + 1):
-            if near is not None and (i, j) not in near:
-                best[i][j] = best[i][j - 1] if j else best[i - 1][j] if i else 0.0
-                back[i][j] = (0, 1) if j else (1, 0)
-                continue
+        lo, hi = windows[i]
+        gains = []
+        for p, q in beads:
+            if i >= p:
+                first, last = max(lo - q, 0), min(hi - q, m - q)  # places in b at which such a bead may begin
+                if first <= last:
+                    row = whole[p, q][i - p][first : last + 1] if whole else (sb[q][first : last + 1] @ sa[p][i - p]).tolist()
+                    gains.append((p, q, first, row, *windows[i - p], best[i - p]))
+        up, (ulo, uhi) = (best[i - 1], windows[i - 1]) if i else (None, (0, -1))
+        now: list[float] = []
+        steps: list[tuple[int, int] | None] = []
+        for j in range(lo, hi + 1):
             score, step = -1.0, None
-            if i:
-                score, step = best[i - 1][j], (1, 0)
-            if j and best[i][j - 1] > score:
-                score, step = best[i][j - 1], (0, 1)
-            for (p, q), c in cosines.items():
-                if i >= p and j >= q:
-                    gain = c[i - p][j - q] - floor
-                    if gain > 0 and (x := best[i - p][j - q] + gain * (p + q) / 2) > score:
-                        score, step = x, (p, q)
-            if step:
-                best[i][j], back[i][j] = score, step
+            if ulo <= j <= uhi:
+                score, step = up[j - ulo], (1, 0)
+            if j > lo and now[-1] > score:
+                score, step = now[-1], (0, 1)
+            if not i and not j:
+                score = 0.0
+            for p, q, first, row, plo, phi, before in gains:
+                k = j - q - first
+                if 0 <= k < len(row) and plo <= j - q <= phi and (gain := row[k] - floor) > 0 and (x := before[j - q - plo] + gain * (p + q) / 2) > score:
+                    score, step = x, (p, q)
+            now.append(score)
+            steps.append(step)
+        best.append(now)
+        back.append(steps)
+        if i >= 3:
+            best[i - 3] = []  # no bead reaches further back
     out, i, j = [], n, m
     while i or j:
-        p, q = back[i][j] or ((1, 0) if i else (0, 1))
+        p, q = back[i][j - windows[i][0]] or ((1, 0) if i else (0, 1))
         if p and q:
             out.append((i - p, p, j - q, q))
         i, j = i - p, j - q
@@ -403,26 +468,57 @@ def halved(x: np.ndarray) -> np.ndarray:
     return np.stack([x[i : i + 2].sum(0) for i in range(0, len(x), 2)])
 
 
-def coarse_to_fine(a: np.ndarray, b: np.ndarray, floor: float) -> list[tuple[int, int, int, int]]:
-    if len(a) * len(b) <= SMALL or min(len(a), len(b)) < 8:
+def coarse_to_fine(a: np.ndarray, b: np.ndarray, floor: float, width: int = 4) -> list[tuple[int, int, int, int]]:
+    """Beads of the path; beyond SMALL cells it is sought at half the resolution first, and then within `width` sentences beside what was found."""
+    n, m = len(a), len(b)
+    if n * m <= SMALL or min(n, m) < 8:
         return warp(a, b, floor)
-    rough = coarse_to_fine(halved(a), halved(b), floor * 0.7)
-    near, points = set(), [(0, 0), *((2 * i, 2 * j) for i, _, j, _ in rough), *((2 * (i + p), 2 * (j + q)) for i, p, j, q in rough), (len(a), len(b))]
-    points.sort()
+    rough = coarse_to_fine(halved(a), halved(b), floor * 0.7, width)
+    points = sorted({(0, 0), (n, m), *((min(n, 2 * i), min(m, 2 * j)) for i, _, j, _ in rough), *((min(n, 2 * (i + p)), min(m, 2 * (j + q))) for i, p, j, q in rough)})
+    lo, hi = [m] * (n + 1), [0] * (n + 1)
     for (i, j), (k, l) in zip(points, points[1:]):
-        steps = max(k - i, l - j, 1)
-        for s in range(steps + 1):
-            x, y = i + (k - i) * s // steps, j + (l - j) * s // steps
-            near |= {(u, v) for u in range(max(0, x - 4), min(len(a), x + 4) + 1) for v in range(max(0, y - 4), min(len(b), y + 4) + 1)}
-    return warp(a, b, floor, near)
+        for x in range(i, k + 1):  # the line between two points of the path, widened on all sides
+            y, z = (j + (l - j) * (x - i) // max(1, k - i), j + -(-(l - j) * (x + 1 - i) // max(1, k - i))) if k > i else (j, l)
+            for u in range(max(0, x - width), min(n, x + width) + 1):
+                lo[u], hi[u] = min(lo[u], max(0, y - width)), max(hi[u], min(m, z + width))
+    return warp(a, b, floor, list(zip(lo, hi)))
+
+
+def moved_pairs(ua: np.ndarray, ub: np.ndarray, free: list[set[int]], least: float) -> list[tuple[int, int]]:
+    """Unaligned sentences matched without order, best first: in each round those that are each other's nearest are paired. Cosines are formed
+    in blocks and only the nearest are kept."""
+    left = [np.array(sorted(x), dtype=np.int64) for x in free]
+    out: list[tuple[int, int]] = []
+    while len(left[0]) and len(left[1]):
+        x, y = left
+        block = max(1, CELLS // len(y))
+        top, at = np.full(len(y), -2.0), np.zeros(len(y), dtype=np.int64)
+        own, own_at = np.empty(len(x)), np.empty(len(x), dtype=np.int64)
+        there = y / len(ub)
+        for k in range(0, len(x), block):
+            c = ua[x[k : k + block]] @ ub[y].T - HELD_BACK * np.abs(x[k : k + block, None] / len(ua) - there)
+            own[k : k + block], own_at[k : k + block] = c.max(1), c.argmax(1)
+            down = c.argmax(0)
+            high = c[down, np.arange(len(y))]
+            better = high > top
+            top[better], at[better] = high[better], down[better] + k
+        met = np.flatnonzero((own >= least - HELD_BACK) & (at[own_at] == np.arange(len(x))))
+        if not len(met):
+            break
+        out += zip(x[met].tolist(), y[own_at[met]].tolist())
+        keep = own >= least - HELD_BACK  # what is near to nothing now is near to nothing later
+        keep[met] = False
+        rest = np.ones(len(y), dtype=bool)
+        rest[own_at[met]] = False
+        left = [x[keep], y[rest & (top >= least - HELD_BACK)]]
+    return out
 
 
 def aligned(a: np.ndarray, b: np.ndarray, floor: float, moved: float) -> list[tuple[int, int]]:
-    """Pairs (i, j) of sentences, from 0."""
+    """Pairs (i, j) of sentences, from 0. Memory grows with the number of sentences, not with its square."""
     if not len(a) or not len(b):
         return []
     ua, ub = unit(a), unit(b)
-    one = ua @ ub.T
     groups: list[tuple[set[int], set[int]]] = []
     for i, p, j, q in coarse_to_fine(a, b, floor):
         groups.append((set(range(i, i + p)), set(range(j, j + q))))
@@ -443,24 +539,24 @@ def aligned(a: np.ndarray, b: np.ndarray, floor: float, moved: float) -> list[tu
                 side.discard(k)
     free = [set(range(len(a))) - {i for x, _ in groups for i in x}, set(range(len(b))) - {j for _, y in groups for j in y}]
     # What was moved: unaligned sentences among themselves, best first.
-    for c, i, j in sorted(((one[i, j], i, j) for i in free[0] for j in free[1] if one[i, j] >= moved), reverse=True):
-        if i in free[0] and j in free[1]:
-            groups.append(({i}, {j}))
-            free[0].discard(i)
-            free[1].discard(j)
+    for i, j in moved_pairs(ua, ub, free, moved):
+        groups.append(({i}, {j}))
+        free[0].discard(i)
+        free[1].discard(j)
     # What completes a merged rendering: an unaligned sentence beside the others of a group, or one that took the place of a better one.
     for side in (0, 1):
+        of = {k: g for g, group in enumerate(groups) for k in group[1 - side]}  # group of each sentence of the other side
         for k in sorted(free[side]):
+            link = (ub @ ua[k]) if side == 0 else (ua @ ub[k])
             options = []
-            for g, (x, y) in enumerate(groups):
+            for g in {of[j] for j in np.flatnonzero(link >= floor * 0.8).tolist() if j in of}:
+                x, y = groups[g]
                 if len(x) > 1 and side == 1 or len(y) > 1 and side == 0:
                     continue
-                link = max(one[k, j] for j in y) if side == 0 else max(one[i, k] for i in x)
-                if link >= floor * 0.8:
-                    now = cosine(x, y)
-                    more = cosine(x | {k}, y) if side == 0 else cosine(x, y | {k})
-                    if more > now + 0.02:
-                        options.append((more - now, g))
+                now = cosine(x, y)
+                more = cosine(x | {k}, y) if side == 0 else cosine(x, y | {k})
+                if more > now + 0.02:
+                    options.append((more - now, g))
             if options:
                 groups[max(options)[1]][side].add(k)
                 free[side].discard(k)
@@ -511,7 +607,7 @@ def alignments(records: DataFrame, embedder: Embedder, floor: float = 0.3, moved
                 if max(len(a), len(b)) < n:
                     out.append([])
                     continue
-                x, y = (np.stack([e.sentence(z) for z in w] or [e.sentence("")]) for w in (a, b))
+                x, y = e.embedded(a, b)
                 out.append([{"src_pos": i + 1, "tgt_pos": j + 1} for i, j in aligned(x, y, floor, moved)])
             yield pd.Series(out)
 

@@ -137,6 +137,7 @@ def test_numbers_and_codes_need_evidence(spark):
         assert not [f for f in found if f[0] == "k"], found
         assert {r.key: r.text for r in scanned.paragraphs(df).collect()}["k"] == kept.replace("\n", " ")
         if extra:
+            assert found == {(r.key, r.kind, r.read, r.found) for r in scanned.repairs(df, most_fixes=0).collect()}
             assert {(r, f) for k, _, r, f in found if k == "n40"} == {("1O3", "103"), ("1l4", "114"), ("10l", "101"), ("l05", "105"), ("1B2", "182"), ("1S5", "155"), ("18S", "185")}
 
 
@@ -336,6 +337,56 @@ def test_all_records_are_fitted(spark):
     assert e.translations == local.translations and e.idf == local.idf
 
 
+@pytest.mark.parametrize("language", ["ru", "ja", "ko", "th", "de"])
+def test_any_pair_of_languages(language):
+    words = {
+        "ru": "бюджет протокол прибор сервер договор образец утверждён отклонён продлён проверен", "ja": "予算 計画 装置 サーバ 契約 サンプル 承認済 却下済 更新済 監査済", "ko": "예산은 계획은 장치는 서버는 계약은 표본은 승인됨 거부됨 갱신됨 감사됨",
+        "th": "งบประมาณ แผนงาน เครื่องมือ เซิร์ฟเวอร์ สัญญา ตัวอย่าง อนุมัติ ปฏิเสธ ต่ออายุ ตรวจสอบ", "de": "Haushalt Plan Gerät Rechner Vertrag Probe genehmigt abgelehnt verlängert geprüft",
+    }[language].split()
+    english = "budget plan device server contract sample approved rejected renewed audited".split()
+    rng = random.Random(6)
+    join = " " if language in ("ru", "ko", "de") else ""
+    pick = lambda: (rng.randrange(6), 6 + rng.randrange(4))
+    side = lambda p: (f"The {english[p[0]]} was {english[p[1]]}.", words[p[0]] + join + words[p[1]] + (". " if join else "。"))
+    e = alignment.Embedder([side(pick()) for _ in range(400)])
+    found = total = 0
+    for _ in range(20):
+        own = rng.sample([(i, j) for i in range(6) for j in range(6, 10)], 5)
+        order = own[1:] + own[:1]
+        a, b = e.embedded([side(p)[0] for p in own], [side(p)[1] for p in order])
+        got = set(alignment.aligned(a, b, 0.3, 0.42))
+        found, total = found + len(got & {(own.index(p), k) for k, p in enumerate(order)}), total + 5
+    assert found >= 0.9 * total
+
+
+def test_windows_give_the_full_path_and_memory_stays_linear():
+    import tracemalloc
+
+    import numpy as np
+
+    rng, peaks = np.random.default_rng(3), []
+    for n in (60, 500, 2000):
+        a = rng.standard_normal((n, 352)).astype(np.float32)
+        order = [i for i in range(n) if i % 17]
+        order = order[: n // 3] + order[n // 3 + 4 :] + order[n // 3 : n // 3 + 4]
+        b = a[order] + 0.4 * rng.standard_normal((len(order), 352)).astype(np.float32)
+        if n == 60:
+            assert alignment.coarse_to_fine(a, b, 0.3) == alignment.warp(a, b, 0.3)
+        tracemalloc.start()
+        assert alignment.aligned(a, b, 0.3, 0.42) == sorted((x, y) for y, x in enumerate(order))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[2] < 6 * peaks[1] and peaks[2] < 60_000_000
+
+
+def test_equal_sentences_meet_in_place():
+    import numpy as np
+
+    one = np.ones((300, 352), dtype=np.float32)
+    assert alignment.moved_pairs(alignment.unit(one), alignment.unit(one), [set(range(300)), set(range(300))], 0.42) == [(i, i) for i in range(300)]
+    assert alignment.moved_pairs(alignment.unit(one), -alignment.unit(one), [{0, 1}, {0, 1}], 0.42) == []
+
+
 # ---- 8. leakage
 
 ITEM = "The night porter crossed out four hundred signatures with green ink while the robot clock died and the harbour pharmacist swapped yellow patches for stronger green ones."
