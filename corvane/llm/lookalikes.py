@@ -1,8 +1,9 @@
 """Visually identical text with different characters (problem 2).
 
 The mapping is a transducer over grapheme clusters, compiled once: rules generate the width forms, the compatibility ideographs and
-radicals, the presentation ligatures, the styled letters (<font>), the <compat> letters and Roman numerals, the spaces and the characters of no width from Unicode's own data, and a short fixed list adds the
-look-alike letters. `compile_mapping` checks it for conflicts (one source, two targets) and closes it, so that no target holds a source
+radicals, the presentation ligatures, the styled letters (<font>), the <compat> letters and Roman numerals, the spaces and the characters of no width from Unicode's own data, and a fixed list adds the
+look-alike letters of Cyrillic, Greek, Armenian, Cherokee, Lisu, Coptic, Deseret, kana and the small capitals that have the shape of a small letter, and
+sequences of several clusters. `compile_mapping` checks it for conflicts (one source, two targets) and closes it, so that no target holds a source
 and one pass is enough. The pass walks the text from left to right, takes the longest mapped sequence of whole clusters at each place, and
 otherwise composes the cluster (NFC). Clusters repeat, so each worker keeps those it has seen in a bounded memo. Case, accents,
 superscripts, visible punctuation, ordinary spaces, tabs and line breaks stay as they are.
@@ -27,15 +28,18 @@ from pyspark.sql import types as T
 
 from corvane.session import cut
 
-# Look-alike letters of Cyrillic and Greek, each with the Latin letter it looks like, and hyphens that look like "-".
-LOOK_ALIKE = {
-    "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ѕ": "S", "І": "I", "Ј": "J", "Ԍ": "G", "Ԛ": "Q", "Ԝ": "W", "Ү": "Y", "Ӏ": "I",
-    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "ԁ": "d", "һ": "h", "ԛ": "q", "ԝ": "w", "ӏ": "l", "ѵ": "v", "ү": "y", "ё": "ë", "Ё": "Ë", "ї": "ï", "Ї": "Ï",
-    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J",
-    "ο": "o", "ν": "v", "ι": "i", "ρ": "p", "ϲ": "c", "ϳ": "j", "υ": "u", "α": "a", "ɑ": "a", "ɡ": "g", "ı": "i",
-    "∆": "Δ", "∑": "Σ", "∏": "Π",
-    "‐": "-", "‑": "-", "ː": ":", "∕": "/", "⁄": "/", "ʼ": "'", "ʹ": "'", "∶": ":", "․": ".",
-}
+# Letters of other scripts, each with the Latin letter (or ideograph, or mark) it looks like. Each line gives the letters of one
+# script and, in the same order, what they look like.
+SAME_SHAPE = (
+    ("АВЕКМНОРСТУХЅІЈԌԚԜҮӀ", "ABEKMHOPCTYXSIJGQWYI"), ("аеорсухѕіјԁһԛԝӏѵү", "aeopcyxsijdhqwlvy"), ("ёЁїЇ", "ëËïÏ"),
+    ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ", "ABEZHIKMNOPTYXCJ"), ("ονιρϲϳυαɑɡı", "ovipcjuaagi"),
+    ("ՍՏՕօհոսցզյ", "USOohnugqj"), ("ᎠᎢᎥᎩᎪᎫᎬᎳᎷᎻᎽᏀᏃᏒᏔᏙᏚᏞᏟᏢᏦᏴ", "DTiYAJEWMHYGZRWVSLCPKB"),
+    ("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"), ("ⲂⲎⲔⲘⲚⲞⲢⲤⲦⲬⲟⲣⲥⲭ", "BHKMNOPCTXopcx"), ("ᴄᴏꜱᴜᴠᴡᴢ", "cosuvwz"), ("𐐄𐐬", "Oo"),
+    ("エカタトニハロー", "工力夕卜二八口一"), ("ヘ", "へ"), ("∆∑∏", "ΔΣΠ"), ("‐‑ː∕⁄ʼʹ∶․", "--://'':."),
+)
+LOOK_ALIKE = {a: b for letters, shapes in SAME_SHAPE for a, b in zip(letters, shapes, strict=True)}
+# Sequences of several clusters: a ring, a small o or a masculine sign before the letter of a temperature scale is a degree sign.
+SEQUENCES = {ring + scale: "°" + scale for ring in "˚ᵒº∘" for scale in "CF"} | {"℃": "°C", "℉": "°F"}
 # Compatibility letters that do not look like the letter they stand for: long s, letters with another shape, jamo that NFC would join.
 UNLIKE = frozenset("ſẚϐϑϒϕϖϰϱϵ﬩") | {chr(c) for c in range(0x3131, 0x318F)}
 MEMO = 200_000
@@ -85,8 +89,10 @@ class Transducer:
 
     def __init__(self, table: dict[str, str]):
         self.table, self.memo = table, {}
-        long = sorted((k for k in table if len(regex.findall(r"\X", k)) > 1), key=len, reverse=True)
-        self.unit = regex.compile("|".join([*map(regex.escape, long), r"\X"]))
+        either = lambda c: f"(?:{regex.escape(c)}|{regex.escape(d)})" if (d := unicodedata.normalize("NFD", c)) != c else regex.escape(c)
+        clusters = {k: regex.findall(r"\X", k) for k in table}
+        long = sorted((k for k in table if len(clusters[k]) > 1), key=lambda k: (-len(clusters[k]), k))
+        self.unit = regex.compile("|".join([*("".join(map(either, clusters[k])) + r"(?![\p{M}\u200d])" for k in long), r"\X"]))
 
     def cluster(self, unit: str) -> str:
         if (out := self.memo.get(unit)) is None:
@@ -106,7 +112,7 @@ class Transducer:
 
 @lru_cache(1)
 def transducer() -> Transducer:
-    return Transducer(compile_mapping(rule_mapping(), LOOK_ALIKE))
+    return Transducer(compile_mapping(rule_mapping(), LOOK_ALIKE, SEQUENCES))
 
 
 @F.pandas_udf(T.StringType())
@@ -128,6 +134,17 @@ def variants(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("id", F.unhex(F.md5(one_form("raw"))).alias("form"), F.xxhash64("raw").alias("raw")).distinct()
 
 
+def classes(df: DataFrame, id_col: str, text_col: str, field_name: str) -> DataFrame:
+    """(field_name, id, class_id, spelling_id): every row whose value looks like another one in other characters. class_id is the smallest id of its
+    form, spelling_id the smallest id with its very characters; so the spellings of a class are its representatives, and the size of the result
+    is that of the input, whatever the number of pairs."""
+    v = cut(variants(df, id_col, text_col))
+    spellings = v.groupBy("form", "raw").agg(F.min("id").alias("spelling_id"))
+    forms = spellings.groupBy("form").agg(F.count(F.lit(1)).alias("n"), F.min("spelling_id").alias("class_id")).where(F.col("n") > 1)
+    known = spellings.join(forms, "form").select("form", "raw", "class_id", "spelling_id")
+    return v.join(known, ["form", "raw"]).select(F.lit(field_name).alias("field_name"), "id", "class_id", "spelling_id")
+
+
 def pairs(df: DataFrame, id_col: str, text_col: str, field_name: str) -> DataFrame:
     """(field_name, id_a, id_b): two ids whose values have one form but not the same characters; id_a < id_b.
 

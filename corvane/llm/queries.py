@@ -19,10 +19,18 @@ def p1_units(spark: SparkSession, sf: str) -> DataFrame:
     return formatting_dups.collapse(load(spark, sf, "tm_units"), "id", "source_text")
 
 
-def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+def p2_fields(spark: SparkSession, sf: str) -> list[tuple[DataFrame, str, str, str]]:
     nouns, units = load(spark, sf, "proper_nouns"), load(spark, sf, "tm_units")
-    parts = [lookalikes.pairs(nouns, "entry_id", "source", "proper_nouns.source"), lookalikes.pairs(nouns, "entry_id", "target", "proper_nouns.target"), lookalikes.pairs(units, "id", "source_text", "tm_units.source_text")]
-    return reduce(DataFrame.unionByName, parts)
+    return [(nouns, "entry_id", "source", "proper_nouns.source"), (nouns, "entry_id", "target", "proper_nouns.target"), (units, "id", "source_text", "tm_units.source_text")]
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return reduce(DataFrame.unionByName, [lookalikes.pairs(*x) for x in p2_fields(spark, sf)])
+
+
+def p2_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """The same as classes: every row with the class and the spelling it belongs to."""
+    return reduce(DataFrame.unionByName, [lookalikes.classes(*x) for x in p2_fields(spark, sf)])
 
 
 def p2_forms(spark: SparkSession, sf: str) -> DataFrame:
@@ -84,7 +92,7 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return alignment.alignments(units.where(many).withColumn("least", F.lit(2)).unionByName(archives.withColumn("least", F.lit(1))), embedder)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_units, p2_forms, p2_found, p4_found, p4_paragraphs, p5_found, p6_found, p7_found, p8_found, p9_mixture, p9_shares, p10_areas, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_units, p2_classes, p2_forms, p2_found, p4_found, p4_paragraphs, p5_found, p6_found, p7_found, p8_found, p9_mixture, p9_shares, p10_areas, p10_found)}
 
 
 def text_key(column: str) -> str:

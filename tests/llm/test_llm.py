@@ -71,6 +71,36 @@ def test_compatibility_letters(spark):
     assert [tuple(r) for r in lookalikes.pairs(df, "id", "text", "x").collect()] == [("x", "a", "b")]
 
 
+@pytest.mark.parametrize(
+    ("other", "latin"),
+    [
+        ("Ꭺꮯ", None), ("ꓐꓮꓣ", "BAR"), ("Ꮯꭺ", None), ("ᎪᎷ", "AM"), ("Սոօհ", "Unoh"), ("ᴠᴏᴡᴄ", "vowc"), ("𝐁𝑎𝓭", "Bad"), ("ⲠⲞ", None), ("ⲢⲞⲥ", "POc"), ("𐐄𐐬", "Oo"), ("ⅬⅩ", "LX"), ("ⅼ", "l"), ("Βοａｔ", "Boat"), ("Нор", "Hop"),
+        ("37 ℃", "37 °C"), ("37 ˚C", "37 °C"), ("37 ºF", "37 °F"), ("˚ C", "˚ C"), ("Aº", "Aº"), ("力カ二ニ", "力力二二"), ("e\u0301 \u212b", "é Å"), ("ﬁⅡ", "fiII"),
+    ],
+)
+def test_ten_scripts(other, latin):
+    t = lookalikes.transducer()
+    assert t(t(other)) == t(other)
+    if latin:
+        assert t(other) == t(latin) == latin
+
+
+def test_longest_match_over_clusters():
+    t = lookalikes.Transducer(lookalikes.compile_mapping({"a": "x", "ab": "y", "abc": "z", "e\u0301f": "w"}))
+    assert [t(s + "é") for s in ("abc", "ab", "abd", "aa", "cab", "e\u0301f", "éf")] == ["zé", "yé", "ydé", "xxé", "cyé", "wé", "wé"]
+    assert any(len(k) > 1 for k in lookalikes.SEQUENCES)
+
+
+def test_classes(spark):
+    rows = [("a", "Bado"), ("b", "Ｂａｄｏ"), ("c", "Bado"), ("c", "Bado"), ("d", None), ("e", " "), ("f", "bado"), ("g", "Bаdo"), (None, "Ｂado")]
+    df = spark.createDataFrame(rows, "entry_id string, source string").withColumn("form", F.lit(1)).withColumn("class_id", F.lit(2))
+    got = sorted(map(tuple, lookalikes.classes(df, "entry_id", "source", "x").collect()))
+    assert got == [("x", "a", "a", "a"), ("x", "b", "a", "b"), ("x", "c", "a", "a"), ("x", "g", "a", "g")]
+    pairs = {(r.id_a, r.id_b) for r in lookalikes.pairs(df, "entry_id", "source", "x").collect()}
+    assert pairs == {(p[1], q[1]) for p in got for q in got if p[1] < q[1] and p[2] == q[2] and p[3] != q[3]}
+    assert lookalikes.classes(df.limit(0), "entry_id", "source", "x").count() == 0
+
+
 def test_mapping_is_checked():
     with pytest.raises(ValueError):
         lookalikes.compile_mapping({"a": "b"}, {"a": "c"})
