@@ -90,11 +90,17 @@ def redact(text: Column) -> Column:
     return F.regexp_replace(out, ORGANISATION, "$1[ORG]")
 
 
+# Names of keys, the least length of a value that is a secret behind them, and what it is replaced with.
+SECRETS = (("api_key", 4, "[API_KEY_HIDDEN]"), ("[a-zA-Z_]+token[a-zA-Z_]*", 10, "[HIDDEN]"))
+BARE_SECRET = (r"\bsk-[\w-]{20,}", "[KEY_HIDDEN]")
+
+
 def mask_secrets(text: Column) -> Column:
-    """Values of keys and tokens hidden."""
-    out = F.regexp_replace(text, r"""(["']?api_key["']?\s*[:=]\s*["']?)([a-zA-Z0-9_.-]{4,})""", "$1[API_KEY_HIDDEN]")
-    out = F.regexp_replace(out, r"(sk-[a-zA-Z0-9_-]{20,})", "[KEY_HIDDEN]")
-    return F.regexp_replace(out, r"""([a-zA-Z_]+token[a-zA-Z_]*["']?\s*[:=]\s*["']?)([a-zA-Z0-9_.-]{10,})""", "$1[HIDDEN]")
+    """What is assigned to a name of a key or token, by : or = and quoted or not, hidden; and keys that show by their form."""
+    text = F.regexp_replace(text, BARE_SECRET[0], BARE_SECRET[1])
+    for name, least, label in SECRETS:
+        text = F.regexp_replace(text, rf"({name})([\"']?\s*[:=]\s*[\"']?)[\w.-]{{{least},}}", f"$1$2{label}")
+    return text
 
 
 def strip_markup(text: Column) -> Column:

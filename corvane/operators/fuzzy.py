@@ -1,9 +1,14 @@
 """Fuzzy lookup by the Ratcliff-Obershelp ratio, exact: every pair that reaches the threshold is found.
 
-ratio = 2 M / (a + b), so texts can only reach t if the shorter has at least t / (2 - t) of the longer's length. Rows are put into bands of
-length whose bounds grow by that factor: partners lie in the same band or a neighbouring one. Queries are sent to their three bands and
-joined with the rows by (keys, band); what meets is bounded by the characters in common, then measured. No candidate is dropped.
-Cases: null or empty texts have no partner; a text is not its own partner; equal texts are left to the exact lookup.
+ratio = 2 M / (a + b) for M characters in blocks. Between two blocks at least one character of either text is left over, so there are at most
+a + b - 2 M + 1 blocks and the texts share at least 3 M - a - b - 1 pairs of neighbouring characters (repeats numbered). With all pairs of
+characters in one order, the rare ones first, two such texts must then share one among the first few of each, as many as the bound leaves
+open: these are joined by (keys, pair of characters), and only what meets is measured. Identifiers are joined, texts are fetched for what met.
+The order comes from the counts of the rows while there are at most `most_grams` pairs of characters, else from their hashes; it changes the
+work, never the result. No candidate is dropped, and a tenant with a third of all rows is spread over its pairs of characters.
+
+Cases: null or empty texts have no partner; a text is not its own partner; equal texts are left to the exact lookup, and texts of one or two
+characters can only be equal; a null key has no partner.
 """
 
 from __future__ import annotations
@@ -14,11 +19,45 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def shared_at_least(n: int, threshold: float) -> int:
+    """Pairs of characters that a text of n characters shares with any partner; the shortest partner has n t / (2 - t)."""
+    return max(0, math.ceil((1.5 * threshold - 1) * 2 * n / (2 - threshold) - 1 - 1e-9))
+
+
+def numbered_pairs(text: str) -> list[tuple[str, int]]:
+    seen: Counter = Counter()
+    out = []
+    for i in range(len(text) - 1):
+        g = text[i : i + 2]
+        out.append((g, seen[g]))
+        seen[g] += 1
+    return out
+
+
+def leading_pairs(text: str, threshold: float, counts: dict[str, int]) -> list[int]:
+    """Hashes of the pairs of characters of which a partner must have one too."""
+    hashed = {xxhash.xxh64_intdigest(f"{g}{k}") >> 1: counts.get(g, 0) for g, k in numbered_pairs(text)}
+    ordered = sorted(hashed, key=lambda h: (hashed[h], h))
+    return ordered[: max(0, len(ordered) - max(1, shared_at_least(len(text), threshold)) + 1)]
+
+
+def counted_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    counts: Counter = Counter()
+    for b in batches:
+        for t in b["text"]:
+            counts.update(t[i : i + 2] for i in range(len(t) - 1))
+        if len(counts) > 1_000_000:
+            yield pd.DataFrame(list(counts.items()), columns=["gram", "n"])
+            counts.clear()
+    yield pd.DataFrame(list(counts.items()), columns=["gram", "n"])
+
+
 def measured(threshold: float):
     @F.pandas_udf(T.DoubleType())
     def ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -41,13 +80,25 @@ def measured(threshold: float):
     return ratio
 
 
-def lookup(queries: DataFrame, rows: DataFrame, keys: list[str], threshold: float = 0.85, k: int = 5) -> DataFrame:
+def lookup(queries: DataFrame, rows: DataFrame, keys: list[str], threshold: float = 0.85, k: int = 5, most_grams: int = 500_000) -> DataFrame:
     """(query_id, id, score, rank): queries and rows are (id, text, *keys)."""
-    step = math.log((2 - threshold) / threshold)
-    band = F.floor(F.log(F.length("text").cast("double")) / F.lit(step)).cast("int")
-    r = rows.where(F.length("text") > 0).select("id", "text", *keys, band.alias("band"))
-    q = queries.where(F.length("text") > 0).select(F.col("id").alias("query_id"), F.col("text").alias("query"), *keys, F.explode(F.sequence(band - 1, band + 1)).alias("band"))
-    near = q.join(r, [*keys, "band"]).where((F.col("query") != F.col("text")) & (2 * F.least(F.length("query"), F.length("text")) >= F.lit(threshold) * (F.length("query") + F.length("text"))))
-    scored = near.withColumn("score", measured(threshold)("query", "text")).where(F.col("score") >= threshold)
+    if threshold <= 2 / 3:
+        raise ValueError("the bound needs a threshold above two thirds")
+    r = rows.where(F.length("text") > 2).select("id", "text", *keys)
+    q = queries.where(F.length("text") > 2).select(F.col("id").alias("query_id"), F.col("text").alias("query"), *keys)
+    grams = r.select("text").mapInPandas(counted_pairs, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).limit(most_grams + 1).collect()
+    counts = rows.sparkSession.sparkContext.broadcast({g.gram: g.n for g in grams} if len(grams) <= most_grams else {})
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def leading(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in texts:
+            yield s.map(lambda x: leading_pairs(x, threshold, counts.value))
+
+    a = q.select("query_id", *keys, F.length("query").alias("la"), F.explode(leading("query")).alias("gram"))
+    b = r.select("id", *keys, F.length("text").alias("lb"), F.explode(leading("text")).alias("gram"))
+    close = 2 * F.least("la", "lb") >= F.lit(threshold) * (F.col("la") + F.col("lb"))
+    met = a.join(b, [*keys, "gram"]).where(close & (F.col("query_id") != F.col("id"))).select("query_id", "id", *keys).distinct()
+    texts = met.join(q, ["query_id", *keys]).join(r, ["id", *keys]).where(F.col("query") != F.col("text"))
+    scored = texts.withColumn("score", measured(threshold)("query", "text")).where(F.col("score") >= threshold)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return scored.groupBy("query_id", "id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

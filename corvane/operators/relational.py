@@ -7,6 +7,8 @@ frames give empty frames.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,3 +152,23 @@ def frozen(df: DataFrame, order: list[Column], most: int) -> DataFrame:
     n = F.count(F.lit(1)).over(Window.partitionBy())
     rows = df.orderBy(*order).limit(most + 1)
     return rows.withColumn("_n", n).where(F.when(F.col("_n") > most, F.raise_error(F.lit(f"more than {most} rows are selected"))).otherwise(F.lit(True))).drop("_n")
+
+
+def tagged_union(parts: dict[str, DataFrame], tag: str) -> DataFrame:
+    """Frames of one schema as one, each row with the name of its part."""
+    return reduce(DataFrame.unionByName, [df.withColumn(tag, F.lit(name)) for name, df in parts.items()])
+
+
+def overlaid(old: DataFrame, new: DataFrame, keys: list[str], values: list[str], settled: Column | None = None) -> DataFrame:
+    """Two states of one thing as one: what `new` says, and where it says nothing what `old` says. settled: a condition on `old` under which its
+    row stays as it is, such as a state that is final."""
+    a = old.select(*keys, *[F.col(v).alias(f"_old_{v}") for v in values], (settled if settled is not None else F.lit(False)).alias("_settled"))
+    both = a.join(new.select(*keys, *values), keys, "full_outer")
+    keep = F.coalesce("_settled", F.lit(False))
+    return both.select(*keys, *[F.when(keep, F.col(f"_old_{v}")).otherwise(F.coalesce(v, f"_old_{v}")).alias(v) for v in values])
+
+
+def overridden(df: DataFrame, reviewed: DataFrame, key: str, column: str) -> DataFrame:
+    """The frame with `column` replaced by the reviewed one of its very key. reviewed: (key, column); of several the smallest counts, null ones do not."""
+    one = reviewed.where(F.col(column).isNotNull()).groupBy(key).agg(F.min(column).alias("_reviewed"))
+    return df.join(one, key, "left").withColumn(column, F.coalesce("_reviewed", column)).drop("_reviewed").select(*df.columns)

@@ -197,7 +197,7 @@ def tmx_round_trip(spark, sf):
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for x in b["xml"]:
-                yield pd.DataFrame([(a, s, t) for a, s, _, t in readers.tmx_units(x)], columns=["src", "source", "target"])
+                yield pd.DataFrame([(a, s, t) for a, s, _, t in readers.tmx_units(x, max_chars=1 << 30, max_bytes=1 << 31)], columns=["src", "source", "target"])
 
     return docs.select("xml").mapInPandas(read, "src string, source string, target string")
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from corvane.plans import corpus, fields, ledger, matching, text
+from corvane.plans import checks, corpus, fields, ledger, matching, text
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for _part in (fields, text, ledger, matching, corpus):
+for _part in (fields, text, ledger, matching, corpus, checks):
     QUERIES |= _part.QUERIES
     ORACLE |= _part.ORACLE

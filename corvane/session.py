@@ -42,12 +42,14 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's own setting, else (tests) a temporary one."""
+    """The folder that all executors share: the session's own setting. Only a local session, as in tests, gets a temporary one; on a cluster a
+    folder of the driver's machine would be lost to the others, so a missing setting raises."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="corvane-")
-        spark.sparkContext.setCheckpointDir(found)
-    elif not spark.sparkContext.getCheckpointDir():
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
     return found
 
@@ -72,3 +74,8 @@ def hash_sample(df: DataFrame, key: str, most: int) -> DataFrame:
     n = df.count()
     space = 1 << 40
     return df if n <= 2 * most else df.where(F.pmod(F.xxhash64(F.col(key)), F.lit(space)) < F.lit(space * 2 * most // n))
+
+
+def broadcast_if_small(df: DataFrame, most: int) -> DataFrame:
+    """A table that is cut or cheap to count, with a hint to broadcast it if it has at most `most` rows; else a join shuffles it."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -176,20 +176,89 @@ def parse_json(data: bytes) -> Iterator[tuple[str, str]]:
     yield from json_leaves(json.loads(decoded(data)))
 
 
+STEP = re.compile(r"\.\.|\.?([A-Za-z_][\w-]*|\*)|\.?\[(?:(\*)|(-?\d+)|'([^']*)'|\"([^\"]*)\"|(-?\d*):(-?\d*))\]")
+
+
+def json_steps(path: str) -> list[tuple[str, object]]:
+    """A JSONPath as steps: name, index, slice, any, or deep. What is not known raises."""
+    at, out = int(path.startswith("$")), []
+    while at < len(path):
+        m = STEP.match(path, at)
+        if not m:
+            raise ValueError(f"{path!r} is no path from {path[at:]!r} on")
+        name, star, index, one, two, low, high = m.groups()
+        if m[0] == "..":
+            out.append(("deep", None))
+        elif star or name == "*":
+            out.append(("any", None))
+        elif index is not None:
+            out.append(("index", int(index)))
+        elif low is not None:
+            out.append(("slice", slice(int(low) if low else None, int(high) if high else None)))
+        else:
+            out.append(("name", next(x for x in (name, one, two) if x is not None)))
+        at = m.end()
+    return out
+
+
+def json_select(node, steps: list[tuple[str, object]], at: str = "$") -> Iterator[tuple[object, str]]:
+    """(node, its place) of everything a path points at, in order of the document."""
+    if not steps:
+        yield node, at
+        return
+    (kind, what), rest = steps[0], steps[1:]
+    children = [(f"{at}.{k}", k, v) for k, v in node.items()] if isinstance(node, dict) else [(f"{at}[{i}]", i, v) for i, v in enumerate(node)] if isinstance(node, list) else []
+    if kind == "deep":
+        yield from json_select(node, rest, at)
+        for place, _, v in children:
+            yield from json_select(v, steps, place)
+        return
+    wanted = set(range(len(children))[what]) if kind == "slice" and isinstance(node, list) else {what + len(children) if kind == "index" and what < 0 else what}
+    for place, key, v in children:
+        if kind == "any" or kind == "name" and isinstance(node, dict) and key == what or kind in ("index", "slice") and isinstance(node, list) and key in wanted:
+            yield from json_select(v, rest, place)
+
+
+def json_texts(value, paths: list[str]) -> list[tuple[str, str]]:
+    """(text, place) of all texts under what the paths select; a text that two paths reach comes once, where the first one does."""
+    out: dict[str, str] = {}
+    for path in paths:
+        for node, at in json_select(value, json_steps(path)):
+            for text, place in json_leaves(node, at):
+                out.setdefault(place, text)
+    return [(t, p) for p, t in out.items()]
+
+
 def local(tag: str) -> str:
     return tag.rsplit("}", 1)[-1]
 
 
+def declares(data: bytes | str) -> bool:
+    """Whether types or entities are declared in front of the root element, however long the comments before them are."""
+    if isinstance(data, bytes):
+        wide = {b"\xff\xfe": "utf-16", b"\xfe\xff": "utf-16", b"<\x00": "utf-16-le", b"\x00<": "utf-16-be"}
+        data = data.decode(wide.get(data[:2], "utf-8"), "ignore")
+    prologue = re.compile(r"\s+|\ufeff|<\?.*?\?>|<!--.*?-->", re.S)
+    at = 0
+    while m := prologue.match(data, at):
+        at = m.end()
+    return data[at : at + 2] == "<!"
+
+
 def safe_xml(data: bytes | str) -> ET.Element:
     """An XML tree; declarations of types and entities are refused, so nothing is expanded or fetched."""
-    head = data[:4096].decode("utf-8", "ignore") if isinstance(data, bytes) else data[:4096]
-    if re.search(r"<!\s*(DOCTYPE|ENTITY)", head, re.I):
+    if declares(data):
         raise ValueError("document type declarations are not accepted")
     return ET.fromstring(data)
 
 
-def tmx_units(data: bytes | str, max_units: int = 20_000, max_lang: int = 16, max_chars: int = 20_000) -> Iterator[tuple[str, str, str, str]]:
-    """(source language, source, target language, target): the first two variants of each unit. More units than allowed raise."""
+def tmx_units(data: bytes | str, max_units: int = 20_000, max_lang: int = 16, max_chars: int = 20_000, max_bytes: int = 8 << 20) -> Iterator[tuple[str, str, str, str]]:
+    """(source language, source, target language, target): the first two variants of each unit.
+
+    A document that is too large, has too many units, or has a language code or a segment that is too long, raises: nothing is left out unsaid.
+    """
+    if len(data if isinstance(data, bytes) else data.encode()) > max_bytes:
+        raise ValueError(f"a document of more than {max_bytes} bytes")
     n = 0
     for tu in safe_xml(data).iter():
         if local(tu.tag) != "tu":
@@ -202,8 +271,9 @@ def tmx_units(data: bytes | str, max_units: int = 20_000, max_lang: int = 16, ma
             if local(tuv.tag) == "tuv":
                 lang = next((v for k, v in tuv.attrib.items() if local(k) == "lang"), "")
                 seg = next(("".join(s.itertext()) for s in tuv if local(s.tag) == "seg"), "")
-                if len(lang) <= max_lang and len(seg) <= max_chars:
-                    found.append((lang, seg))
+                if len(lang) > max_lang or len(seg) > max_chars:
+                    raise ValueError(f"unit {n} has a language code of more than {max_lang} or a segment of more than {max_chars} characters")
+                found.append((lang, seg))
         if len(found) >= 2 and found[0][1].strip() and found[1][1].strip():
             yield (*found[0], *found[1])
 
