@@ -44,6 +44,23 @@ def test_hot_keys_equal_cold_ones(spark):
     assert a == b == sorted((i, min(g), len(g)) for g in groups.values() for i in g)
 
 
+def test_hot_key_beyond_the_default(spark):
+    """A third of the rows and more than hot_rows of them have one key."""
+    n = 330_000
+    text = F.when(F.col("id") % 3 == 0, F.concat(F.lit("The SAME text"), F.repeat(F.lit(" "), (F.col("id") % 7).cast("int")), F.lit("!"))).otherwise(F.concat(F.lit("text "), F.floor(F.col("id") / 2).cast("string")))
+    df = spark.range(n).select(F.lpad(F.col("id").cast("string"), 7, "0").alias("id"), text.alias("source_text"))
+    for most in (1_000_000, 0):
+        got = formatting_dups.copies(df, "id", "source_text", most_hot=most)
+        hot = got.where("keep_id = '0000000'").agg(F.count("*").alias("n"), F.min("n_copies").alias("lo"), F.max("n_copies").alias("hi")).first()
+        assert tuple(hot) == (n // 3,) * 3 and got.count() == n
+
+
+def test_labels_of_any_length(spark):
+    label = "a label that says at great length what stands behind it and goes on " * 3
+    rows = [("1", f"Dose: 5 mg; {label}: x", "", 0), ("2", f"{label.upper()}: x / Dose: 5 mg", "", 0), ("3", f"{label}: 5 mg; Dose: x", "", 0)]
+    assert sorted(map(tuple, formatting_dups.duplicates(units(spark, rows), "id", "source_text").collect())) == [("1", "2")]
+
+
 def test_formatting_empty_and_long(spark):
     assert formatting_dups.duplicates(units(spark, []), "id", "source_text").count() == 0
     long = "word, " * 50_000
