@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import math
 import re
-import sys
 import unicodedata
 from collections import defaultdict
 from collections.abc import Callable, Iterator
@@ -48,9 +47,11 @@ GAP, NEED = 4, 2  # tokens altered in a row that do not break a stretch, and tok
 CHUNK = 1 << 20  # characters whose tokens are hashed at once
 
 
-def marks() -> str:
-    """Combining marks of all scripts with spaces, as ranges of a character class."""
-    found = [c for c in range(0x300, sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == "M" and not re.match(f"[{SPACELESS}]", chr(c))]
+@lru_cache(2)
+def spaced_letters(digits: bool = True) -> str:
+    """Letters, numbers (if asked for) and combining marks of all scripts with spaces, as ranges of a character class. Beyond 1FFFF there are ideographs only."""
+    spaceless = re.compile(f"[{SPACELESS}]")
+    found = [c for c in range(0x30, 0x20000) if unicodedata.category(ch := chr(c))[0] in ("LMN" if digits else "LM") and not spaceless.match(ch)]
     out, start = [], found[0]
     for a, b in zip(found, [*found[1:], 0]):
         if b != a + 1:
@@ -59,10 +60,18 @@ def marks() -> str:
     return "".join(out)
 
 
+PLAIN_TOKEN = re.compile("[a-z0-9]+")
+
+
 @lru_cache(1)
 def token_pattern() -> re.Pattern:
-    letter = rf"[^\W_{SPACELESS}]"
-    return re.compile(rf"{letter}(?:{letter}|[{marks()}{''.join(map(chr, INVISIBLE))}])*|(?=[^\W_])[{SPACELESS}]")
+    own, joining = spaced_letters(), "".join(map(chr, INVISIBLE))
+    return re.compile(rf"[㐀-鿿]|(?=[^\W_])[{own}][{own}{joining}]*|(?=[^\W_])[{SPACELESS}]")
+
+
+def pattern_for(low: str) -> re.Pattern:
+    """The same tokens, by a shorter class where a text is plain."""
+    return PLAIN_TOKEN if low.isascii() else token_pattern()
 
 
 def prepared(text: str) -> str:
@@ -93,13 +102,15 @@ _hashes = Bounded(xxhash.xxh64_intdigest)
 def words_of(text: str | None) -> list[str]:
     if not text:
         return []
-    found = token_pattern().findall(low := prepared(text))
+    low = prepared(text)
+    found = pattern_for(low).findall(low)
     return found if low.isascii() else list(map(_plain.__getitem__, found))
 
 
 def tokens(text: str | None) -> list[tuple[str, int, int]]:
     """(token, start, end) in the text as given."""
-    return [(_plain[m[0]], m.start(), m.end()) for m in token_pattern().finditer(prepared(text))] if text else []
+    low = prepared(text or "")
+    return [(_plain[m[0]], m.start(), m.end()) for m in pattern_for(low).finditer(low)]
 
 
 def kept_hashes(words: list[str], k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
