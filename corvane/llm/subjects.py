@@ -7,8 +7,9 @@ the subject's background; sentences that any subject may hold (references, formu
 none. A document has every subject that at least `share` of its sentences treat.
 
 Training starts from the documents with one label and is repeated with each sentence of a labelled document given to the label that it fits
-best (or to none), so documents with several labels can be used too. The threshold of the cross-entropy difference is calibrated on
-documents that were held out of the training: the value with the best F1 over (document, subject).
+best (or to none), so documents with several labels can be used too. The thresholds of the cross-entropy difference are calibrated on
+documents that were held out of the training, by the F1 over (document, subject): one value for all subjects first, and then for each subject in
+turn its own, where that is better.
 
 Only the classifier is fitted on a sample: at most `most_labelled` labelled documents, those with the smallest hash of their identifier.
 All documents are scored, whole, where they lie; what is shuffled is (id, subject).
@@ -100,7 +101,7 @@ def count(sentences: list[str]) -> dict[int, Counter]:
     return out
 
 
-def train(docs: list[tuple[list[str], list[str]]], subjects: list[str], threshold: float) -> Models:
+def train(docs: list[tuple[list[str], list[str]]], subjects: list[str], thresholds: np.ndarray) -> Models:
     """docs: (sentences, labels). From the documents with one label, then with each sentence at the label that it fits."""
     held = {s: [x for sents, labels in docs if labels == [s] for x in sents] for s in subjects}
     for s in subjects:  # a subject that never stands alone starts from all its documents
@@ -113,7 +114,7 @@ def train(docs: list[tuple[list[str], list[str]]], subjects: list[str], threshol
             for x in sents:
                 g = models.gains(x)
                 best = max(labels, key=lambda s: g[place[s]])
-                if g[place[best]] > threshold:
+                if g[place[best]] > thresholds[place[best]]:
                     held[best].append(x)
                 else:
                     for s in subjects:  # says nothing of a subject: known to all models alike
@@ -122,31 +123,59 @@ def train(docs: list[tuple[list[str], list[str]]], subjects: list[str], threshol
     return models
 
 
-def decide(gains: list[np.ndarray], subjects: list[str], threshold: float, share: float) -> list[str]:
+def decide(gains: list[np.ndarray], subjects: list[str], thresholds: np.ndarray, share: float) -> list[str]:
     if not gains:
         return []
-    best = Counter(int(g.argmax()) for g in gains if g.max() > threshold)
+    best = Counter(j for g in gains if g[j := int(g.argmax())] > thresholds[j])
     return [subjects[j] for j, n in sorted(best.items()) if n >= share * len(gains) - 1e-9]
 
 
-def calibrated(docs: list[tuple[list[str], list[str]]], subjects: list[str], share: float, folds: int = 2) -> float:
-    """The threshold with the best F1 on documents held out of the training."""
-    scored = []
+class Held:
+    """Scored sentences of held-out documents, for the F1 of many thresholds."""
+
+    def __init__(self, docs: list[tuple[list[np.ndarray], set[str]]], subjects: list[str], share: float):
+        self.k, self.n = len(subjects), len(docs)
+        gains = np.array([g for d, _ in docs for g in d])
+        self.best, self.top = gains.argmax(1), gains.max(1)
+        sizes = np.array([len(d) for d, _ in docs])
+        self.cell = np.repeat(np.arange(self.n), sizes) * self.k + self.best
+        self.least = np.maximum(share * sizes - 1e-9, 0.5)[:, None]
+        self.true = np.array([[s in labels for s in subjects] for _, labels in docs])
+
+    def f1(self, thresholds: np.ndarray) -> float:
+        counts = np.bincount(self.cell[self.top > thresholds[self.best]], minlength=self.n * self.k).reshape(self.n, self.k)
+        got = counts >= self.least
+        return 2 * float((got & self.true).sum()) / max(1, int(got.sum() + self.true.sum()))
+
+    def best_of(self, thresholds: np.ndarray, which: list[int]) -> np.ndarray:
+        """The thresholds with the middle of the best values of the grid for some of the subjects; as they are where that is as good."""
+        now, marks = self.f1(thresholds), []
+        for x in GRID:
+            tried = thresholds.copy()
+            tried[which] = x
+            marks.append((self.f1(tried), x))
+        top = max(m for m, _ in marks)
+        if top <= now + 1e-3:
+            return thresholds
+        good = [x for m, x in marks if m >= top - 1e-3]
+        out = thresholds.copy()
+        out[which] = good[len(good) // 2]
+        return out
+
+
+def calibrated(docs: list[tuple[list[str], list[str]]], subjects: list[str], share: float, folds: int = 2) -> np.ndarray:
+    """The threshold of each subject, by the F1 on documents held out of the training."""
+    start, scored = np.full(len(subjects), 0.3), []
     for f in range(folds):
-        models = train([d for i, d in enumerate(docs) if i % folds != f], subjects, 0.3)
+        models = train([d for i, d in enumerate(docs) if i % folds != f], subjects, start)
         scored += [([models.gains(x) for x in sents], set(labels)) for i, (sents, labels) in enumerate(docs) if i % folds == f]
-
-    def f1(th: float) -> float:
-        hit = found = true = 0
-        for gains, labels in scored:
-            got = set(decide(gains, subjects, th, share))
-            hit, found, true = hit + len(got & labels), found + len(got), true + len(labels)
-        return 2 * hit / max(1, found + true)
-
-    marks = [(f1(th), th) for th in GRID]
-    top = max(m for m, _ in marks)
-    good = [th for m, th in marks if m >= top - 1e-3]
-    return good[len(good) // 2]
+    held = Held(scored, subjects, share)
+    out = held.best_of(np.full(len(subjects), np.inf), list(range(len(subjects))))
+    if np.isinf(out).any():  # no value finds anything
+        return start
+    for j in range(len(subjects)):
+        out = held.best_of(out, [j])
+    return out
 
 
 def counted_sentences(text: str | None, leaked: list[tuple[str, float, int, int]]) -> list[str]:
@@ -158,8 +187,8 @@ def counted_sentences(text: str | None, leaked: list[tuple[str, float, int, int]
 
 
 class Classifier:
-    def __init__(self, models: Models, threshold: float, share: float, items: tuple):
-        self.models, self.threshold, self.share, self.items = models, threshold, share, items
+    def __init__(self, models: Models, thresholds: np.ndarray, share: float, items: tuple):
+        self.models, self.thresholds, self.share, self.items = models, thresholds, share, items
         self.memo: dict[str, np.ndarray] = {}
 
     def __call__(self, text: str | None, leaked: list) -> list[str]:
@@ -172,7 +201,7 @@ class Classifier:
                 if len(self.memo) < 300_000:
                     self.memo[key] = g
             gains.append(g)
-        return decide(gains, self.models.subjects, self.threshold, self.share)
+        return decide(gains, self.models.subjects, self.thresholds, self.share)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int) -> list[tuple[str, list[str]]]:
@@ -191,8 +220,8 @@ def fitted(docs: DataFrame, labels: DataFrame, items: DataFrame | None, share: f
     subjects = sorted({s for _, l in sample for s in l})
     if not subjects:
         return None
-    threshold = calibrated(sample, subjects, share) if len(sample) > 3 else 0.3
-    return Classifier(train(sample, subjects, threshold), threshold, share, known)
+    thresholds = calibrated(sample, subjects, share) if len(sample) > 3 else np.full(len(subjects), 0.3)
+    return Classifier(train(sample, subjects, thresholds), thresholds, share, known)
 
 
 def leaked_in(texts: list[str], finder: leakage.Finder | None) -> list[list]:

@@ -584,6 +584,27 @@ def test_subjects_held_out(spark, data):
     assert f1 > 0.8 and not set(got) & {i for i in ids if i % 2}
 
 
+def test_each_subject_has_its_threshold():
+    import numpy as np
+
+    rng, docs = np.random.default_rng(4), []
+    for i in range(120):  # sentences of a gain 0.5 or more, of b 1.5 or more; what says nothing reaches 0.2 of a and 1.2 of b
+        own = {"a"} if i % 3 == 0 else {"b"} if i % 3 == 1 else set()
+        gains = []
+        for _ in range(6):
+            g = np.array([-1.0, -1.0])
+            j = 0 if own == {"a"} else 1 if own == {"b"} else int(rng.integers(2))
+            g[j] = (0.5, 1.5)[j] + rng.random() * 0.3 if own else (0.2, 1.2)[j] * rng.random()
+            gains.append(g)
+        docs.append((gains, own))
+    held = subjects.Held(docs, ["a", "b"], 0.2)
+    one = held.best_of(np.full(2, np.inf), [0, 1])
+    both = held.best_of(held.best_of(one, [0]), [1])
+    assert held.f1(both) == 1.0 > held.f1(one) and both[0] < both[1]
+    for gains, own in docs:
+        assert set(subjects.decide(gains, ["a", "b"], both, 0.2)) == own
+
+
 def test_subjects_without_labels(spark):
     docs = spark.createDataFrame([(1, "One text."), (2, None), (3, "")], "doc_id long, text string")
     assert subjects.unlabelled(docs, spark.createDataFrame([], "doc_id long, subject string")).count() == 0
