@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.session import checked_broadcast_rows, cut
+from corvane.session import broadcast_if_small, checked_broadcast_rows, cut
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-tokenisation pattern that belongs to this public vocabulary.
@@ -75,7 +75,7 @@ def prefix_sums(docs: DataFrame, targets: DataFrame, tokenizer: str, seed: int,
     """(source, doc_id, n_tokens, below): below counts the tokens of the source's documents that come earlier in its random order."""
     spark = docs.sparkSession
     wanted = targets.select("source").where(F.col("source").isNotNull()).distinct()
-    rows = docs.select("source", "doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("source").isNotNull() & F.col("text").rlike(r"\S")).join(F.broadcast(wanted), "source", "left_semi")
+    rows = docs.select("source", "doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("source").isNotNull() & F.col("text").rlike(r"\S")).join(broadcast_if_small(wanted, 1_000_000), "source", "left_semi")
     counted = rows.select("source", "doc_id", token_counter(tokenizer)("text").alias("n_tokens")).groupBy("source", "doc_id").agg(F.max("n_tokens").alias("n_tokens"))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = counted.withColumn("key", F.xxhash64(F.lit(seed), F.col("doc_id")))
