@@ -20,10 +20,12 @@ numbers and words written alike count; repeated rows give one set of pairs; docu
 
 from __future__ import annotations
 
+import math
 import re
 from collections import ChainMap, Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.leakage import SPACELESS, marks
+from corvane.llm.leakage import SPACELESS, spaced_letters
 from corvane.llm.sentences import sentences
 
 DIMS, COORDINATES, ROWS = 96, 256, 8192
@@ -46,27 +48,37 @@ BLOCK, MOST_HELD = 2_000_000, 4_000_000  # sizes of what a worker adds up at onc
 SKIPGRAM_WEIGHT = 0.35
 ALIKE = 0.3  # association from which on a word that both sides write alike is one word
 SMALL = 1600  # cells that are warped without a coarser pass
+MOST_WORDS = 100_000  # word vectors that a worker holds
 CELLS = 1 << 22  # cosines held at once where unaligned sentences are matched
 HELD_BACK = 1e-6  # of equally near sentences the one at the nearer place wins
 BEADS = ((1, 1), (1, 2), (2, 1), (1, 3), (3, 1))
 
 
+PLAIN_PIECE = re.compile("[0-9]+(?:[.,][0-9]+)*|[a-z]+")
+
+
 @lru_cache(1)
 def piece_pattern() -> re.Pattern:
-    letter = rf"[^\W\d_{SPACELESS}]"
-    return re.compile(rf"[0-9]+(?:[.,][0-9]+)*|{letter}(?:{letter}|[{marks()}])*|[{SPACELESS}]+")
+    own = spaced_letters(digits=False)
+    return re.compile(rf"[㐀-鿿]+(?![{SPACELESS}])|[a-z]+(?![{own}])|[0-9]+(?:[.,][0-9]+)*|[{own}]+|[{SPACELESS}]+")
 
 
 def pieces(sentence: str) -> list[str]:
     """Words and numbers; of scripts without spaces the pairs of neighbouring characters."""
-    out = []
     low = sentence.lower()
-    for w in piece_pattern().findall(BROKEN.sub("", low) if "\n" in low else low):
-        if w[0] >= "\u0e00" and without_spaces(w[0]):
-            w = "".join(c for c in w if c.isalnum())
-            out += [w[i : i + 2] for i in range(len(w) - 1)] or [w] * bool(w)
+    if "\n" in low:
+        low = BROKEN.sub("", low)
+    if low.isascii():
+        found = PLAIN_PIECE.findall(low)
+        return [w.replace(",", "") for w in found] if "," in low else found
+    out = []
+    for w in piece_pattern().findall(low):
+        if "\u4e00" <= w[0] <= "\u9fff" or w[0] >= "\u0e00" and without_spaces(w[0]):
+            if not w.isalnum():
+                w = "".join(c for c in w if c.isalnum())
+            out += map(add, w, w[1:]) if len(w) > 1 else [w] * len(w)
         else:
-            out.append(w.replace(",", "") if w[0].isdigit() else w)
+            out.append(w.replace(",", "") if "," in w else w)
     return out
 
 
@@ -98,7 +110,10 @@ def sides_turned(x: list[list[str]], y: list[list[str]]) -> bool:
 def side_pieces(source: str, target: str) -> tuple[list[list[str]], list[list[str]]]:
     """Pieces of the sentences of each side."""
     x, y = ([w for z in sentences(t) if (w := pieces(z))] for t in (source, target))
-    return (y, x) if not source.isascii() and sides_turned(x, y) else (x, y)
+    if source.isascii():
+        return x, y
+    turned = any(beyond_latin(w) for z in x for w in z) if target.isascii() else sides_turned(x, y)
+    return (y, x) if turned else (x, y)
 
 
 def record_weight(x: list, y: list) -> int:
@@ -120,11 +135,13 @@ def word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return pd.DataFrame({"word": words} | {k: np.array([c[w] for w in words], dtype=np.int64) for k, c in zip(("n0", "n1", "w0", "w1"), counts)})
 
     for batch in batches:
+        flat: tuple[list[str], list[str]] = ([], [])
         for s, t in zip(batch.source, batch.target):
             both = side_pieces(s, t)
             if len(both[0]) == len(both[1]) == 1:
                 for k in (0, 1):
-                    single[k].update({"", *both[k][0]})
+                    flat[k].append("")
+                    flat[k].extend(set(both[k][0]))
                 continue
             weight = record_weight(*both)
             for k in (0, 1):
@@ -133,6 +150,8 @@ def word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 counts[k].update(own)
                 for w, n in own.items():
                     counts[2 + k][w] += n * weight * len(both[1 - k])
+        for k in (0, 1):
+            single[k].update(flat[k])
         if sum(map(len, (*single, *counts))) > MOST_HELD:
             yield out()
             for c in (*single, *counts):
@@ -144,10 +163,11 @@ class Sums:
     """Sums by code, below `size`, added up in blocks: in one array while the codes are few, else in a table."""
 
     def __init__(self, size: int):
-        self.new, self.held, self.table, self.cells = [], 0, None, np.zeros(size, dtype=np.int64) if size <= 2 * MOST_HELD else None
+        self.new: dict[int, list[np.ndarray]] = {}  # by what each of the codes counts
+        self.held, self.table, self.cells = 0, None, np.zeros(size, dtype=np.int64) if size <= 2 * MOST_HELD else None
 
     def add(self, codes: np.ndarray, n: int) -> None:
-        self.new.append((codes, n))
+        self.new.setdefault(n, []).append(codes)
         self.held += len(codes)
         if self.held > BLOCK:
             self.reduce()
@@ -155,14 +175,21 @@ class Sums:
     def reduce(self) -> None:
         if not self.new:
             return
-        codes = np.concatenate([c for c, _ in self.new])
-        n = np.repeat(np.array([n for _, n in self.new], dtype=np.int64), [len(c) for c, _ in self.new])
         if self.cells is not None:
-            self.cells += np.bincount(codes, weights=n, minlength=len(self.cells)).astype(np.int64)  # a block's sums are exact as floats
+            rest = [(c, n) for n, parts in self.new.items() for c in parts]
+            for n, parts in self.new.items():
+                if 8 * sum(map(len, parts)) > len(self.cells):  # many of one weight are only counted
+                    self.cells += np.bincount(np.concatenate(parts), minlength=len(self.cells)) * n
+                    rest = [x for x in rest if x[1] != n]
+            if rest:
+                codes = np.concatenate([c for c, _ in rest])
+                n = np.repeat(np.array([n for _, n in rest], dtype=np.int64), [len(c) for c, _ in rest])
+                np.add.at(self.cells, codes, n)
         else:
-            new = pa.table({"code": codes, "n": n})
+            parts = [(c, n) for n, own in self.new.items() for c in own]
+            new = pa.table({"code": np.concatenate([c for c, _ in parts]), "n": np.repeat(np.array([n for _, n in parts], dtype=np.int64), [len(c) for c, _ in parts])})
             self.table = (new if self.table is None else pa.concat_tables([self.table, new])).group_by("code", use_threads=False).aggregate([("n", "sum")]).rename_columns(["code", "n"])
-        self.new, self.held = [], 0
+        self.new, self.held = {}, 0
 
     def full(self) -> bool:
         return self.table is not None and self.table.num_rows > MOST_HELD
@@ -196,12 +223,15 @@ def pair_counts(batches: Iterator[pd.DataFrame], at: list[dict[str, int]]) -> It
         flat: tuple[list[int], list[int]] = ([], [])
         for s, t in zip(batch.source, batch.target):
             both = side_pieces(s, t)
-            ids = [[[i for w in x if (i := at[k].get(w)) is not None] for x in both[k]] for k in (0, 1)]
+            held: tuple[list[int], list[int]] = ([], [])
             for k in (0, 1):
-                for x in ids[k]:
-                    flat[k].extend(x)
+                get = at[k].get
+                for x in both[k]:
+                    ids = [i for i in map(get, x) if i is not None]
+                    flat[k].extend(ids)
                     flat[k].extend(GAP)
-            x, y = (np.array([i for z in ids[k] for i in set(z)], dtype=np.int64) for k in (0, 1))
+                    held[k].extend(set(ids))
+            x, y = (np.array(h, dtype=np.int64) for h in held)
             if len(x) and len(y):
                 step = max(1, BLOCK // len(y))
                 for i in range(0, len(x), step):
@@ -287,11 +317,11 @@ def skipgram_vectors(a: np.ndarray, b: np.ndarray, n: np.ndarray, size: int, dim
 
 
 def vocabulary(words: pd.DataFrame) -> list[list[str]]:
-    """Words of each side that come back, the most frequent first. Numbers have no vector."""
+    """Words of each side that come back, the most frequent first. Numbers have no vector, nor has what stands in more than half of all sentences."""
     names = []
     words = words.astype({"word": str})
     for k in ("n0", "n1"):
-        own = words[(words[k] > 1) & ~words.word.str[:1].str.isdigit() & (words.word != "")]
+        own = words[(words[k] > 1) & (2 * words[k] <= words.loc[words.word == "", k].sum()) & ~words.word.str[:1].str.isdigit() & (words.word != "")]
         names.append([w for _, w in sorted(zip(-own[k], own.word))])
     return names
 
@@ -315,7 +345,9 @@ class Embedder:
 
     def build(self, words: pd.DataFrame, names: list[list[str]], counts: list) -> None:
         self.rows = random_rows()
-        self.memo: dict[tuple[str, int], np.ndarray] = {}
+        self.memo: tuple[dict[str, int], dict[str, int]] = ({}, {})
+        self.held = 0
+        self.table = np.zeros((1024, DIMS + COORDINATES), dtype=np.float32)
         total = words[words.word == ""]
         self.n = max(1, int(total[["n0", "n1"]].sum().max()))
         self.idf = {w: float(np.log(1 + self.n / k)) for w, k in zip(words.word, words.n0 + words.n1) if w}
@@ -365,21 +397,33 @@ class Embedder:
     def coordinates(self, w: str) -> np.ndarray:
         return self.rows[xxhash.xxh32_intdigest(w) % ROWS]
 
-    def word(self, w: str, side: int) -> np.ndarray:
-        out = self.memo.get((w, side))
-        if out is None:
-            v = self.by_side[side].get(w)
-            v = np.concatenate([np.zeros(DIMS, dtype=np.float32) if v is None else v, self.place(w) if side else self.coordinates(w)]).astype(np.float32)
-            weight = self.idf.get(w, float(np.log(1 + self.n)))
-            if w[0].isdigit():
-                weight = max(weight, 2.0)
-            out = v * np.float32(weight)
-            if len(self.memo) < 200_000:
-                self.memo[w, side] = out
-        return out
+    def added(self, w: str, side: int) -> None:
+        """A word gets its row in the table of word vectors, which grows as words come."""
+        i = self.held
+        self.held += 1
+        if i == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        v = self.by_side[side].get(w)
+        weight = self.idf.get(w, float(np.log(1 + self.n)))
+        if w[0].isdigit():
+            weight = max(weight, 2.0)
+        row = self.table[i]
+        row[:DIMS] = 0 if v is None else v
+        row[DIMS:] = self.place(w) if side else self.coordinates(w)
+        row *= np.float32(weight)
+        self.memo[side][w] = i
 
     def vector(self, words: list[str], side: int) -> np.ndarray:
-        return np.sum([self.word(w, side) for w in words], axis=0) if words else np.zeros(DIMS + COORDINATES, dtype=np.float32)
+        if self.held + len(words) > MOST_WORDS and self.held:
+            self.memo, self.held = ({}, {}), 0
+        memo = self.memo[side]
+        rows = list(map(memo.get, words))
+        if None in rows:
+            for w in words:
+                if w not in memo:
+                    self.added(w, side)
+            rows = list(map(memo.get, words))
+        return self.table[rows].sum(0) if rows else np.zeros(DIMS + COORDINATES, dtype=np.float32)
 
     def sentence(self, s: str) -> np.ndarray:
         """Vector of a sentence by itself; its script says on which side it stands."""
@@ -389,11 +433,11 @@ class Embedder:
     def embedded(self, source: list[str], target: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Vectors of the sentences of both sides of a document."""
         own = [[pieces(z) for z in x] for x in (source, target)]
-        turned = sides_turned(*own)
+        turned = bool(source) and not all(z.isascii() for z in source) and sides_turned(*own)
         return tuple(np.stack([self.vector(z, side ^ turned) for z in x or [[]]]) for side, x in enumerate(own))
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"memo": {}, "rows": None}
+        return self.__dict__ | {"memo": ({}, {}), "held": 0, "rows": None, "table": self.table[:1024] * 0}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -401,7 +445,7 @@ class Embedder:
 
 
 def unit(x: np.ndarray) -> np.ndarray:
-    return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-9)
+    return x / np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x))[:, None], 1e-9)
 
 
 def spans(x: np.ndarray) -> dict[int, np.ndarray]:
@@ -427,28 +471,30 @@ def warp(a: np.ndarray, b: np.ndarray, floor: float, windows: list[tuple[int, in
     whole = {(p, q): (sa[p] @ sb[q].T).tolist() for p, q in beads} if (n + 1) * (m + 1) <= SMALL else None
     for i in range(n + 1):
         lo, hi = windows[i]
-        gains = []
+        gains: dict[int, list[tuple[float, int, int]]] = {}  # end in b -> beads that gain something
         for p, q in beads:
             if i >= p:
-                first, last = max(lo - q, 0), min(hi - q, m - q)  # places in b at which such a bead may begin
+                plo, phi = windows[i - p]
+                first, last = max(lo - q, plo, 0), min(hi - q, phi, m - q)  # places in b at which such a bead may begin
                 if first <= last:
                     row = whole[p, q][i - p][first : last + 1] if whole else (sb[q][first : last + 1] @ sa[p][i - p]).tolist()
-                    gains.append((p, q, first, row, *windows[i - p], best[i - p]))
+                    before = best[i - p]
+                    for j, x in enumerate(row, first):
+                        if x > floor:
+                            gains.setdefault(j + q, []).append((before[j - plo] + (x - floor) * (p + q) / 2, p, q))
         up, (ulo, uhi) = (best[i - 1], windows[i - 1]) if i else (None, (0, -1))
         now: list[float] = []
         steps: list[tuple[int, int] | None] = []
         for j in range(lo, hi + 1):
-            score, step = -1.0, None
-            if ulo <= j <= uhi:
+            score, step = (0.0 if not i and not j else -1.0), None
+            if ulo <= j <= uhi and up[j - ulo] > score:
                 score, step = up[j - ulo], (1, 0)
             if j > lo and now[-1] > score:
                 score, step = now[-1], (0, 1)
-            if not i and not j:
-                score = 0.0
-            for p, q, first, row, plo, phi, before in gains:
-                k = j - q - first
-                if 0 <= k < len(row) and plo <= j - q <= phi and (gain := row[k] - floor) > 0 and (x := before[j - q - plo] + gain * (p + q) / 2) > score:
-                    score, step = x, (p, q)
+            if j in gains:
+                for x, p, q in gains[j]:
+                    if x > score:
+                        score, step = x, (p, q)
             now.append(score)
             steps.append(step)
         best.append(now)
@@ -484,6 +530,10 @@ def coarse_to_fine(a: np.ndarray, b: np.ndarray, floor: float, width: int = 4) -
     return warp(a, b, floor, list(zip(lo, hi)))
 
 
+def summed_rows(x: np.ndarray, rows: set[int]) -> np.ndarray:
+    return x[next(iter(rows))] if len(rows) == 1 else x[sorted(rows)].sum(0)
+
+
 def moved_pairs(ua: np.ndarray, ub: np.ndarray, free: list[set[int]], least: float) -> list[tuple[int, int]]:
     """Unaligned sentences matched without order, best first: in each round those that are each other's nearest are paired. Cosines are formed
     in blocks and only the nearest are kept."""
@@ -524,8 +574,8 @@ def aligned(a: np.ndarray, b: np.ndarray, floor: float, moved: float) -> list[tu
         groups.append((set(range(i, i + p)), set(range(j, j + q))))
 
     def cosine(x: set[int], y: set[int]) -> float:
-        s, t = a[sorted(x)].sum(0), b[sorted(y)].sum(0)
-        return float(s @ t / max(1e-9, np.linalg.norm(s) * np.linalg.norm(t)))
+        s, t = summed_rows(a, x), summed_rows(b, y)
+        return float(s @ t) / max(1e-9, math.sqrt(float(s @ s) * float(t @ t)))
 
     # A sentence that adds nothing to its bead leaves it.
     for x, y in groups:

@@ -32,6 +32,8 @@ def sentence_spans(text: str | None, paragraphs: bool = False) -> list[tuple[int
 
 
 def sentences(text: str | None, paragraphs: bool = False) -> list[str]:
+    if text and not paragraphs and ((m := SENTENCE_END.search(text)) is None or m.end() == len(text)):
+        return [s] if (s := text.strip()) else []
     return [text[a:b] for a, b in sentence_spans(text, paragraphs)]
 
 
