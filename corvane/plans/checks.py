@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corvane.functions import labels, udfs
 from corvane.functions import text as X
 from corvane.operators import packed_fields, relational, segments
+from corvane.plans import fields
 from corvane.plans.base import Part
 from corvane.session import checked_broadcast_rows, load
 
@@ -46,7 +47,11 @@ def segment_checks(spark, sf):
     return segments.findings(u).select("id", c("check").alias("check_name"), "detail")
 
 
-@part.query()
+TERMS = f"(SELECT list(DISTINCT lower(val)) FROM ({fields.P3.format('', 1)}) WHERE field_name = 'domain_ad_concepts.forbidden_targets' AND length(val) > 1)"
+SEVERITY = "CASE WHEN check_name = 'abbreviations' OR check_name = 'omissions' AND detail = 'markup' THEN 'warning' ELSE 'critical' END"
+
+
+@part.query(f'SELECT check_name AS "check", {SEVERITY} AS severity, count(*) AS n, count(DISTINCT id) AS units FROM ({sql_findings()} UNION ALL SELECT id, \'terminology\', unnest(list_filter({TERMS}, lambda x: contains(lower(t), x))) FROM steps) GROUP BY 1, 2')
 def segment_terms(spark, sf):
     """The same with the forbidden terms of the curated list: units by check and severity."""
     terms = F.array(*map(F.lit, forbidden_terms(spark, sf))).cast("array<string>")

@@ -35,7 +35,19 @@ def dictionary_hits(spark, sf):
     return hits.groupBy("term").agg(F.countDistinct("doc_id").alias("docs"), F.count("*").alias("hits"))
 
 
-@part.query()
+TERMS = "SELECT DISTINCT term, key FROM (SELECT en AS term, concept_id AS key FROM domain_ad_concepts UNION ALL SELECT zh, concept_id FROM domain_ad_concepts) WHERE trim(coalesce(term, '')) <> ''"
+IN_WORD = "regexp_full_match(substr(source, {0}, 1), '[A-Za-z0-9_]') AND regexp_full_match(substr(source, {0} + 1, 1), '[A-Za-z0-9_]')"
+OWN_CASE = "(length(term) <= 3 OR regexp_full_match(term, '[\\x00-\\x7F]*') AND term = upper(term) AND term <> lower(term))"
+SCAN = f"""WITH RECURSIVE texts AS (SELECT DISTINCT decision_id, source FROM term_screen_decisions WHERE source <> ''),
+    hits AS (SELECT decision_id, source, term, key, p AS start, p + length(term) AS stop FROM (SELECT *, unnest(range(0, length(source))) AS p FROM texts JOIN ({TERMS}) ON contains(lower(source), lower(term)))
+        WHERE CASE WHEN {OWN_CASE} THEN substr(source, p + 1, length(term)) = term ELSE lower(substr(source, p + 1, length(term))) = lower(term) END AND NOT (p > 0 AND {IN_WORD.format('p')}) AND NOT (p + length(term) < length(source) AND {IN_WORD.format('(p + length(term))')})),
+    best AS (SELECT decision_id, source, start, max(stop) AS stop FROM hits GROUP BY ALL),
+    walk AS (SELECT decision_id, source, min(start) AS start, arg_min(stop, start) AS stop FROM best GROUP BY decision_id, source UNION ALL
+        SELECT b.decision_id, b.source, min(b.start), arg_min(b.stop, b.start) FROM walk w JOIN best b ON b.decision_id = w.decision_id AND b.source = w.source AND b.start >= w.stop GROUP BY b.decision_id, b.source)
+    SELECT decision_id, source, term, key, CAST(start AS INTEGER) AS start, CAST(stop AS INTEGER) AS "end" FROM hits JOIN walk USING (decision_id, source, start, stop)"""
+
+
+@part.query(SCAN)
 def dictionary_scan(spark, sf):
     """Longest matches of the curated terms in what was typed, with their places."""
     concepts = load(spark, sf, "domain_ad_concepts")
