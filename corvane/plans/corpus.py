@@ -81,7 +81,7 @@ def forced_terms(spark, sf):
     return load(spark, sf, "documents").where(c("text").isNotNull()).select("doc_id", X.forced(c("text"), FORCED).alias("forced"))
 
 
-ALIASES = "SELECT row_id AS concept_id, unnest(vals) AS text FROM (" + VALUES + ") WHERE field_name = 'domain_ad_concepts.{0}'"
+ALIASES = "SELECT row_id AS concept_id, unnest(list_transform(vals, lambda v: v.val)) AS text FROM (" + VALUES + ") WHERE field_name = 'domain_ad_concepts.{0}'"
 
 
 @part.query(f"SELECT DISTINCT concept_id, lang, role, text FROM (SELECT concept_id, 'en' AS lang, 'preferred' AS role, en AS text FROM domain_ad_concepts UNION ALL SELECT concept_id, 'zh', 'preferred', zh FROM domain_ad_concepts UNION ALL SELECT concept_id, 'en', 'alias', text FROM ({at(ALIASES, 'en_aliases')}) UNION ALL SELECT concept_id, 'zh', 'alias', trim(unnest(string_split(zh_aliases, '|'))) FROM domain_ad_concepts UNION ALL SELECT concept_id, 'zh', 'forbidden', text FROM ({at(ALIASES, 'forbidden_targets')})) WHERE text IS NOT NULL AND text <> ''")
