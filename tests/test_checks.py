@@ -6,6 +6,7 @@ import zipfile
 from difflib import SequenceMatcher
 from io import BytesIO
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -227,6 +228,38 @@ def test_fuzzy_bound_loses_nothing(spark):
         fuzzy.lookup(df, df, ["t"], 0.5)
 
 
+def test_fuzzy_measures_little_and_each_text_once(monkeypatch):
+    rng = random.Random(5)
+    own = ["Site %d replaced site %d under order %09d.", "The sponsor rejected the term base because a number was altered, as recorded under %d-%d-%d.", "中心按订单%d取代了中心%d，记录编号%d。"]
+    texts = [t % (rng.randrange(400), rng.randrange(400), rng.randrange(10**9)) for t in own for _ in range(150)]
+    queries = texts[::5] + ["ab" * 150]
+    want = {(i, j): s for i, x in enumerate(queries) for j, y in enumerate(texts) if x != y and (s := SequenceMatcher(None, x, y).ratio()) >= 0.85}
+    measured = []
+    reached = fuzzy.reached
+    monkeypatch.setattr(fuzzy, "reached", lambda *a: measured.append(a) or reached(*a))
+    for columns in (1, 500_000):
+        measured.clear()
+        assert {(i, j): s for i, j, s in fuzzy.near_pairs(pd.Series(queries), pd.Series(texts), 0.85, columns)} == want and want
+        assert len(measured) < len(queries) * len(texts) / 5
+
+
+def test_fuzzy_in_slices_with_copies(spark, monkeypatch):
+    monkeypatch.setattr(fuzzy, "SLICE", 600)
+    rng = random.Random(6)
+    texts = ["the lot was released by unit %d" % rng.randrange(60) for _ in range(60)] * 3
+    rows = [(f"{i % 170:03}", t, "k") for i, t in enumerate(texts)] + [(None, texts[0], "k"), ("x", None, "k"), ("y", texts[0], None)]
+    df = spark.createDataFrame(rows, "id string, text string, t string")
+    q = df.where("id < '040' or id is null or id = 'y'")
+    got = sorted((r.query_id, r.rank, r.id, r.score) for r in fuzzy.lookup(q, df, ["t"], k=3).collect())
+    best: dict = {}
+    for a, x, k in rows:
+        for b, y, m in rows if a and a < "040" and x and k else ():
+            if b and y and m and a != b and x != y and (s := SequenceMatcher(None, x, y).ratio()) >= 0.85:
+                best.setdefault(a, {})[b] = max(s, best.get(a, {}).get(b, 0))
+    want = sorted((a, n + 1, b, s) for a, found in best.items() for n, (s, b) in enumerate(sorted((-s, b) for b, s in found.items())[:3]) for s in (-s,))
+    assert got == want and len(want) > 50
+
+
 # ---- vectors
 
 
