@@ -38,6 +38,7 @@ from pyspark.sql import types as T
 
 from corvane.llm.leakage import SPACELESS, spaced_letters
 from corvane.llm.sentences import sentences
+from corvane.session import cut
 
 DIMS, COORDINATES, ROWS = 96, 256, 8192
 WINDOW = 5
@@ -49,18 +50,20 @@ SKIPGRAM_WEIGHT = 0.35
 ALIKE = 0.3  # association from which on a word that both sides write alike is one word
 SMALL = 1600  # cells that are warped without a coarser pass
 MOST_WORDS = 100_000  # word vectors that a worker holds
+MOST_NUMBERS = 20_000  # numbers, the most frequent, whose counts all workers hold; the others' are joined to the records that have them
 CELLS = 1 << 22  # cosines held at once where unaligned sentences are matched
 HELD_BACK = 1e-6  # of equally near sentences the one at the nearer place wins
 BEADS = ((1, 1), (1, 2), (2, 1), (1, 3), (3, 1))
 
 
-PLAIN_PIECE = re.compile("[0-9]+(?:[.,][0-9]+)*|[a-z]+")
+NUMBER = "[0-9]+(?:[.,][0-9]+)*"
+PLAIN_PIECE = re.compile(f"{NUMBER}|[a-z]+")
 
 
 @lru_cache(1)
 def piece_pattern() -> re.Pattern:
     own = spaced_letters(digits=False)
-    return re.compile(rf"[㐀-鿿]+(?![{SPACELESS}])|[a-z]+(?![{own}])|[0-9]+(?:[.,][0-9]+)*|[{own}]+|[{SPACELESS}]+")
+    return re.compile(rf"[㐀-鿿]+(?![{SPACELESS}])|[a-z]+(?![{own}])|{NUMBER}|[{own}]+|[{SPACELESS}]+")
 
 
 def pieces(sentence: str) -> list[str]:
@@ -347,6 +350,8 @@ class Embedder:
         self.rows = random_rows()
         self.memo: tuple[dict[str, int], dict[str, int]] = ({}, {})
         self.held = 0
+        self.numbers: DataFrame | None = None  # (word, n) of the numbers that are not in idf
+        self.own: dict[str, int] = {}  # of them, those of the record at hand
         self.table = np.zeros((1024, DIMS + COORDINATES), dtype=np.float32)
         total = words[words.word == ""]
         self.n = max(1, int(total[["n0", "n1"]].sum().max()))
@@ -404,7 +409,9 @@ class Embedder:
         if i == len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
         v = self.by_side[side].get(w)
-        weight = self.idf.get(w, float(np.log(1 + self.n)))
+        weight = self.idf.get(w)
+        if weight is None:
+            weight = float(np.log(1 + self.n / self.own.get(w, 1)))
         if w[0].isdigit():
             weight = max(weight, 2.0)
         row = self.table[i]
@@ -437,7 +444,7 @@ class Embedder:
         return tuple(np.stack([self.vector(z, side ^ turned) for z in x or [[]]]) for side, x in enumerate(own))
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"memo": ({}, {}), "held": 0, "rows": None, "table": self.table[:1024] * 0}
+        return self.__dict__ | {"memo": ({}, {}), "held": 0, "rows": None, "numbers": None, "own": {}, "table": self.table[:1024] * 0}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -625,16 +632,30 @@ def weights_of(words: pd.DataFrame, names: list[list[str]]) -> list[np.ndarray]:
     return [own[f"w{s}"].reindex(names[s]).to_numpy(dtype=np.int64) for s in (0, 1)]
 
 
+def filled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Frames with rows; those of a partition without records have no types."""
+    return (x for x in frames if len(x))
+
+
 def fitted(records: DataFrame) -> Embedder:
-    """records: (source, target), both non-blank. All of them are counted where they lie; the driver gets the sums."""
+    """records: (source, target), both non-blank. All of them are counted where they lie; the driver gets the sums. Numbers grow with the records:
+    only the most frequent are sent to the driver, the counts of the others stay a table."""
     texts, context = records.select("source", "target"), records.sparkSession.sparkContext
-    words = texts.mapInPandas(word_counts, "word string, n0 long, n1 long, w0 long, w1 long").groupBy("word").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "w0", "w1")))
-    words = words.where((F.col("n0") + F.col("n1") > 1) | (F.col("word") == "")).toPandas()
+    words = texts.mapInPandas(lambda x: filled(word_counts(x)), "word string, n0 long, n1 long, w0 long, w1 long").groupBy("word").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "w0", "w1")))
+    words = cut(words.where((F.col("n0") + F.col("n1") > 1) | (F.col("word") == "")))
+    number = F.col("word").rlike("^[0-9]")
+    numbers = words.where(number)
+    top = numbers.orderBy((F.col("n0") + F.col("n1")).desc(), "word").limit(MOST_NUMBERS).toPandas()
+    words = pd.concat([words.where(~number).toPandas(), top], ignore_index=True)
     names = vocabulary(words)
     shared = context.broadcast((places(names), weights_of(words, names)))
     schema = "kind int, a int, bs array<int>, ns array<long>"
-    counts = texts.mapInPandas(lambda x: pair_counts(x, shared.value[0]), schema).repartition("kind", "a").mapInPandas(lambda x: summed(x, shared.value[1]), schema)
-    return Embedder.of(words, names, counts.toArrow())
+    counts = texts.mapInPandas(lambda x: filled(pair_counts(x, shared.value[0])), schema).repartition("kind", "a").mapInPandas(lambda x: filled(summed(x, shared.value[1])), schema)
+    e = Embedder.of(words, names, counts.toArrow())
+    if len(top) == MOST_NUMBERS:
+        held = records.sparkSession.createDataFrame(top[["word"]], "word string")
+        e.numbers = numbers.join(F.broadcast(held), "word", "left_anti").select("word", (F.col("n0") + F.col("n1")).alias("n"))
+    return e
 
 
 def several(text: str) -> F.Column:
@@ -642,17 +663,36 @@ def several(text: str) -> F.Column:
     return F.col(text).rlike(r"[。！？]\s*[^\s。！？]|[.!?]\s+\S")
 
 
+def numbers_of(text: str) -> F.Column:
+    """The numbers among the pieces of a text."""
+    found = F.regexp_extract_all(F.regexp_replace(text, BROKEN.pattern, ""), F.lit(NUMBER), F.lit(0))
+    return F.transform(found, lambda x: F.replace(x, F.lit(","), F.lit("")))
+
+
+def with_numbers(records: DataFrame, counted: DataFrame | None) -> DataFrame:
+    """Records with the numbers of theirs that are in counted: (word, n), and their counts. Records are told apart by a hash; should two have the
+    same, each gets the numbers of both, which changes nothing."""
+    if counted is None:
+        return records.withColumns({"numbers": F.lit(None).cast("array<string>"), "counts": F.lit(None).cast("array<bigint>")})
+    records = records.withColumn("row", F.xxhash64("record_id", "source", "target"))
+    own = records.select("row", F.explode(F.array_distinct(F.concat(numbers_of("source"), numbers_of("target")))).alias("word"))
+    found = own.join(counted, "word").groupBy("row").agg(F.collect_set(F.struct("word", "n")).alias("found"))
+    return records.join(found, "row", "left").withColumns({"numbers": F.col("found.word"), "counts": F.col("found.n")}).drop("row", "found")
+
+
 def alignments(records: DataFrame, embedder: Embedder, floor: float = 0.3, moved: float = 0.42) -> DataFrame:
     """records: (record_id, source, target, least), both non-blank -> (record_id, src_pos, tgt_pos) of the records that have `least` sentences
     or more on a side."""
     broadcast = records.sparkSession.sparkContext.broadcast(embedder)
+    records = with_numbers(records, embedder.numbers)
 
     @F.pandas_udf(PAIRS)
-    def pairs(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def pairs(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         e = broadcast.value
-        for source, target, least in batches:
+        for source, target, least, numbers, counts in batches:
             out = []
-            for s, t, n in zip(source, target, least):
+            for s, t, n, w, k in zip(source, target, least, numbers, counts):
+                e.own = dict(zip(w, k)) if w is not None else {}
                 a, b = sentences(s), sentences(t)
                 if max(len(a), len(b)) < n:
                     out.append([])
@@ -661,4 +701,4 @@ def alignments(records: DataFrame, embedder: Embedder, floor: float = 0.3, moved
                 out.append([{"src_pos": i + 1, "tgt_pos": j + 1} for i, j in aligned(x, y, floor, moved)])
             yield pd.Series(out)
 
-    return records.select("record_id", F.inline(pairs("source", "target", "least"))).distinct()
+    return records.select("record_id", F.inline(pairs("source", "target", "least", "numbers", "counts"))).distinct()

@@ -384,6 +384,38 @@ def test_all_records_are_fitted(spark):
     assert e.translations == local.translations and e.idf == local.idf
 
 
+def test_driver_gets_the_most_frequent_numbers_only(spark, monkeypatch):
+    """Numbers grow with the records; the counts of the others reach the records from a table, with the same weights and pairs."""
+    import numpy as np
+
+    names, verbs = ["预算", "服务", "合同"], ["批准", "拒绝", "更新"]
+    words = "budget server contract approved rejected renewed".split()
+    say = lambda i, n: (f"The {words[i % 3]} was {words[3 + i // 3 % 3]} on {n}.", f"{names[i % 3]}被{verbs[i // 3 % 3]}{n}。")
+    number = lambda i: f"{i % 50},{i % 7:03}" if i % 4 else f"{i % 90}.5-\n{i % 3}"
+    rows = []
+    for i in range(400):
+        (a, b), (c, d) = say(i, number(i)), say(i + 1 + i // 9, number(i * 7 + 1))
+        rows.append((f"{i:03}", f"{a} {c}", f"{d}{b}"))
+    df = spark.createDataFrame(rows, "record_id string, source string, target string").repartition(4)
+    both = []
+    for most in (20_000, 10):
+        monkeypatch.setattr(alignment, "MOST_NUMBERS", most)
+        e = alignment.fitted(df)
+        both.append((e, sorted(map(tuple, alignment.alignments(df.withColumn("least", F.lit(2)), e).collect()))))
+    whole, few = both[0][0], both[1][0]
+    assert sum(w[0].isdigit() for w in few.idf) == 10 < sum(w[0].isdigit() for w in whole.idf)
+    assert both[0][1] == both[1][1] and len(both[0][1]) >= 800
+    for r in alignment.with_numbers(df, few.numbers).collect():
+        counts = dict(zip(r.numbers or [], r.counts or []))
+        for w in {w for t in (r.source, r.target) for z in sentences.sentences(t) for w in alignment.pieces(z) if w[0].isdigit()}:
+            assert float(np.log(1 + few.n / counts.get(w, 1))) == whole.idf.get(w, float(np.log(1 + few.n))) or few.idf[w] == whole.idf[w]
+
+
+def test_partitions_without_records_are_fitted(spark):
+    rows = spark.createDataFrame([("Two words.", "两词。")] * 2, "source string, target string").repartition(1)
+    assert alignment.fitted(rows.unionByName(rows.where("source = 'none'"))).n == 2
+
+
 @pytest.mark.parametrize("language", ["ru", "ja", "ko", "th", "de"])
 def test_any_pair_of_languages(language):
     words = {
