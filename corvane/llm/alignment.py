@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import ChainMap, Counter
+from collections import ChainMap
 from collections.abc import Iterator
 from functools import lru_cache
 from operator import add
@@ -37,12 +37,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.llm.leakage import SPACELESS, spaced_letters
+from corvane.llm.piece_codes import NUMBERS, OTHERS, PieceCodes
 from corvane.llm.sentences import sentences
 from corvane.session import cut
 
 DIMS, COORDINATES, ROWS = 96, 256, 8192
 WINDOW = 5
-GAP = [-1] * WINDOW
+CHARACTERS = 1 << 18  # of the texts whose pieces are found at once
 LEAST_DICE = 0.1
 UNIT = 1 << 32  # weight of a unit of one sentence a side; whole numbers have one sum in any order
 BLOCK, MOST_HELD = 2_000_000, 4_000_000  # sizes of what a worker adds up at once, and holds before it hands partial sums on
@@ -103,6 +104,7 @@ def random_rows() -> np.ndarray:
 
 
 COUNTS = (("kind", pa.int32()), ("a", pa.int32()), ("bs", pa.list_(pa.int32())), ("ns", pa.list_(pa.int64())))
+SUMMED = ("n0", "n1", "w0", "w1")
 
 
 def sides_turned(x: list[list[str]], y: list[list[str]]) -> bool:
@@ -110,56 +112,77 @@ def sides_turned(x: list[list[str]], y: list[list[str]]) -> bool:
     return sum(beyond_latin(w) for z in x for w in z) > sum(beyond_latin(w) for z in y for w in z)
 
 
-def side_pieces(source: str, target: str) -> tuple[list[list[str]], list[list[str]]]:
-    """Pieces of the sentences of each side."""
-    x, y = ([w for z in sentences(t) if (w := pieces(z))] for t in (source, target))
-    if source.isascii():
-        return x, y
-    turned = any(beyond_latin(w) for z in x for w in z) if target.isascii() else sides_turned(x, y)
-    return (y, x) if turned else (x, y)
+def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list[str], list[str]]]:
+    """Sources and targets of batches of (source, target), about CHARACTERS at once."""
+    for batch in batches:
+        source, target = batch.source.tolist(), batch.target.tolist()
+        of = np.cumsum(np.fromiter(map(len, map(add, source, target)), np.int64, len(source))) // CHARACTERS
+        cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(source)]
+        yield from ((source[i:j], target[i:j]) for i, j in zip(cuts, cuts[1:]) if j > i)
+
+
+class Sides:
+    """The pieces of records by side, with sentences numbered through all of them.
+
+    record, side, sentence, code: of each piece, in order; a record of which the first side has more words beyond the Latin script is turned.
+    record_of: of each sentence. sizes: sentences with a piece on each side of each record. weights: what one pair of sentences of a record
+    counts; all pairs of a record together count as much as a unit of one sentence a side."""
 
+    def __init__(self, codes: PieceCodes, source: list[str], target: list[str]):
+        n = len(source)
+        text, self.sentence, self.code, beyond = codes.of([t for both in zip(source, target) for t in both])
+        self.record = text >> 1
+        far = np.bincount(text[beyond], minlength=2 * n).reshape(n, 2)
+        self.side = text & 1 ^ (far[:, 0] > far[:, 1])[self.record]
+        first = np.diff(self.sentence, prepend=-1) != 0
+        self.sizes = np.bincount(2 * self.record[first] + self.side[first], minlength=2 * n).reshape(n, 2)
+        pairs = self.sizes.prod(1)
+        self.weights = np.where(pairs > 0, np.rint(UNIT / np.maximum(pairs, 1)), 0).astype(np.int64)
+        self.record_of = np.zeros(self.sentence[-1] + 1 if len(text) else 0, dtype=np.int64)
+        self.record_of[self.sentence] = self.record
 
-def record_weight(x: list, y: list) -> int:
-    """What one pair of sentences of a record counts: all pairs of a record together count as much as a unit of one sentence a side."""
-    return round(UNIT / (len(x) * len(y))) if x and y else 0
+
+def once(sentence: np.ndarray, ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sentence, id), each pair once and in order; ids are below size."""
+    both = np.sort(sentence * size + ids)
+    return np.divmod(both[np.diff(both, prepend=-1) != 0], size)
 
 
 def word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(word, n0, n1, w0, w1) of batches of (source, target): sentences of each side that hold a word, and the weight of the sentence pairs that
     do; the word "" counts sentences."""
-    single, counts = (Counter(), Counter()), (Counter(), Counter(), Counter(), Counter())  # single: units of one sentence a side
-
-    def out() -> pd.DataFrame:
-        for k in (0, 1):
-            for w, n in single[k].items():
-                counts[k][w] += n
-                counts[2 + k][w] += n * UNIT
-        words = list(set().union(*counts))
-        return pd.DataFrame({"word": words} | {k: np.array([c[w] for w in words], dtype=np.int64) for k, c in zip(("n0", "n1", "w0", "w1"), counts)})
-
-    for batch in batches:
-        flat: tuple[list[str], list[str]] = ([], [])
-        for s, t in zip(batch.source, batch.target):
-            both = side_pieces(s, t)
-            if len(both[0]) == len(both[1]) == 1:
-                for k in (0, 1):
-                    flat[k].append("")
-                    flat[k].extend(set(both[k][0]))
-                continue
-            weight = record_weight(*both)
-            for k in (0, 1):
-                counts[k][""] += len(both[k])
-                own = Counter(w for x in both[k] for w in set(x))
-                counts[k].update(own)
-                for w, n in own.items():
-                    counts[2 + k][w] += n * weight * len(both[1 - k])
-        for k in (0, 1):
-            single[k].update(flat[k])
-        if sum(map(len, (*single, *counts))) > MOST_HELD:
-            yield out()
-            for c in (*single, *counts):
-                c.clear()
-    yield out()
+    codes, total = PieceCodes(), np.zeros(2, dtype=np.int64)
+    held: list[pa.Table] = []
+    rows = 0
+
+    def reduced() -> pa.Table:
+        return pa.concat_tables(held).group_by("code", use_threads=False).aggregate([(k, "sum") for k in SUMMED]).select(["code", *(f"{k}_sum" for k in SUMMED)]).rename_columns(["code", *SUMMED])
+
+    def out(own: pa.Table) -> pd.DataFrame:
+        counts = own.to_pandas()
+        counts.insert(0, "word", codes.spelled(counts.pop("code").to_numpy()))
+        return counts
+
+    for source, target in chunks(batches):
+        s = Sides(codes, source, target)
+        ids, found = pd.factorize(s.code)
+        size = max(1, len(found))
+        sentence, i = once(s.sentence, 2 * ids + s.side, 2 * size)
+        record, side = s.record_of[sentence], i & 1
+        n, w = np.bincount(i, minlength=2 * size), np.zeros(2 * size, dtype=np.int64)
+        np.add.at(w, i, s.weights[record] * s.sizes[record, 1 - side])
+        held.append(pa.table(dict(zip(("code", *SUMMED), (found, *(x[k : 2 * len(found) : 2] for x in (n, w) for k in (0, 1)))))))
+        total += s.sizes.sum(0)
+        rows += len(found)
+        if rows > BLOCK:
+            held = [reduced()]
+            if (rows := held[0].num_rows) > MOST_HELD // 4:
+                yield out(held[0])
+                codes.clear()
+                held, rows = [], 0
+    if held:
+        yield out(reduced())
+    yield pd.DataFrame([("", *total.tolist(), 0, 0)], columns=["word", *SUMMED])
 
 
 class Sums:
@@ -222,29 +245,31 @@ def pair_counts(batches: Iterator[pd.DataFrame], at: list[dict[str, int]]) -> It
     stand so; kind 2 are words of both sides, by the weight of the sentence pairs that hold them."""
     sizes = [max(1, len(at[0])), max(1, len(at[1])), max(1, len(at[1]))]
     sums = [Sums(sizes[0] ** 2), Sums(sizes[1] ** 2), Sums(sizes[0] * sizes[1])]
-    for batch in batches:
-        flat: tuple[list[int], list[int]] = ([], [])
-        for s, t in zip(batch.source, batch.target):
-            both = side_pieces(s, t)
-            held: tuple[list[int], list[int]] = ([], [])
-            for k in (0, 1):
-                get = at[k].get
-                for x in both[k]:
-                    ids = [i for i in map(get, x) if i is not None]
-                    flat[k].extend(ids)
-                    flat[k].extend(GAP)
-                    held[k].extend(set(ids))
-            x, y = (np.array(h, dtype=np.int64) for h in held)
-            if len(x) and len(y):
-                step = max(1, BLOCK // len(y))
-                for i in range(0, len(x), step):
-                    sums[2].add((x[i : i + step, None] * sizes[2] + y).ravel(), record_weight(*both))
+    codes, known = PieceCodes(), {}  # known: code -> its word on each side, -1 where it is none
+    for source, target in chunks(batches):
+        s = Sides(codes, source, target)
+        ids, found = pd.factorize(s.code)
+        places = np.full((len(found), 2), -1, dtype=np.int64)
+        wordy = found & OTHERS != NUMBERS
+        own = found[wordy].tolist()
+        new = [c for c in own if c not in known]
+        known.update((c, [x.get(w, -1) for x in at]) for c, w in zip(new, codes.spelled(np.array(new, dtype=np.int64))))
+        places[wordy] = np.array([known[c] for c in own], dtype=np.int64).reshape(-1, 2)
+        word = places[ids, s.side]
+        held = []
         for k in (0, 1):
-            f = np.array(flat[k], dtype=np.int64)
+            own = (s.side == k) & (word >= 0)
+            sentence, w = s.sentence[own], word[own]
             for j in range(1, WINDOW + 1):
-                a, b = f[:-j], f[j:]
-                ok = (a >= 0) & (b >= 0)
-                sums[k].add(a[ok] * sizes[k] + b[ok], 1)
+                same = sentence[:-j] == sentence[j:]
+                sums[k].add(w[:-j][same] * sizes[k] + w[j:][same], 1)
+            sentence, w = once(sentence, w, sizes[k])
+            held.append((s.record_of[sentence], w))
+        for x, y, n in crossed(*held, s.weights):
+            sums[2].add(x * sizes[2] + y, n)
+        if len(codes.names) > MOST_WORDS:
+            codes.clear()
+            known = {}
         for k in (0, 1, 2):
             if sums[k].full():
                 yield packed(k, *sums[k].taken(), sizes[k])
@@ -252,6 +277,22 @@ def pair_counts(batches: Iterator[pd.DataFrame], at: list[dict[str, int]]) -> It
         yield packed(k, *sums[k].taken(), sizes[k])
 
 
+def crossed(first: tuple[np.ndarray, np.ndarray], second: tuple[np.ndarray, np.ndarray], weights: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(x, y, weight) of all pairs of words of both sides of each record, about BLOCK at once. first, second: (record, word), in order of records."""
+    (rx, x), (ry, y) = first, second
+    many = np.bincount(ry, minlength=len(weights))
+    starts = np.cumsum(many) - many
+    for n in np.unique(weights[rx]).tolist():
+        own = np.flatnonzero((weights[rx] == n) & (many[rx] > 0))
+        ends = np.cumsum(many[rx[own]])
+        cuts = [0, *(np.flatnonzero(np.diff(ends // BLOCK)) + 1).tolist(), len(own)]
+        for i, j in zip(cuts, cuts[1:]):
+            part = own[i:j]
+            size = many[rx[part]]
+            to = np.repeat(starts[rx[part]] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            yield np.repeat(x[part], size), y[to], n
+
+
 def summed(batches: Iterator[pd.DataFrame], weights: list[np.ndarray]) -> Iterator[pd.DataFrame]:
     """(kind, a, bs, ns) with one row for each (kind, a), if all of its rows are in these batches. Of kind 2 only pairs remain that may be
     translations."""

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.llm import alignment, canonical_list, formatting_dups, garbled, leakage, lookalikes, mixture, scanned, sentences, subjects
+from corvane.llm import alignment, canonical_list, formatting_dups, garbled, leakage, lookalikes, mixture, piece_codes, scanned, sentences, subjects
 
 # ---- 1. formatting duplicates
 
@@ -411,6 +411,65 @@ def test_driver_gets_the_most_frequent_numbers_only(spark, monkeypatch):
             assert float(np.log(1 + few.n / counts.get(w, 1))) == whole.idf.get(w, float(np.log(1 + few.n))) or few.idf[w] == whole.idf[w]
 
 
+def odd_texts(n):
+    """Texts of all scripts, with divided words, marks in numbers, long words and numbers, and sentences without a word."""
+    rng = random.Random(12)
+    words = ["budget", "Q", "pneumonoultramicroscopic", "abcdefghijkl", "abcdefghijklm", "naïve", "İstanbul", "ΑΣ", "бюджет", "예산", "预算", "预", "科目々", "ガン", "ｶﾞ", "งบ", "ๆ", "ั", "́", "ⅷ", "\U00020001\U00020002", "𐐀", "\U000e0100", "x́", "ab中de"]
+    words += ["7", "3.5", "1,234,567.8", "1.,2", "2.", "123456789012345", "1234567890123456", "1,2,3,4,5,6,7,8,9,0,1,2,3,4,5", "5mg", "٣", "a1b2", "...", "!", "?!", "”", "-", "_", "|"]
+    joints = [" ", " ", " ", "", ". ", ".", "。", "！", "? ", "-\n", "­\n", "\n", "‐\n", "--\n", ". -\n", "。-\n", ".\n", "\x1f", ".　", ","]
+    return ["".join(rng.choice(words) + rng.choice(joints) for _ in range(rng.choice((1, 2, 6, 30)))) for _ in range(n)] + ["", "\n", "-\n", "a", "。", "\n-", "x-", "\nx"]
+
+
+def test_counts_are_formed_for_whole_batches(monkeypatch):
+    """Words and pairs are counted without a call of Python for each sentence or piece, and come out as those of each sentence do."""
+    from collections import Counter
+
+    import pandas as pd
+
+    texts = odd_texts(1500)
+    rng = random.Random(13)
+    rows = list(zip(texts, rng.sample(texts, len(texts)))) + [("One word. Two words.", "Слово. Два слова. Три.")] * 4
+    records, words, weights = [], Counter(), Counter()
+    for both in rows:
+        x, y = ([w for z in sentences.sentences(t) if (w := alignment.pieces(z))] for t in both)
+        records.append((y, x) if alignment.sides_turned(x, y) else (x, y))
+        weight = round((1 << 32) / (len(x) * len(y))) if x and y else 0
+        for k, side in enumerate(records[-1]):
+            words["", k] += len(side)
+            for w in (w for z in side for w in set(z)):
+                words[w, k] += 1
+                weights[w, k] += weight * len(records[-1][1 - k])
+    at = [{w: i for i, w in enumerate(sorted({w for w, side in words if side == k and w and not w[0].isdigit()})[k::2])} for k in (0, 1)]
+    pairs = Counter()
+    for record in records:
+        found = [[[at[k][w] for w in z if w in at[k]] for z in record[k]] for k in (0, 1)]
+        for k in (0, 1):
+            pairs.update((k, a, b) for z in found[k] for i, a in enumerate(z) for b in z[i + 1 : i + 6])
+        for a in (a for z in found[0] for a in set(z)):
+            for b in (b for z in found[1] for b in set(z)):
+                pairs[2, a, b] += round((1 << 32) / (len(record[0]) * len(record[1])))
+
+    def called(*_):
+        raise AssertionError("a sentence by itself")
+
+    for name in ("pieces", "sentences", "sides_turned"):
+        monkeypatch.setattr(alignment, name, called)
+    frame = pd.DataFrame(rows, columns=["source", "target"])
+    batches = [frame[:700], frame[:0], frame[700:]]
+    for characters, block, most in ((1 << 18, 2_000_000, 4_000_000), (1, 300, 500), (1000, 50, 40)):
+        for name, value in (("CHARACTERS", characters), ("BLOCK", block), ("MOST_HELD", most), ("MOST_WORDS", most)):
+            monkeypatch.setattr(alignment, name, value)
+        monkeypatch.setattr(piece_codes, "SLICE", characters)
+        got = pd.concat(alignment.word_counts(iter(batches))).groupby("word").sum()
+        assert {(w, k): n for k in (0, 1) for w, n in got[f"n{k}"].items() if n} == +words
+        assert {(w, k): n for k in (0, 1) for w, n in got[f"w{k}"].items() if n} == +weights
+        got = Counter()
+        for f in alignment.pair_counts(iter(batches), at):
+            for kind, a, bs, ns in zip(f.kind, f.a, f.bs, f.ns):
+                got.update({(kind, a, b): n for b, n in zip(bs.tolist(), ns.tolist())})
+        assert got == pairs
+
+
 def test_partitions_without_records_are_fitted(spark):
     rows = spark.createDataFrame([("Two words.", "两词。")] * 2, "source string, target string").repartition(1)
     assert alignment.fitted(rows.unionByName(rows.where("source = 'none'"))).n == 2
