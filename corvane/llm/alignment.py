@@ -186,11 +186,17 @@ def word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class Sums:
-    """Sums by code, below `size`, added up in blocks: in one array while the codes are few, else in a table."""
-
-    def __init__(self, size: int):
+    """Sums by code, a * cols + b, added up in blocks: those of low a and b, the most frequent words, in one array, others in a table."""
+
+    def __init__(self, rows: int, cols: int):
+        most = 2 * MOST_HELD
+        self.rows, self.cols = rows, cols
+        self.top = min(rows, max(math.isqrt(most), most // cols))
+        self.left = min(cols, max(1, most // self.top))
+        self.cells, self.table = np.zeros(self.top * self.left, dtype=np.int64), None
         self.new: dict[int, list[np.ndarray]] = {}  # by what each of the codes counts
-        self.held, self.table, self.cells = 0, None, np.zeros(size, dtype=np.int64) if size <= 2 * MOST_HELD else None
+        self.rare: list[tuple[np.ndarray, int]] = []  # codes beyond the array
+        self.held = self.held_rare = 0
 
     def add(self, codes: np.ndarray, n: int) -> None:
         self.new.setdefault(n, []).append(codes)
@@ -199,23 +205,34 @@ class Sums:
             self.reduce()
 
     def reduce(self) -> None:
-        if not self.new:
-            return
-        if self.cells is not None:
-            rest = [(c, n) for n, parts in self.new.items() for c in parts]
-            for n, parts in self.new.items():
-                if 8 * sum(map(len, parts)) > len(self.cells):  # many of one weight are only counted
-                    self.cells += np.bincount(np.concatenate(parts), minlength=len(self.cells)) * n
-                    rest = [x for x in rest if x[1] != n]
-            if rest:
-                codes = np.concatenate([c for c, _ in rest])
-                n = np.repeat(np.array([n for _, n in rest], dtype=np.int64), [len(c) for c, _ in rest])
-                np.add.at(self.cells, codes, n)
-        else:
-            parts = [(c, n) for n, own in self.new.items() for c in own]
-            new = pa.table({"code": np.concatenate([c for c, _ in parts]), "n": np.repeat(np.array([n for _, n in parts], dtype=np.int64), [len(c) for c, _ in parts])})
-            self.table = (new if self.table is None else pa.concat_tables([self.table, new])).group_by("code", use_threads=False).aggregate([("n", "sum")]).rename_columns(["code", "n"])
+        rest = []
+        for n, parts in self.new.items():
+            codes = np.concatenate(parts)
+            if (self.top, self.left) != (self.rows, self.cols):
+                a, b = np.divmod(codes, self.cols)
+                inside = (a < self.top) & (b < self.left)
+                self.rare.append((codes[~inside], n))
+                self.held_rare += len(self.rare[-1][0])
+                codes = a[inside] * self.left + b[inside]
+            if 8 * len(codes) > len(self.cells):  # many of one weight are only counted
+                self.cells += np.bincount(codes, minlength=len(self.cells)) * n
+            else:
+                rest.append((codes, n))
+        if rest:
+            np.add.at(self.cells, *self.weighted(rest))
         self.new, self.held = {}, 0
+        if self.held_rare > BLOCK:
+            self.reduce_rare()
+
+    def reduce_rare(self) -> None:
+        if self.held_rare:
+            new = pa.table(dict(zip(("code", "n"), self.weighted(self.rare))))
+            self.table = (new if self.table is None else pa.concat_tables([self.table, new])).group_by("code", use_threads=False).aggregate([("n", "sum")]).rename_columns(["code", "n"])
+        self.rare, self.held_rare = [], 0
+
+    @staticmethod
+    def weighted(parts: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate([c for c, _ in parts]), np.repeat(np.array([n for _, n in parts], dtype=np.int64), [len(c) for c, _ in parts])
 
     def full(self) -> bool:
         return self.table is not None and self.table.num_rows > MOST_HELD
@@ -223,13 +240,15 @@ class Sums:
     def taken(self) -> tuple[np.ndarray, np.ndarray]:
         """Codes in order and their sums; what comes later begins anew."""
         self.reduce()
-        if self.cells is not None:
-            codes = np.flatnonzero(self.cells)
-            return codes, self.cells[codes]
-        if self.table is None:
-            return (np.zeros(0, dtype=np.int64),) * 2
-        t, self.table = self.table.sort_by("code"), None
-        return t["code"].to_numpy(), t["n"].to_numpy()
+        self.reduce_rare()
+        at = np.flatnonzero(self.cells)
+        codes, n = at // self.left * self.cols + at % self.left, self.cells[at]
+        self.cells[at] = 0
+        if self.table is not None:
+            codes, n = (np.concatenate((x, self.table[k].to_numpy())) for x, k in ((codes, "code"), (n, "n")))
+            turn, self.table = np.argsort(codes), None
+            codes, n = codes[turn], n[turn]
+        return codes, n
 
 
 def packed(kind: int, codes: np.ndarray, n: np.ndarray, size: int) -> pd.DataFrame:
@@ -244,7 +263,7 @@ def pair_counts(batches: Iterator[pd.DataFrame], at: list[dict[str, int]]) -> It
     """(kind, a, bs, ns) of batches of (source, target): kinds 0 and 1 are words and the words after them within a side, as often as they
     stand so; kind 2 are words of both sides, by the weight of the sentence pairs that hold them."""
     sizes = [max(1, len(at[0])), max(1, len(at[1])), max(1, len(at[1]))]
-    sums = [Sums(sizes[0] ** 2), Sums(sizes[1] ** 2), Sums(sizes[0] * sizes[1])]
+    sums = [Sums(sizes[0], sizes[0]), Sums(sizes[1], sizes[1]), Sums(sizes[0], sizes[1])]
     codes, known = PieceCodes(), {}  # known: code -> its word on each side, -1 where it is none
     for source, target in chunks(batches):
         s = Sides(codes, source, target)
